@@ -7,7 +7,12 @@ Two conventions exist for promotions that are NULL or unknown:
 * ``"r"`` (the R reports): revenue after promo is 0; units after promo are NULL
   when the promo is NULL and the raw quantity when it is a non-NULL unknown.
 
-All money stays exact DECIMAL; only means, medians and deviations leave it.
+All money stays exact. Row-level outputs carry DECIMAL columns (``MONEY``);
+aggregations use the same amounts as integer counts of 1/10000 of the currency
+(``*_e4`` BIGINT columns), built only from integer arithmetic on the price in
+cents, and sum them as DECIMAL(38,0). Long multiplication keeps the per-row
+work inside generated code (Spark multiplies DECIMALs through BigDecimal), and
+grouping or sorting on a BIGINT is far cheaper than on a wide DECIMAL.
 """
 
 from __future__ import annotations
@@ -33,6 +38,9 @@ PROMO_RULES = (
 # ---------------------------------------------------------------------------
 
 BOGOF = "BOGOF"
+E4 = 10000                      # money units per currency unit in ``*_e4`` columns
+for _label, _f, _o, _u, _d in PROMO_RULES:     # cents arithmetic needs <= 2 decimals
+    assert (Decimal(_f) * 100) % 1 == 0 and (Decimal(_o) * 100) % 1 == 0, _label
 CONVENTIONS = ("sql", "r")
 
 PRICE_COL = "base_price"
@@ -108,6 +116,49 @@ def sold_units_after(qty=QTY_AFTER, promo=PROMO_COL, convention: str = "sql",
     return doubled
 
 
+def price_cents(price=PRICE_COL) -> Column:
+    """DECIMAL(12,2) price as exact BIGINT cents. The double nearest a
+    two-decimal price times 100 is within 2^-52 relative of the integer, so
+    rounding it is exact for any DECIMAL(12,2)."""
+    return F.floor(_col(price).cast("double") * F.lit(100.0) + F.lit(0.5)).cast("bigint")
+
+
+def revenue_before_e4(price=PRICE_COL, qty=QTY_BEFORE) -> Column:
+    """K1 in 1/10000 units."""
+    return price_cents(price) * F.lit(100) * _col(qty)
+
+
+def revenue_after_e4(price=PRICE_COL, qty=QTY_AFTER, promo=PROMO_COL,
+                     convention: str = "sql", collation: str | None = None) -> Column:
+    """K2 in 1/10000 units: (cents x factor% - offset cents x 100) x qty x unit factor."""
+    assert convention in CONVENTIONS
+    cents, qty = price_cents(price), _col(qty)
+    expr = None
+    for label, factor, offset, unit_factor, _ in PROMO_RULES:
+        f100, off100 = int(Decimal(factor) * 100), int(Decimal(offset) * 100)
+        value = cents * F.lit(f100)
+        if off100:
+            value = value - F.lit(off100 * 100)
+        value = value * qty
+        if unit_factor != 1:
+            value = value * F.lit(unit_factor)
+        cond = promo_is(promo, label, collation)
+        expr = F.when(cond, value) if expr is None else expr.when(cond, value)
+    if convention == "r":
+        expr = expr.otherwise(F.lit(0).cast("bigint"))
+    return expr
+
+
+def e4_to_money(units: Column) -> Column:
+    """Exact DECIMAL amount from a (summed) 1/10000 unit count."""
+    return (units.cast("decimal(38,0)") * F.lit(Decimal("0.0001"))).cast("decimal(38,4)")
+
+
+def e4_to_double(units: Column) -> Column:
+    """The double nearest the amount: one correctly rounded division."""
+    return units.cast("double") / F.lit(float(E4))
+
+
 def incremental_sold_units(units_after, qty_before=QTY_BEFORE) -> Column:
     """K5: units after promo minus units before."""
     return _col(units_after) - _col(qty_before)
@@ -118,11 +169,11 @@ def incremental_revenue(rev_after="revenue_after_promo", rev_before="revenue_bef
     return (_col(rev_after) - _col(rev_before)).cast(MONEY)
 
 
-def margin_per_unit(rev_after="revenue_after_promo", qty=QTY_AFTER) -> Column:
+def margin_per_unit(rev_after_e4="revenue_after_e4", qty=QTY_AFTER) -> Column:
     """K8: revenue after promo over raw units after promo (an approximation in the
     source: not doubled for BOGOF). NULL when there are no units, like R's NaN
     that ``mean(na.rm=TRUE)`` drops."""
-    return F.try_divide(_col(rev_after).cast("double"), _col(qty).cast("double"))
+    return F.try_divide(e4_to_double(_col(rev_after_e4)), _col(qty).cast("double"))
 
 
 def discount_depth(promo=PROMO_COL, collation: str | None = None) -> Column:
@@ -143,10 +194,24 @@ def with_kpis(df: DataFrame, convention: str = "r", collation: str | None = None
     }).withColumn("incremental_sold_units", incremental_sold_units("sold_units_after_promo")))
 
 
-def with_metric_evaluation(kpi_df: DataFrame, collation: str | None = None) -> DataFrame:
+def with_kpi_units(df: DataFrame, convention: str = "r", collation: str | None = None) -> DataFrame:
+    """The aggregation form of K1-K5, K3, K8: money as ``*_e4`` BIGINT columns."""
+    return df.withColumns({
+        "revenue_before_e4": revenue_before_e4(),
+        "revenue_after_e4": revenue_after_e4(convention=convention, collation=collation),
+        "sold_units_after_promo": sold_units_after(convention=convention, collation=collation),
+    }).withColumns({
+        "incremental_sold_units": incremental_sold_units("sold_units_after_promo"),
+        "incremental_revenue_e4": F.col("revenue_after_e4") - F.col("revenue_before_e4"),
+        "margin_per_unit": margin_per_unit(),
+    })
+
+
+def with_metric_evaluation(kpi_df: DataFrame, collation: str | None = None,
+                           convention: str = "r") -> DataFrame:
     """Add K3, K8, K9 to a KPI fact."""
     return kpi_df.withColumns({
         "incremental_revenue": incremental_revenue(),
-        "margin_per_unit": margin_per_unit(),
+        "margin_per_unit": margin_per_unit(revenue_after_e4(convention=convention, collation=collation)),
         "discount_depth": discount_depth(collation=collation),
     })

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from promoscope.session import checkpoint_dir
+
 
 def null_safe_join_cond(keys: list[str], lsuffix: str) -> Column:
     cond = F.lit(True)
@@ -29,19 +31,36 @@ def _num_ranges(df: DataFrame, num_ranges: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def rank_intervals(df: DataFrame, keys: list[str], value: str,
+def value_counts(df: DataFrame, keys: list[str], value: str, materialize: bool = True) -> DataFrame:
+    """``(keys, value, _c)``: copies of each value per group, NULL values
+    included (as their own row). This is the one pass over the input that the
+    statistics below need; it is partially aggregated before its shuffle.
+
+    With ``materialize`` the table is checkpointed (eagerly, into the shared
+    ``spark.checkpoint.dir``): the percentile plan reads it several times
+    (range sampling, running counts, partition totals), and a checkpoint both
+    avoids recomputing the input and cuts the lineage for executor loss."""
+    freq = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    if materialize:
+        checkpoint_dir(df.sparkSession)
+        freq = freq.checkpoint(eager=True)
+    return freq
+
+
+def rank_intervals(freq: DataFrame, keys: list[str], value: str,
                    num_ranges: int | None = None) -> DataFrame:
-    """One row per distinct (keys, value) with ``_c`` (copies), ``_lo``/``_hi``
-    (1-based rank interval of those copies inside the group) and ``_n`` (group
-    size, non-NULL values only)."""
-    freq = (df.where(F.col(value).isNotNull())
-              .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
-    ranged = (freq.repartitionByRange(_num_ranges(df, num_ranges), *keys, value)
+    """From value counts, one row per distinct non-NULL (keys, value) with
+    ``_c`` (copies), ``_lo``/``_hi`` (1-based rank interval of those copies
+    inside the group) and ``_n`` (non-NULL values in the group)."""
+    freq = freq.where(F.col(value).isNotNull())
+    ranged = (freq.repartitionByRange(_num_ranges(freq, num_ranges), *keys, value)
                   .withColumn("_part", F.spark_partition_id()))
     running = Window.partitionBy("_part", *keys).orderBy(value).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("_cum", F.sum("_c").over(running))
-    totals = local.groupBy("_part", *keys).agg(F.max("_cum").alias("_t"))
+    # totals come from ``ranged`` itself, so both join sides share one range
+    # exchange (AQE reuses it)
+    totals = ranged.groupBy("_part", *keys).agg(F.sum("_c").alias("_t"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (totals.withColumn("_off", F.coalesce(F.sum("_t").over(before), F.lit(0)))
                      .withColumn("_n", F.sum("_t").over(Window.partitionBy(*keys)))
@@ -54,15 +73,19 @@ def rank_intervals(df: DataFrame, keys: list[str], value: str,
                     (F.col("_off") + F.col("_cum")).alias("_hi"))
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                      num_ranges: int | None = None) -> DataFrame:
-    """Exact linear-interpolation percentiles per group (R ``quantile`` type 7,
-    R ``median``, Spark ``percentile``, DuckDB ``quantile_cont``).
+def _as_double(c: Column) -> Column:
+    return c.cast("double")
 
-    ``probs`` maps output column name -> probability. Groups whose values are
-    all NULL are absent (join the result back with a left join)."""
-    iv = rank_intervals(df, keys, value, num_ranges)
-    v = F.col(value).cast("double")
+
+def percentiles_from_counts(freq: DataFrame, keys: list[str], value: str, probs: dict[str, float],
+                            num_ranges: int | None = None, to_double=_as_double) -> DataFrame:
+    """Exact linear-interpolation percentiles per group (R ``quantile`` type 7,
+    R ``median``, Spark ``percentile``, DuckDB ``quantile_cont``) from value
+    counts. ``probs`` maps output column name -> probability. ``to_double``
+    maps the (ordered) value to the double that is interpolated, e.g. an
+    integer money count to currency. Groups without non-NULL values are absent."""
+    iv = rank_intervals(freq, keys, value, num_ranges)
+    v = to_double(F.col(value))
     picks, wanted = [], F.lit(False)
     for name, p in probs.items():
         h = (F.col("_n") - 1) * F.lit(float(p))
@@ -81,6 +104,36 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     return agg.select(*out)
 
 
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
+                      num_ranges: int | None = None, to_double=_as_double,
+                      materialize: bool = True) -> DataFrame:
+    """``percentiles_from_counts`` over the value counts of ``df``."""
+    return percentiles_from_counts(value_counts(df, keys, value, materialize), keys, value, probs,
+                                   num_ranges, to_double)
+
+
+def moments_from_counts(freq: DataFrame, keys: list[str], value: str, unit: float = 1.0) -> DataFrame:
+    """Per group from integer value counts: ``_rows`` (all rows, NULL values
+    included), ``_cnt`` (non-NULL), ``_sum`` (exact DECIMAL(38,0) sum of the
+    integer values) and ``_sd`` (sample standard deviation of value/unit).
+
+    The deviation is exact up to one final rounding: n*sum(v^2) - sum(v)^2 is
+    an integer computed in DECIMAL(38,0), so no cancellation occurs."""
+    v = F.col(value).cast("decimal(38,0)")
+    c = F.col("_c").cast("decimal(38,0)")
+    nonnull = F.col(value).isNotNull()
+    agg = freq.groupBy(*keys).agg(
+        F.sum("_c").alias("_rows"),
+        F.sum(F.when(nonnull, F.col("_c"))).alias("_cnt"),
+        F.sum(v * c).alias("_sum"),
+        F.sum(v * v * c).alias("_sq"))
+    n = F.col("_cnt").cast("decimal(38,0)")
+    num = n * F.col("_sq") - F.col("_sum") * F.col("_sum")
+    var = F.try_divide(num.cast("double"), (F.col("_cnt").cast("double") * (F.col("_cnt") - 1).cast("double")))
+    sd = F.when(F.col("_cnt") > 1, F.sqrt(var) / F.lit(float(unit)))
+    return agg.select(*keys, "_rows", "_cnt", "_sum", sd.alias("_sd"))
+
+
 def approx_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
                        accuracy: int = 10000) -> DataFrame:
     """Opt-in bounded-memory variant (``percentile_approx``); exact is the default."""
@@ -101,15 +154,18 @@ def n_distinct_with_null(c: str) -> Column:
 
 
 def boxplot_stats(df: DataFrame, keys: list[str], value: str, coef: float = 1.5,
-                  num_ranges: int | None = None) -> DataFrame:
+                  num_ranges: int | None = None, to_double=_as_double) -> DataFrame:
     """Per-group box summary as a box plot draws it: quartiles (type 7),
     whiskers at the furthest values within ``coef`` x IQR of the box, and the
-    number of points beyond them. Two passes: exact quartiles, then one
-    aggregate over the rows with the (one row per group) quartiles joined back."""
-    q = exact_percentiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, num_ranges)
+    number of points beyond them. Both passes run on the value counts: exact
+    quartiles, then one aggregate over the counts with the (one row per group)
+    quartiles joined back."""
+    freq = value_counts(df, keys, value)
+    q = percentiles_from_counts(freq, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75},
+                                num_ranges, to_double)
     q = q.select(*[F.col(k).alias(k + "_q") for k in keys], "q1", "median", "q3")
-    v = F.col(value).cast("double")
-    j = df.where(F.col(value).isNotNull()).join(q, null_safe_join_cond(keys, "_q"), "inner")
+    v = to_double(F.col(value))
+    j = freq.where(F.col(value).isNotNull()).join(q, null_safe_join_cond(keys, "_q"), "inner")
     iqr = F.col("q3") - F.col("q1")
     lo_f = F.col("q1") - F.lit(coef) * iqr
     hi_f = F.col("q3") + F.lit(coef) * iqr
@@ -117,5 +173,5 @@ def boxplot_stats(df: DataFrame, keys: list[str], value: str, coef: float = 1.5,
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
         F.min(F.when(v >= lo_f, v)).alias("lower_whisker"),
         F.max(F.when(v <= hi_f, v)).alias("upper_whisker"),
-        F.count_if((v < lo_f) | (v > hi_f)).cast("bigint").alias("outliers"),
-        F.count(F.lit(1)).alias("n")))
+        F.coalesce(F.sum(F.when((v < lo_f) | (v > hi_f), F.col("_c"))), F.lit(0)).alias("outliers"),
+        F.sum("_c").alias("n")))

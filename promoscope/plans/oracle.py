@@ -27,8 +27,8 @@ fact_events AS (
               WHEN 'AF' THEN 'BOGOF' WHEN 'AO' THEN '500 Cashback' WHEN 'NF' THEN '50% OFF'
               WHEN 'NO' THEN '33% OFF' WHEN 'RF' THEN '25% OFF' END AS promo_type,
          cast(l.l_quantity AS BIGINT) AS quantity_sold_before_promo,
-         greatest(cast(l.l_quantity AS BIGINT) + 3 * cast(round(l.l_discount * 100) AS BIGINT)
-                  - 5 * cast(round(l.l_tax * 100) AS BIGINT), 0) AS quantity_sold_after_promo
+         greatest(cast(l.l_quantity AS BIGINT) + 3 * cast(floor(l.l_discount * 100 + 0.5) AS BIGINT)
+                  - 5 * cast(floor(l.l_tax * 100 + 0.5) AS BIGINT), 0) AS quantity_sold_after_promo
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
 ),
 dim_campaigns AS (

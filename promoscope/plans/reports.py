@@ -37,25 +37,27 @@ QB, QA = kpi.QTY_BEFORE, kpi.QTY_AFTER
 
 
 def fact_kpis(star: RetailStar, convention: str = "r", fact: DataFrame | None = None) -> DataFrame:
+    """The bare fact with the aggregation form of the KPIs (money in 1/10000
+    units, see ``functions.kpi``)."""
     f = star.fact_events if fact is None else fact
-    f = kpi.with_kpis(f, convention=convention)
-    return f.withColumns({
-        "incremental_revenue": kpi.incremental_revenue(),
-        "margin_per_unit": kpi.margin_per_unit(),
-    })
+    return kpi.with_kpi_units(f, convention=convention)
+
+
+def _sum_e4(c: str) -> Column:
+    return F.sum(F.col(c).cast("decimal(38,0)"))
 
 
 # partial aggregates: every report below is a combination of these
 _PARTIALS = {
     "_n": lambda: F.count(F.lit(1)),
-    "_ir_sum": lambda: F.sum("incremental_revenue"),
-    "_ir_cnt": lambda: F.count("incremental_revenue"),
+    "_ir_sum": lambda: _sum_e4("incremental_revenue_e4"),
+    "_ir_cnt": lambda: F.count("incremental_revenue_e4"),
     "_isu_sum": lambda: F.sum("incremental_sold_units"),
     "_isu_cnt": lambda: F.count("incremental_sold_units"),
     "_qb": lambda: F.sum(QB),
     "_qa": lambda: F.sum(QA),
-    "_rb": lambda: F.sum("revenue_before_promo"),
-    "_ra": lambda: F.sum("revenue_after_promo"),
+    "_rb": lambda: _sum_e4("revenue_before_e4"),
+    "_ra": lambda: _sum_e4("revenue_after_e4"),
 }
 
 
@@ -77,8 +79,14 @@ def _by_attribute(star: RetailStar, fact: DataFrame, dim: str, key: str, fact_ke
     return _reroll(j, attrs + fact_keys, names)
 
 
+def _money(c) -> Column:
+    """Summed 1/10000 units as an exact DECIMAL(38,4) amount."""
+    return kpi.e4_to_money(F.col(c) if isinstance(c, str) else c)
+
+
 def _money0(c: str) -> Column:
-    return F.coalesce(F.col(c), F.lit(0)).cast("decimal(38,4)")
+    """R ``sum(x, na.rm=TRUE)`` of money: 0 for an all-NULL group."""
+    return _money(F.coalesce(F.col(c), F.lit(0)))
 
 
 def _ratio_pct(num: Column, den: Column) -> Column:
@@ -112,8 +120,8 @@ def q3_campaign_revenue(star: RetailStar) -> DataFrame:
     t = _by_attribute(star, f, "dim_campaigns", "campaign_id", [], ["campaign_name"],
                       ["_rb", "_ra"], "inner")
     return t.select("campaign_name",
-                    millions_label(F.col("_rb")).alias("total_revenue_before_promotion"),
-                    millions_label(F.col("_ra")).alias("total_revenue_after_promotion"))
+                    millions_label(_money("_rb")).alias("total_revenue_before_promotion"),
+                    millions_label(_money("_ra")).alias("total_revenue_after_promotion"))
 
 
 def q4_campaign_isu_rank(star: RetailStar, campaign_name: str = "FY1998") -> DataFrame:
@@ -129,7 +137,7 @@ def q5_top5_products_ir(star: RetailStar, k: int = 5) -> DataFrame:
     f = fact_kpis(star, "sql")
     t = _by_attribute(star, f, "dim_products", "product_code", [], ["product_name", "category"],
                       ["_rb", "_ra"], "inner")
-    ir = F.round(_ratio_pct(F.col("_ra") - F.col("_rb"), F.col("_rb")), 2)
+    ir = F.round(_ratio_pct(_money(F.col("_ra") - F.col("_rb")), _money("_rb")), 2)
     t = t.select("product_name", "category", ir.alias("IR_Percent"))
     return ranking.top_k(t, k, F.desc_nulls_last("IR_Percent"), F.asc_nulls_last("product_name"),
                          F.asc_nulls_last("category"))
@@ -149,8 +157,8 @@ def kpi_fact(star: RetailStar) -> DataFrame:
 
 def overall_ir_pct(star: RetailStar) -> DataFrame:
     f = fact_kpis(star, "r")
-    t = f.agg(F.sum("revenue_after_promo").alias("a"), F.sum("revenue_before_promo").alias("b"))
-    return t.select(F.round(_pct_of(F.col("a") - F.col("b"), F.col("b")), 2).alias("IR_Percentage"))
+    t = f.agg(_sum_e4("revenue_after_e4").alias("a"), _sum_e4("revenue_before_e4").alias("b"))
+    return t.select(F.round(_pct_of(_money(F.col("a") - F.col("b")), _money("b")), 2).alias("IR_Percentage"))
 
 
 def enrich_with_overall_ir(star: RetailStar) -> DataFrame:
@@ -212,7 +220,7 @@ def city_performance(star: RetailStar) -> DataFrame:
     t = j.groupBy("city").agg(F.sum("_ir_sum").alias("s"), F.sum("_ir_cnt").alias("c"),
                               stats.n_distinct_with_null("store_id").alias("store_count"))
     return t.select("city", _money0("s").alias("total_incremental_revenue"),
-                    stats.mean_of(F.col("s"), F.col("c")).alias("avg_incremental_revenue"),
+                    stats.mean_of(_money("s"), F.col("c")).alias("avg_incremental_revenue"),
                     "store_count").orderBy(F.desc_nulls_last("total_incremental_revenue"),
                                            F.asc_nulls_last("city"))
 
@@ -254,23 +262,31 @@ def promo_isu(star: RetailStar) -> DataFrame:
         "total_incremental_sold_units")).orderBy(F.desc_nulls_last("total_incremental_sold_units"))
 
 
-def _promo_stats(star: RetailStar, value: str, suffix: str, exact: bool = True) -> DataFrame:
+def _promo_stats(star: RetailStar, value: str, suffix: str, exact: bool = True,
+                 money: bool = False) -> DataFrame:
+    """Mean, median, sample sd and row count by promo from one pass over the
+    fact (value counts; the values are integers: units or 1/10000 money)."""
     f = fact_kpis(star, "r")
-    base = f.groupBy("promo_type").agg(
-        F.sum(value).alias("s"), F.count(value).alias("c"),
-        F.stddev_samp(F.col(value).cast("double")).alias(f"sd_{suffix}"),
-        F.count(F.lit(1)).alias("store_count"))
-    pct = stats.exact_percentiles if exact else stats.approx_percentiles
-    med = pct(f, ["promo_type"], value, {f"median_{suffix}": 0.5})
+    unit = float(kpi.E4) if money else 1.0
+    to_double = kpi.e4_to_double if money else (lambda c: c.cast("double"))
+    freq = stats.value_counts(f, ["promo_type"], value, materialize=exact)
+    mom = stats.moments_from_counts(freq, ["promo_type"], value, unit)
+    if exact:
+        med = stats.percentiles_from_counts(freq, ["promo_type"], value, {f"median_{suffix}": 0.5},
+                                            to_double=to_double)
+    else:
+        med = stats.approx_percentiles(f.withColumn(value, to_double(F.col(value))), ["promo_type"],
+                                       value, {f"median_{suffix}": 0.5})
     med = med.withColumnRenamed("promo_type", "_p")
-    j = base.join(med, F.col("promo_type").eqNullSafe(F.col("_p")), "left")
-    return j.select("promo_type", stats.mean_of(F.col("s"), F.col("c")).alias(f"avg_{suffix}"),
-                    f"median_{suffix}", f"sd_{suffix}", "store_count").orderBy(
-        F.desc_nulls_last(f"avg_{suffix}"))
+    j = mom.join(med, F.col("promo_type").eqNullSafe(F.col("_p")), "left")
+    s_amount = _money("_sum") if money else F.col("_sum")
+    return j.select("promo_type", stats.mean_of(s_amount, F.col("_cnt")).alias(f"avg_{suffix}"),
+                    f"median_{suffix}", F.col("_sd").alias(f"sd_{suffix}"),
+                    F.col("_rows").alias("store_count")).orderBy(F.desc_nulls_last(f"avg_{suffix}"))
 
 
 def promo_ir_stats(star: RetailStar, exact: bool = True) -> DataFrame:
-    return _promo_stats(star, "incremental_revenue", "incremental_revenue", exact)
+    return _promo_stats(star, "incremental_revenue_e4", "incremental_revenue", exact, money=True)
 
 
 def promo_isu_stats(star: RetailStar, exact: bool = True) -> DataFrame:
@@ -289,10 +305,10 @@ def promo_efficiency(star: RetailStar) -> DataFrame:
     f = fact_kpis(star, "r")
     t = f.groupBy("promo_type").agg(
         F.sum("incremental_sold_units").alias("su"), F.count("incremental_sold_units").alias("cu"),
-        F.sum("incremental_revenue").alias("sr"), F.count("incremental_revenue").alias("cr"),
+        _sum_e4("incremental_revenue_e4").alias("sr"), F.count("incremental_revenue_e4").alias("cr"),
         F.avg("margin_per_unit").alias("avg_margin_per_unit"))
     return t.select("promo_type", stats.mean_of(F.col("su"), F.col("cu")).alias("avg_incremental_sold_units"),
-                    stats.mean_of(F.col("sr"), F.col("cr")).alias("avg_incremental_revenue"),
+                    stats.mean_of(_money("sr"), F.col("cr")).alias("avg_incremental_revenue"),
                     "avg_margin_per_unit").orderBy(F.desc_nulls_last("avg_incremental_sold_units"))
 
 
@@ -338,7 +354,7 @@ def category_promo_effectiveness(star: RetailStar) -> DataFrame:
                       ["category"], ["_isu_sum", "_isu_cnt", "_ir_sum", "_ir_cnt"], "left")
     return t.select("category", "promo_type",
                     stats.mean_of(F.col("_isu_sum"), F.col("_isu_cnt")).alias("avg_incremental_units"),
-                    stats.mean_of(F.col("_ir_sum"), F.col("_ir_cnt")).alias("avg_incremental_revenue")
+                    stats.mean_of(_money("_ir_sum"), F.col("_ir_cnt")).alias("avg_incremental_revenue")
                     ).orderBy(F.desc_nulls_last("avg_incremental_units"))
 
 
@@ -398,7 +414,8 @@ def product_axis_order(star: RetailStar) -> DataFrame:
 
 
 def ir_boxplot_by_promo(star: RetailStar) -> DataFrame:
-    return stats.boxplot_stats(fact_kpis(star, "r"), ["promo_type"], "incremental_revenue")
+    return stats.boxplot_stats(fact_kpis(star, "r"), ["promo_type"], "incremental_revenue_e4",
+                               to_double=kpi.e4_to_double)
 
 
 def promo_tradeoff_points(star: RetailStar) -> DataFrame:

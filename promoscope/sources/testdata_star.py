@@ -10,6 +10,8 @@ The mapping is fixed (the oracle SQL in ``plans.oracle`` states the same one):
 * promotion  = (return flag, line status): AF BOGOF, AO 500 Cashback, NF 50% OFF,
   NO 33% OFF, RF 25% OFF, RO none (NULL), so the NULL-promo rules always run
 * units before = quantity; units after = quantity + 3*discount% - 5*tax%, at least 0
+  (percentages as floor(x*100 + 0.5): exact for two-decimal rates, and a
+  cheap long operation where round() of a double goes through BigDecimal)
 
 Every fact column but the price is a projection of ``lineitem`` (no shuffle);
 the price is a lookup of the product key. Dimensions are small derived tables;
@@ -58,8 +60,8 @@ def fact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey"), F.col("p_retailprice").cast(PRICE).alias("base_price"))
     qty = F.col("l_quantity").cast("bigint")
     after = F.greatest(
-        qty + F.lit(3) * F.round(F.col("l_discount") * 100).cast("bigint")
-        - F.lit(5) * F.round(F.col("l_tax") * 100).cast("bigint"),
+        qty + F.lit(3) * F.floor(F.col("l_discount") * 100 + 0.5)
+        - F.lit(5) * F.floor(F.col("l_tax") * 100 + 0.5),
         F.lit(0).cast("bigint"))
     return (li.join(price, li.l_partkey == price.p_partkey, "inner")
               .select(
