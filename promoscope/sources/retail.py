@@ -7,9 +7,10 @@
   text (S5). The file is split on the tuple separator ``),(`` by the text
   source itself, so a single huge statement is still read by many tasks;
   statement heads and tails are cut with regular expressions and each tuple is
-  parsed by ``from_csv`` with ``'`` as quote and ``NULL`` as null. Limits: one
-  table per file set, and a quoted value containing ``),(`` or ``);`` splits
-  wrongly.
+  parsed by ``from_csv`` with ``'`` as quote and ``NULL`` as null. Other SQL
+  text (DDL, comments, locks) around the statements is skipped. Limits: one
+  table's INSERTs per file set, and a quoted value containing ``),(`` or
+  ``);`` splits wrongly.
 """
 
 from __future__ import annotations
@@ -79,11 +80,13 @@ def read_insert_tuples(spark: SparkSession, path: str, schema: T.StructType,
     head = _head_regex(table)
     raw = spark.read.option("lineSep", TUPLE_SEP).text(path)
     # a record is one tuple, possibly with a statement tail ");..." and the
-    # next statement's head "...VALUES (" around it
+    # next statement's head "...VALUES (" around it. A piece without a head is
+    # a tuple only if it opens the record and holds no line break (a dump
+    # escapes line breaks inside values); otherwise it is other SQL text.
     pieces = raw.select(F.posexplode(F.split(F.col("value"), r"\)\s*;")).alias("i", "piece"))
     has_head = F.col("piece").rlike(head)
     body = (F.when(has_head, F.regexp_extract(F.col("piece"), r"(?s)" + head + r"(.*)$", 1))
-             .when(F.col("i") == 0, F.col("piece")))
+             .when((F.col("i") == 0) & ~F.col("piece").contains("\n"), F.col("piece")))
     tuples = pieces.select(body.alias("t")).where(F.col("t").isNotNull() & (F.trim(F.col("t")) != ""))
     opts = {"quote": "'", "escape": "\\", "nullValue": "NULL", "ignoreLeadingWhiteSpace": "true",
             "ignoreTrailingWhiteSpace": "true", "mode": "PERMISSIVE"}
