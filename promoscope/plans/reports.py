@@ -39,8 +39,12 @@ QB, QA = kpi.QTY_BEFORE, kpi.QTY_AFTER
 def fact_kpis(star: RetailStar, convention: str = "r", fact: DataFrame | None = None) -> DataFrame:
     """The bare fact with the aggregation form of the KPIs (money in 1/10000
     units, see ``functions.kpi``)."""
-    f = star.fact_events if fact is None else fact
-    return kpi.with_kpi_units(f, convention=convention)
+    if fact is not None:
+        return kpi.with_kpi_units(fact, convention=convention)
+    key = ("fact_kpis", convention)
+    if key not in star.memo:
+        star.memo[key] = kpi.with_kpi_units(star.fact_events, convention=convention)
+    return star.memo[key]
 
 
 def _sum_e4(c: str) -> Column:

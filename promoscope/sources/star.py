@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 
@@ -13,6 +14,15 @@ class RetailStar:
     dim_campaigns: DataFrame
     dim_products: DataFrame
     dim_stores: DataFrame
+    # derived lazy plans (e.g. the KPI projection), built once per star
+    memo: dict = field(default_factory=dict, compare=False, hash=False, repr=False)
+
+    def persisted(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> "RetailStar":
+        """The same star with the fact kept by the executors after its first
+        use (spilling to disk). For a session that runs many reports; a lost
+        executor's blocks are recomputed from the lineage."""
+        return RetailStar(self.fact_events.persist(level), self.dim_campaigns,
+                          self.dim_products, self.dim_stores)
 
     def register(self, prefix: str = "") -> "RetailStar":
         """Expose the four tables as temp views (S3) for ``spark.sql`` users."""

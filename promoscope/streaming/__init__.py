@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The reference reads its four tables once, in batch, and has no stream,
+watermark, window or state (SURVEY §2.10). Every report here is a batch
+DataFrame plan. The row-level KPI columns (``functions.kpi``) are stateless,
+so they can be applied to a ``readStream`` source unchanged if a stream of
+sales events ever has to be scored; no streaming operator is added because
+the reference has none to match.
+"""
