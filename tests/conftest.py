@@ -29,12 +29,12 @@ def make_star(spark, fact_rows, campaigns=None, products=None, stores=None):
     fact = [(e, s, c, p, Decimal(str(price)), promo, qb, qa)
             for e, s, c, p, price, promo, qb, qa in fact_rows]
     campaigns = campaigns if campaigns is not None else [
-        ("C1", "Diwali", dt.date(2023, 11, 12), dt.date(2023, 11, 18)),
-        ("C2", "Sankranti", dt.date(2024, 1, 10), dt.date(2024, 1, 16))]
+        ("C1", "Spring Sale", dt.date(2023, 11, 12), dt.date(2023, 11, 18)),
+        ("C2", "Autumn Sale", dt.date(2024, 1, 10), dt.date(2024, 1, 16))]
     products = products if products is not None else [
-        ("P1", "Atliq Rice (1KG)", "Grocery & Staples"), ("P2", "Atliq Soap", "Personal Care"),
-        ("P3", "Atliq Lamp", "Home Appliances")]
-    stores = stores if stores is not None else [("S1", "Mysuru"), ("S2", "Chennai"), ("S3", "Chennai")]
+        ("P1", "Oat Flakes (1KG)", "Pantry & Breakfast"), ("P2", "Lemon Soap", "Bath"),
+        ("P3", "Desk Lamp", "Lighting")]
+    stores = stores if stores is not None else [("S1", "Riverton"), ("S2", "Lakeside"), ("S3", "Lakeside")]
     nullable = lambda schema: schema.__class__([f.__class__(f.name, f.dataType, True) for f in schema.fields])
     return RetailStar(
         spark.createDataFrame(fact, nullable(schemas.FACT_EVENTS)),
