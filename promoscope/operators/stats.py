@@ -12,6 +12,8 @@ partitions like any other.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,19 +33,34 @@ def _num_ranges(df: DataFrame, num_ranges: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def value_counts(df: DataFrame, keys: list[str], value: str, materialize: bool = True) -> DataFrame:
-    """``(keys, value, _c)``: copies of each value per group, NULL values
-    included (as their own row). This is the one pass over the input that the
-    statistics below need; it is partially aggregated before its shuffle.
-
-    With ``materialize`` the table is checkpointed (eagerly, into the shared
-    ``spark.checkpoint.dir``): the percentile plan reads it several times
-    (range sampling, running counts, partition totals), and a checkpoint both
-    avoids recomputing the input and cuts the lineage for executor loss."""
+def _with_ranges(freq: DataFrame, keys: list[str], value: str, num_ranges: int | None) -> DataFrame:
+    """Range-partition the counts on (keys, value) and tag each row with its
+    range (``_part``). Equal (keys, value) pairs land in one range; a huge
+    group spans many ranges."""
+    return (freq.repartitionByRange(_num_ranges(freq, num_ranges), *keys, value)
+                .withColumn("_part", F.spark_partition_id()))
+
+
+def value_counts(df: DataFrame, keys: list[str], value: str, materialize: bool = True,
+                 num_ranges: int | None = None) -> DataFrame:
+    """``(keys, value, _c[, _part])``: copies of each value per group, NULL
+    values included (as their own row). This is the one pass over the input
+    that the statistics below need; it is partially aggregated before its
+    shuffle.
+
+    With ``materialize`` the counts are also range-partitioned (``_part``,
+    see ``rank_intervals``) and written once as Parquet into the shared folder
+    named by ``spark.checkpoint.dir``, then read back. The statistics read the
+    table several times; the written table avoids recomputing the input (with
+    AQE the range sampling reads the finished aggregation shuffle) and cuts the
+    lineage for executor loss. (``Dataset.checkpoint`` on an uncached plan would
+    compute the input twice: once for its action, once to write.)"""
     freq = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     if materialize:
-        checkpoint_dir(df.sparkSession)
-        freq = freq.checkpoint(eager=True)
+        spark = df.sparkSession
+        path = f"{checkpoint_dir(spark).rstrip('/')}/value-counts-{uuid.uuid4().hex}"
+        _with_ranges(freq, keys, value, num_ranges).write.parquet(path)
+        freq = spark.read.parquet(path)
     return freq
 
 
@@ -51,15 +68,17 @@ def rank_intervals(freq: DataFrame, keys: list[str], value: str,
                    num_ranges: int | None = None) -> DataFrame:
     """From value counts, one row per distinct non-NULL (keys, value) with
     ``_c`` (copies), ``_lo``/``_hi`` (1-based rank interval of those copies
-    inside the group) and ``_n`` (non-NULL values in the group)."""
-    freq = freq.where(F.col(value).isNotNull())
-    ranged = (freq.repartitionByRange(_num_ranges(freq, num_ranges), *keys, value)
-                  .withColumn("_part", F.spark_partition_id()))
+    inside the group) and ``_n`` (non-NULL values in the group).
+
+    Running counts are taken inside each (range, group); each range's offset
+    inside its group is the sum of the counts of the earlier ranges, from a
+    table of at most ranges + groups rows."""
+    if "_part" not in freq.columns:
+        freq = _with_ranges(freq, keys, value, num_ranges)
+    ranged = freq.where(F.col(value).isNotNull())
     running = Window.partitionBy("_part", *keys).orderBy(value).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("_cum", F.sum("_c").over(running))
-    # totals come from ``ranged`` itself, so both join sides share one range
-    # exchange (AQE reuses it)
     totals = ranged.groupBy("_part", *keys).agg(F.sum("_c").alias("_t"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (totals.withColumn("_off", F.coalesce(F.sum("_t").over(before), F.lit(0)))
