@@ -18,6 +18,24 @@ _LOCAL_DEFAULTS = {
 }
 
 
+# Settings this library is designed around on a large cluster (pass them when
+# building the session; nothing here sets them for you). AQE sizes the shuffle
+# partitions from the runtime data: start with many, let AQE coalesce to
+# ~256 MB each, split skewed sort-merge join partitions, and broadcast a join
+# side only after measuring it small. Value-count tables and round-trip files
+# go to the shared folder in ``spark.checkpoint.dir``.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+
 def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
                 app_name: str = "promoscope", extra: dict | None = None) -> SparkSession:
     """Session for tests and the bench. On a cluster, build your own session

@@ -58,11 +58,12 @@ def read_parquet_star(spark: SparkSession, root: str) -> RetailStar:
                       load("dim_stores", schemas.DIM_STORES))
 
 
-def write_csv_star(star: RetailStar, root: str, date_format: str = DAY_FIRST) -> None:
-    """CSV copy of the star as the reference ships it: day-first dates and the
-    raw quantity headers. Written in parallel, one folder per table."""
+def write_csv_star(star: RetailStar, root: str, date_format: str = DAY_FIRST,
+                   tables=("fact_events", "dim_campaigns", "dim_products", "dim_stores")) -> None:
+    """CSV copy of the star in the shipped layout: day-first dates and the raw
+    quantity headers. Written in parallel, one folder per table."""
     back = {v: k for k, v in schemas.RAW_QTY_RENAMES.items()}
-    for name in ("fact_events", "dim_campaigns", "dim_products", "dim_stores"):
+    for name in tables:
         df = getattr(star, name)
         df = df.select(*[
             F.date_format(F.col(c), date_format).alias(c) if isinstance(df.schema[c].dataType, T.DateType)
