@@ -19,6 +19,7 @@ from promoscope import schemas
 from promoscope.operators import quality
 from promoscope.operators.star import left_join_null_safe
 from promoscope.plans import reports as R
+from promoscope.plans import sql_reports as SQL
 from promoscope.session import checkpoint_dir
 from promoscope.sources.retail import (
     read_csv_typed, read_insert_tuples, write_csv_star, write_insert_tuples,
@@ -129,6 +130,12 @@ _STAR_REPORTS: dict[str, tuple[Callable[[RetailStar], DataFrame], tuple[str, ...
     "ir_boxplot_by_promo": (R.ir_boxplot_by_promo, ("q1", "median", "q3", "lower_whisker", "upper_whisker")),
     "promo_tradeoff_points": (R.promo_tradeoff_points, ("y",)),
     "quality_checks": (quality.quality_checks, ()),
+    # entry point A: the same five reports as Spark SQL text
+    "q1_high_value_bogof_sql": (SQL.q1_sql, ()),
+    "q2_stores_by_city_sql": (SQL.q2_sql, ()),
+    "q3_campaign_revenue_sql": (SQL.q3_sql, ()),
+    "q4_campaign_isu_rank_sql": (SQL.q4_sql, ()),
+    "q5_top5_products_ir_sql": (SQL.q5_sql, ()),
 }
 
 

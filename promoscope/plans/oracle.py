@@ -307,4 +307,7 @@ FROM fact_events f LEFT JOIN dim_campaigns c ON f.campaign_id IS NOT DISTINCT FR
     q["null_safe_left_join"] = _q("""
 SELECT f.event_id, f.store_id, s.city
 FROM fact_events f LEFT JOIN dim_stores s ON f.store_id IS NOT DISTINCT FROM s.store_id""")
+    for k in ("q1_high_value_bogof", "q2_stores_by_city", "q3_campaign_revenue", "q4_campaign_isu_rank",
+              "q5_top5_products_ir"):
+        q[k + "_sql"] = q[k]          # the Spark SQL text versions answer the same question
     return q

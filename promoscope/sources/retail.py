@@ -121,3 +121,13 @@ def write_insert_tuples(df: DataFrame, path: str, table: str) -> None:
                 yield pd.DataFrame({"value": [head + TUPLE_SEP.join(pdf["t"].tolist()) + ");"]})
 
     tup.mapInPandas(statements, "value string").write.mode("overwrite").text(path)
+
+
+def write_report(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None) -> None:
+    """A report's sink. Reports are DataFrames; writing one is a parallel
+    job (one file per task), never a collect. ``partition_by`` lays the output
+    out by a column (e.g. ``campaign_id`` for a fact) so later filters prune."""
+    w = df.write.mode("overwrite").format(fmt)
+    if partition_by:
+        w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
+    w.save(path)

@@ -178,3 +178,13 @@ def test_label_format(spark):
     assert got[2] == ("-1.23M", "₹-1,234.6K")
     assert got[3] == ("0.00M", "₹0.0K")
     assert got[4] == ("0.00M", "₹5.0K")
+
+
+def test_scalar_attach_then_drop_gives_kpi_fact(spark):
+    # R4 then P3: every row carries the global IR%, and dropping it restores R2
+    star = make_star(spark, [("a", "S1", "C1", "P1", 10, "BOGOF", 1, 2), ("b", "S2", "C2", "P2", 10, None, 3, 4)])
+    with_ir = R.enrich_with_overall_ir(star)
+    assert {r.IR_Percentage for r in with_ir.collect()} == {R.overall_ir_pct(star).first()[0]}
+    dropped = with_ir.drop("IR_Percentage")
+    assert dropped.columns == R.kpi_fact(star).columns
+    assert sorted(map(tuple, dropped.collect())) == sorted(map(tuple, R.kpi_fact(star).collect()))

@@ -45,3 +45,15 @@ def test_csv_day_first_dates_and_raw_headers(spark):
     assert got["2.22E+12"].quantity_sold_before_promo == 393
     assert got["0012"].promo_type is None
     assert fact.schema["base_price"].dataType == schemas.PRICE
+
+
+def test_write_report_partitioned_round_trip(spark, tmp_path):
+    from promoscope.sources.retail import write_report
+    from tests.conftest import make_star
+    star = make_star(spark, [("a", "S1", "C1", "P1", 10, "BOGOF", 1, 2), ("b", "S2", "C2", "P2", 10, None, 3, 4)])
+    path = str(tmp_path / "fact")
+    write_report(star.fact_events, path, partition_by="campaign_id")
+    back = spark.read.parquet(path)
+    assert sorted(r.event_id for r in back.where("campaign_id = 'C2'").collect()) == ["b"]
+    plan = back.where("campaign_id = 'C2'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(campaign_id" in plan
