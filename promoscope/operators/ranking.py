@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from promoscope.operators.stats import range_partition
+
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(k)
@@ -32,13 +34,12 @@ def global_rank(df: DataFrame, order: list[Column], name: str, method: str = "ra
     it needs distinct counts per partition, ``row_number`` (ties broken by the
     order given, so pass a unique order)."""
     assert method in ("rank", "row_number")
-    p = num_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(p, *order).withColumn("_part", F.spark_partition_id())
+    ranged = range_partition(df, order, num_ranges)
     w = Window.partitionBy("_part").orderBy(*order)
     fn = F.rank() if method == "rank" else F.row_number()
     local = ranged.withColumn("_local", fn.over(w))
     counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
-    # at most ``p`` rows: the unpartitioned window is bounded by the partition count
+    # one row per range: the unpartitioned window is bounded by the partition count
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("_part").alias("_part_o"),
                             F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))

@@ -27,18 +27,22 @@ def null_safe_join_cond(keys: list[str], lsuffix: str) -> Column:
     return cond
 
 
-def _num_ranges(df: DataFrame, num_ranges: int | None) -> int:
-    if num_ranges:
-        return num_ranges
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def range_partition(df: DataFrame, cols: list, num_ranges: int | None = None) -> DataFrame:
+    """Range-partition on ``cols`` and tag rows with their range id ``_part``.
+
+    Without ``num_ranges`` the partition count is left to AQE, which may merge
+    adjacent ranges (never split them), so ``_part`` stays ordered and equal
+    keys stay in one range, while a small input does not fan out to
+    ``spark.sql.shuffle.partitions`` empty tasks."""
+    out = df.repartitionByRange(num_ranges, *cols) if num_ranges else df.repartitionByRange(*cols)
+    return out.withColumn("_part", F.spark_partition_id())
 
 
 def _with_ranges(freq: DataFrame, keys: list[str], value: str, num_ranges: int | None) -> DataFrame:
     """Range-partition the counts on (keys, value) and tag each row with its
     range (``_part``). Equal (keys, value) pairs land in one range; a huge
     group spans many ranges."""
-    return (freq.repartitionByRange(_num_ranges(freq, num_ranges), *keys, value)
-                .withColumn("_part", F.spark_partition_id()))
+    return range_partition(freq, [*keys, value], num_ranges)
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str, materialize: bool = True,

@@ -54,9 +54,10 @@ def test_global_rank_and_row_number(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"k": np.arange(500), "v": rng.integers(0, 20, 500)})
     df = spark.createDataFrame(pdf, "k bigint, v bigint")
-    rk = ranking.global_rank(df, [F.desc("v")], "r", "rank", num_ranges=6).toPandas().set_index("k").r
     expect = pdf.v.rank(method="min", ascending=False).astype(int)
-    assert (rk.sort_index().values == expect.values).all()
+    for n in (6, None):                    # explicit ranges, and AQE-sized (coalesced) ranges
+        rk = ranking.global_rank(df, [F.desc("v")], "r", "rank", num_ranges=n).toPandas().set_index("k").r
+        assert (rk.sort_index().values == expect.values).all()
     rn = ranking.global_rank(df, [F.asc("v"), F.asc("k")], "r", "row_number", num_ranges=6)
     rn = rn.toPandas().sort_values("r")
     assert list(rn.r) == list(range(1, 501))
