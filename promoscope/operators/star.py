@@ -7,10 +7,13 @@ Two join flavours exist in the reference and both are kept:
   matches a NULL dimension key (``eqNullSafe``). Spark still plans ``<=>`` as
   an equi-join (hash or sort-merge), so this costs nothing extra.
 
-No broadcast hint is given to dimensions, because a dimension of this star
-(products, stores) grows with the data. AQE broadcasts a side only after
-measuring it below ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
-The only hinted broadcasts are of frames with a proven bound (one row).
+A dimension is broadcast only behind a proven bound (``sized_broadcast``):
+its rows are counted (once per star, ``limit(max+1).count()`` stops early on a
+big table) and the hint is given only below ``max_rows``; otherwise the join
+is left to the planner and AQE (sort-merge, skew splitting). This matters for
+dimensions derived by aggregation (the campaign table is the distinct order
+years): Catalyst estimates their size from the whole input, and a runtime
+conversion by AQE comes after the fact side has already been shuffled.
 """
 
 from __future__ import annotations
@@ -39,13 +42,33 @@ def inner_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key, "inner")
 
 
+DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
+    Runs one counting job (it returns a number, no data reaches the driver)."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def star_dim(star: RetailStar, name: str, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """A dimension of ``star`` prepared for a join with the fact: broadcast if
+    proven small (checked once per star)."""
+    key = ("sized_dim", name, max_rows)
+    if key not in star.memo:
+        star.memo[key] = sized_broadcast(getattr(star, name), max_rows)
+    return star.memo[key]
+
+
 def enrich(star: RetailStar, fact: DataFrame | None = None,
-           dims=("dim_campaigns", "dim_products", "dim_stores"), how: str = "left") -> DataFrame:
+           dims=("dim_campaigns", "dim_products", "dim_stores"), how: str = "left",
+           max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """The wide fact. ``dims`` names only the dimensions a report needs, since
     Spark cannot drop an unused outer join by itself."""
     out = star.fact_events if fact is None else fact
     for d in dims:
-        dim, key = getattr(star, d), DIM_KEYS[d]
+        dim, key = star_dim(star, d, max_broadcast_rows), DIM_KEYS[d]
         out = left_join_null_safe(out, dim, key) if how == "left" else inner_join(out, dim, key)
     return out
 
