@@ -5,9 +5,9 @@
 * ``top_n_per_group``: ``row_number`` per group; Spark inserts a
   WindowGroupLimit before the shuffle.
 * ``global_rank``: rank/row number over the whole frame without a
-  single-partition window: range-partition on the order keys (equal keys land
-  in one partition), rank inside each partition, add the row count of all
-  earlier partitions (a table of at most ``num_ranges`` rows).
+  single-partition window: range-partition on the order keys, number rows
+  inside each range, add the row count of all earlier ranges (a table of one
+  row per range); ranks with ties take the first row number of their tie group.
 """
 
 from __future__ import annotations
@@ -28,16 +28,41 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], order: list[Column], n
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n).drop(name)
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str, method: str = "rank",
-                num_ranges: int | None = None) -> DataFrame:
-    """``method``: ``rank`` (gaps after ties), ``dense_rank`` is not offered since
-    it needs distinct counts per partition, ``row_number`` (ties broken by the
-    order given, so pass a unique order)."""
+def _orders(cols: list[str], descending) -> list[Column]:
+    desc = descending if isinstance(descending, (list, tuple)) else [descending] * len(cols)
+    return [F.desc_nulls_last(c) if d else F.asc_nulls_last(c) for c, d in zip(cols, desc)]
+
+
+def global_rank(df: DataFrame, cols: list[str], name: str, method: str = "rank",
+                descending=False, num_ranges: int | None = None) -> DataFrame:
+    """Rank over the whole frame by ``cols`` (NULLs last) without a
+    single-partition window. ``descending``: one flag or one per column.
+
+    ``row_number``: ties broken by ``cols`` in order (make them unique).
+    ``rank`` (gaps after ties): a row number over ``cols`` plus a per-row id,
+    so even a huge tie group is spread over many ranges; then the smallest row
+    number of each tie group (partially aggregated: a hot tie costs one row per
+    task) is joined back as the rank."""
     assert method in ("rank", "row_number")
+    order = _orders(cols, descending)
+    if method == "row_number":
+        return _row_number(df, order, name, num_ranges)
+    keyed = df.withColumn("_rid", F.monotonically_increasing_id())
+    rn = _row_number(keyed, order + [F.asc("_rid")], "_rn", num_ranges)
+    firsts = rn.groupBy(*cols).agg(F.min("_rn").alias(name)).select(
+        *[F.col(c).alias(c + "_o") for c in cols], name)
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(c).eqNullSafe(F.col(c + "_o"))
+    return rn.join(firsts, cond, "inner").drop(*[c + "_o" for c in cols], "_rid", "_rn")
+
+
+def _row_number(df: DataFrame, order: list[Column], name: str, num_ranges: int | None) -> DataFrame:
+    """Range-partition on the order, number rows inside each range, add the
+    row count of all earlier ranges (a table of one row per range)."""
     ranged = range_partition(df, order, num_ranges)
     w = Window.partitionBy("_part").orderBy(*order)
-    fn = F.rank() if method == "rank" else F.row_number()
-    local = ranged.withColumn("_local", fn.over(w))
+    local = ranged.withColumn("_local", F.row_number().over(w))
     counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per range: the unpartitioned window is bounded by the partition count
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,7 +78,7 @@ def axis_order(df: DataFrame, label: str, y: str, name: str = "axis_position",
     """Position of each label on a chart axis ordered by the mean of ``y``
     per label (ascending, ties by label), attached to every row of ``df``."""
     means = df.groupBy(label).agg(F.avg(F.col(y).cast("double")).alias("_mean"))
-    pos = global_rank(means, [F.asc_nulls_last("_mean"), F.asc_nulls_last(label)], name,
-                      method="row_number", num_ranges=num_ranges).drop("_mean")
+    pos = global_rank(means, ["_mean", label], name, method="row_number",
+                      num_ranges=num_ranges).drop("_mean")
     pos = pos.withColumnRenamed(label, "_label_o")
     return df.join(pos, F.col(label).eqNullSafe(F.col("_label_o")), "left").drop("_label_o")

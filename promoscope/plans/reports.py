@@ -134,7 +134,7 @@ def q4_campaign_isu_rank(star: RetailStar, campaign_name: str = "FY1998") -> Dat
     t = _by_attribute(star, f, "dim_products", "product_code", [], ["category"],
                       ["_isu_sum", "_qb"], "inner")
     t = t.select("category", F.round(_pct_of(F.col("_isu_sum"), F.col("_qb")), 2).alias("ISU_Percent"))
-    return ranking.global_rank(t, [F.desc_nulls_last("ISU_Percent")], "rank_order", method="rank")
+    return ranking.global_rank(t, ["ISU_Percent"], "rank_order", method="rank", descending=True)
 
 
 def q5_top5_products_ir(star: RetailStar, k: int = 5) -> DataFrame:

@@ -56,9 +56,10 @@ def test_global_rank_and_row_number(spark):
     df = spark.createDataFrame(pdf, "k bigint, v bigint")
     expect = pdf.v.rank(method="min", ascending=False).astype(int)
     for n in (6, None):                    # explicit ranges, and AQE-sized (coalesced) ranges
-        rk = ranking.global_rank(df, [F.desc("v")], "r", "rank", num_ranges=n).toPandas().set_index("k").r
+        rk = ranking.global_rank(df, ["v"], "r", "rank", descending=True, num_ranges=n)
+        rk = rk.toPandas().set_index("k").r
         assert (rk.sort_index().values == expect.values).all()
-    rn = ranking.global_rank(df, [F.asc("v"), F.asc("k")], "r", "row_number", num_ranges=6)
+    rn = ranking.global_rank(df, ["v", "k"], "r", "row_number", num_ranges=6)
     rn = rn.toPandas().sort_values("r")
     assert list(rn.r) == list(range(1, 501))
     assert list(rn.k) == list(pdf.sort_values(["v", "k"]).k)
@@ -71,3 +72,13 @@ def test_boxplot_whiskers(spark):
     q1, q3 = np.quantile(vals, .25), np.quantile(vals, .75)
     assert (r.q1, r.q3) == (q1, q3)
     assert r.upper_whisker == 9 and r.lower_whisker == 1 and r.outliers == 1 and r.n == 10
+
+
+def test_rank_with_a_hot_tie_and_nulls(spark):
+    # a third of the rows share one value: ties must get one rank and still be spread
+    vals = [7] * 300 + list(range(600)) + [None] * 5
+    pdf = pd.DataFrame({"k": range(len(vals)), "v": vals})
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "k bigint, v bigint")
+    got = ranking.global_rank(df, ["v"], "r", "rank", descending=True, num_ranges=5).toPandas()
+    exp = pdf.v.rank(method="min", ascending=False, na_option="bottom").astype(int)
+    assert (got.set_index("k").r.sort_index().values == exp.values).all()
