@@ -20,7 +20,7 @@ from promoscope.operators import quality
 from promoscope.operators.star import left_join_null_safe
 from promoscope.plans import reports as R
 from promoscope.plans import sql_reports as SQL
-from promoscope.session import checkpoint_dir
+from promoscope.session import checkpoint_dir, session_key
 from promoscope.sources.retail import (
     read_csv_typed, read_insert_tuples, write_csv_star, write_insert_tuples,
 )
@@ -38,7 +38,7 @@ def star_for(spark: SparkSession, sf_dir: str) -> RetailStar:
     Only lazy plans are kept (the resolved Parquet relations and the adapter's
     projections), the way a long-lived application holds its table
     DataFrames; no data is cached unless ``promoscope.persistFact`` is true."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (session_key(spark), sf_dir.rstrip("/"))
     star = _STARS.get(key)
     if star is None:
         star = testdata_star(spark, sf_dir)

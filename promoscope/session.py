@@ -52,6 +52,21 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext          # classic sessions only
+    except Exception:                      # Spark Connect has no SparkContext
+        return None
+
+
+def session_key(spark: SparkSession) -> str:
+    """An id that changes when the application (or Connect session) changes."""
+    sc = _context(spark)
+    if sc is not None:
+        return sc.applicationId
+    return getattr(spark, "session_id", None) or str(id(spark))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -60,15 +75,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     the setting is an error, because executor-local folders do not survive
     executor loss.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    sc = _context(spark)
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        master = sc.master or ""
+        master = (sc.master if sc is not None else spark.conf.get("spark.master", "")) or ""
         if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
         configured = tempfile.mkdtemp(prefix="promoscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if sc is None:
+            spark.conf.set("spark.checkpoint.dir", configured)
+    if sc is None:
+        return configured
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
