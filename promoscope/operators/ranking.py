@@ -12,10 +12,12 @@
 
 from __future__ import annotations
 
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promoscope.operators.stats import range_partition
+from promoscope.session import materialize as materialize_table
 
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -34,7 +36,7 @@ def _orders(cols: list[str], descending) -> list[Column]:
 
 
 def global_rank(df: DataFrame, cols: list[str], name: str, method: str = "rank",
-                descending=False, num_ranges: int | None = None) -> DataFrame:
+                descending=False, num_ranges: int | None = None, materialize: bool = True) -> DataFrame:
     """Rank over the whole frame by ``cols`` (NULLs last) without a
     single-partition window. ``descending``: one flag or one per column.
 
@@ -42,13 +44,20 @@ def global_rank(df: DataFrame, cols: list[str], name: str, method: str = "rank",
     ``rank`` (gaps after ties): a row number over ``cols`` plus a per-row id,
     so even a huge tie group is spread over many ranges; then the smallest row
     number of each tie group (partially aggregated: a hot tie costs one row per
-    task) is joined back as the rank."""
+    task) is joined back as the rank.
+
+    The scheme reads its input several times (range totals, numbering, tie
+    groups). With ``materialize`` the input is range-partitioned once and
+    written to the shared checkpoint folder, so the plan that produced it
+    (usually a fact aggregation) runs once instead of once per branch."""
     assert method in ("rank", "row_number")
     order = _orders(cols, descending)
+    if method == "rank":
+        df = df.withColumn("_rid", F.monotonically_increasing_id())
+        order = order + [F.asc("_rid")]
+    rn = _row_number(df, order, "_rn" if method == "rank" else name, num_ranges, materialize)
     if method == "row_number":
-        return _row_number(df, order, name, num_ranges)
-    keyed = df.withColumn("_rid", F.monotonically_increasing_id())
-    rn = _row_number(keyed, order + [F.asc("_rid")], "_rn", num_ranges)
+        return rn
     firsts = rn.groupBy(*cols).agg(F.min("_rn").alias(name)).select(
         *[F.col(c).alias(c + "_o") for c in cols], name)
     cond = F.lit(True)
@@ -57,13 +66,16 @@ def global_rank(df: DataFrame, cols: list[str], name: str, method: str = "rank",
     return rn.join(firsts, cond, "inner").drop(*[c + "_o" for c in cols], "_rid", "_rn")
 
 
-def _row_number(df: DataFrame, order: list[Column], name: str, num_ranges: int | None) -> DataFrame:
+def _row_number(df: DataFrame, order: list[Column], name: str, num_ranges: int | None,
+                materialize: bool) -> DataFrame:
     """Range-partition on the order, number rows inside each range, add the
     row count of all earlier ranges (a table of one row per range)."""
     ranged = range_partition(df, order, num_ranges)
+    if materialize:
+        ranged = materialize_table(ranged, "ranked")
     w = Window.partitionBy("_part").orderBy(*order)
     local = ranged.withColumn("_local", F.row_number().over(w))
-    counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per range: the unpartitioned window is bounded by the partition count
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("_part").alias("_part_o"),
@@ -74,9 +86,13 @@ def _row_number(df: DataFrame, order: list[Column], name: str, num_ranges: int |
 
 
 def axis_order(df: DataFrame, label: str, y: str, name: str = "axis_position",
-               num_ranges: int | None = None) -> DataFrame:
+               num_ranges: int | None = None, materialize: bool = True) -> DataFrame:
     """Position of each label on a chart axis ordered by the mean of ``y``
-    per label (ascending, ties by label), attached to every row of ``df``."""
+    per label (ascending, ties by label), attached to every row of ``df``.
+    ``df`` is read twice (means, then the rows the positions attach to); with
+    ``materialize`` it is written once so its plan does not run twice."""
+    if materialize:
+        df = materialize_table(df, "axis-input")
     means = df.groupBy(label).agg(F.avg(F.col(y).cast("double")).alias("_mean"))
     pos = global_rank(means, ["_mean", label], name, method="row_number",
                       num_ranges=num_ranges).drop("_mean")

@@ -12,12 +12,11 @@ partitions like any other.
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promoscope.session import checkpoint_dir
+from promoscope.session import materialize as materialize_table
 
 
 def null_safe_join_cond(keys: list[str], lsuffix: str) -> Column:
@@ -61,10 +60,7 @@ def value_counts(df: DataFrame, keys: list[str], value: str, materialize: bool =
     compute the input twice: once for its action, once to write.)"""
     freq = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     if materialize:
-        spark = df.sparkSession
-        path = f"{checkpoint_dir(spark).rstrip('/')}/value-counts-{uuid.uuid4().hex}"
-        _with_ranges(freq, keys, value, num_ranges).write.parquet(path)
-        freq = spark.read.parquet(path)
+        freq = materialize_table(_with_ranges(freq, keys, value, num_ranges), "value-counts")
     return freq
 
 

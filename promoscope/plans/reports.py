@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from promoscope.functions import kpi
 from promoscope.functions.labels import millions_label, thousands_label
 from promoscope.operators import ranking, reshape, stats
-from promoscope.operators.star import attach_scalar, enrich, inner_join, left_join_null_safe
+from promoscope.operators.star import (
+    attach_scalar, enrich, inner_join, left_join_null_safe, star_dim,
+)
 from promoscope.sources.star import RetailStar
 
 QB, QA = kpi.QTY_BEFORE, kpi.QTY_AFTER
@@ -78,7 +80,7 @@ def _by_attribute(star: RetailStar, fact: DataFrame, dim: str, key: str, fact_ke
     """Aggregate the fact by (key, fact_keys), join the dimension, aggregate by
     (attrs, fact_keys)."""
     part = _partials(fact, [key] + fact_keys, names)
-    d = getattr(star, dim).select(key, *[a for a in attrs if a != key])
+    d = star_dim(star, dim).select(key, *[a for a in attrs if a != key])
     j = left_join_null_safe(part, d, key) if how == "left" else inner_join(part, d, key)
     return _reroll(j, attrs + fact_keys, names)
 
@@ -184,7 +186,7 @@ def overall_isu_pct(star: RetailStar) -> DataFrame:
 
 def _store_totals(star: RetailStar, names: list[str]) -> DataFrame:
     part = _partials(fact_kpis(star, "r"), ["store_id"], names)
-    j = left_join_null_safe(part, star.dim_stores, "store_id")
+    j = left_join_null_safe(part, star_dim(star, "dim_stores"), "store_id")
     return j.groupBy("store_id").agg(F.min("city").alias("city"), *[F.sum(n).alias(n) for n in names])
 
 
@@ -220,7 +222,7 @@ def top10_stores_isu(star: RetailStar, k: int = 10) -> DataFrame:
 
 def city_performance(star: RetailStar) -> DataFrame:
     part = _partials(fact_kpis(star, "r"), ["store_id"], ["_ir_sum", "_ir_cnt"])
-    j = left_join_null_safe(part, star.dim_stores, "store_id")
+    j = left_join_null_safe(part, star_dim(star, "dim_stores"), "store_id")
     t = j.groupBy("city").agg(F.sum("_ir_sum").alias("s"), F.sum("_ir_cnt").alias("c"),
                               stats.n_distinct_with_null("store_id").alias("store_count"))
     return t.select("city", _money0("s").alias("total_incremental_revenue"),
@@ -237,7 +239,7 @@ def top_stores_by_promo(star: RetailStar, n: int = 10) -> DataFrame:
     """Per (store, city) the first ``n`` promos by IR (the R tibble is still
     grouped by store and city when it is sliced)."""
     part = _partials(fact_kpis(star, "r"), ["store_id", "promo_type"], ["_ir_sum"])
-    j = left_join_null_safe(part, star.dim_stores, "store_id")
+    j = left_join_null_safe(part, star_dim(star, "dim_stores"), "store_id")
     t = j.groupBy("store_id", "city", "promo_type").agg(F.sum("_ir_sum").alias("s")).select(
         "store_id", "city", "promo_type", _money0("s").alias("total_incremental_revenue"))
     return ranking.top_n_per_group(

@@ -91,3 +91,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df, what: str = "table"):
+    """Write ``df`` once as Parquet into the shared checkpoint folder and
+    return a DataFrame reading it back.
+
+    Used where a plan reads the same intermediate result in several branches
+    (Spark would recompute it per branch): the input runs once, and the
+    written table cuts the lineage, so a lost executor does not send the job
+    back to the fact scan. Prefer it to ``Dataset.checkpoint``, which on an
+    uncached plan computes the input twice (its action, then the write)."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
