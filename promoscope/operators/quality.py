@@ -6,8 +6,13 @@ Returns one row per check, ``(check, violations)``:
 * ``<table>.<col>.nulls``: NULLs in a NOT NULL column (one scan per table)
 * ``fact_events.<fk>.orphans``: fact rows whose key has no dimension row
 
-Orphans are counted on the fact pre-aggregated by the key, so the anti-join
-sees one row per distinct key, not one per fact row.
+The fact is read once: one ``groupingSets`` aggregation holds a row count per
+distinct value of each foreign key (one grouping set per key) and the fact's
+NULL counts (the empty grouping set); it is partially aggregated before its
+shuffle and written once to the shared checkpoint folder. Orphans then come
+from anti-joins of those per-key rows (one row per distinct key, not per
+event) with the dimension keys. Each dimension is read for its NULL counts
+and its duplicate keys.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promoscope.schemas import FOREIGN_KEYS, PRIMARY_KEYS
+from promoscope.session import materialize
 from promoscope.sources.star import RetailStar
 
 TABLES = ("fact_events", "dim_campaigns", "dim_products", "dim_stores")
@@ -35,20 +41,45 @@ def _duplicate_keys(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
         F.lit(f"{table}.{'+'.join(keys)}.duplicate_keys").alias("check"), "violations")
 
 
-def _orphans(fact: DataFrame, dim: DataFrame, fk: str, dim_key: str) -> DataFrame:
-    per_key = fact.groupBy(fk).agg(F.count(F.lit(1)).alias("_rows"))
-    keys = dim.select(F.col(dim_key).alias("_dk")).distinct()
-    missing = per_key.join(keys, F.col(fk) == F.col("_dk"), "left_anti")
-    return missing.agg(F.coalesce(F.sum("_rows"), F.lit(0)).cast("bigint").alias("violations")).select(
-        F.lit(f"fact_events.{fk}.orphans").alias("check"), "violations")
+def _fact_profile(fact: DataFrame, fks: list[str], not_null: list[str]) -> DataFrame:
+    """Row counts per distinct value of each key, plus NULL counts (global set)."""
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    aggs += [F.grouping(k).alias(f"_g_{k}") for k in fks]
+    aggs += [F.count_if(F.col(c).isNull()).cast("bigint").alias(f"_null_{c}") for c in not_null]
+    prof = fact.groupingSets([[k] for k in fks] + [[]], *fks).agg(*aggs)
+    return materialize(prof, "fact-profile")
+
+
+def _fact_checks(fact: DataFrame, star: RetailStar, not_null: list[str]) -> list[DataFrame]:
+    fks = list(FOREIGN_KEYS)
+    prof = _fact_profile(fact, fks, not_null)
+    is_global = F.lit(True)
+    for k in fks:
+        is_global = is_global & (F.col(f"_g_{k}") == 1)
+    parts = []
+    if not_null:
+        totals = prof.where(is_global).select(*[F.col(f"_null_{c}").alias(c) for c in not_null])
+        pairs = ", ".join(f"'fact_events.{c}.nulls', `{c}`" for c in not_null)
+        parts.append(totals.selectExpr(f"stack({len(not_null)}, {pairs}) as (`check`, violations)"))
+    for k, (dim, dk) in FOREIGN_KEYS.items():
+        only_k = F.col(f"_g_{k}") == 0
+        for other in fks:
+            if other != k:
+                only_k = only_k & (F.col(f"_g_{other}") == 1)
+        per_key = prof.where(only_k).select(k, "_rows")
+        keys = getattr(star, dim).select(F.col(dk).alias("_dk")).distinct()
+        missing = per_key.join(keys, F.col(k) == F.col("_dk"), "left_anti")
+        parts.append(missing.agg(F.coalesce(F.sum("_rows"), F.lit(0)).cast("bigint").alias("violations"))
+                     .select(F.lit(f"fact_events.{k}.orphans").alias("check"), "violations"))
+    return parts
 
 
 def quality_checks(star: RetailStar, not_null: dict[str, list[str]] | None = None) -> DataFrame:
     if not_null is None:
         not_null = {t: [c for c in getattr(star, t).columns
                         if not (t == "fact_events" and c == "promo_type")] for t in TABLES}
-    parts = [_null_checks(getattr(star, t), t, cols) for t, cols in not_null.items() if cols]
+    parts = _fact_checks(star.fact_events, star, not_null.get("fact_events", []))
+    parts += [_null_checks(getattr(star, t), t, cols) for t, cols in not_null.items()
+              if cols and t != "fact_events"]
     parts += [_duplicate_keys(getattr(star, t), t, keys) for t, keys in PRIMARY_KEYS.items()]
-    parts += [_orphans(star.fact_events, getattr(star, dim), fk, dk)
-              for fk, (dim, dk) in FOREIGN_KEYS.items()]
     return reduce(DataFrame.unionByName, parts)
