@@ -4,11 +4,11 @@ presents the driver's TPC-H-like tables as the retail star."""
 from promoscope.sources.star import RetailStar
 from promoscope.sources.retail import (
     read_csv_typed, read_parquet_star, read_insert_tuples, write_insert_tuples,
-    write_csv_star, write_report,
+    write_csv_star, write_report, read_sql_dump_star,
 )
 from promoscope.sources.testdata_star import testdata_star
 
 __all__ = [
     "RetailStar", "read_csv_typed", "read_parquet_star", "read_insert_tuples",
-    "write_insert_tuples", "write_csv_star", "write_report", "testdata_star",
+    "write_insert_tuples", "write_csv_star", "write_report", "read_sql_dump_star", "testdata_star",
 ]

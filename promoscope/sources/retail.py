@@ -3,14 +3,13 @@
 * ``read_csv_typed``: header CSV, every field read as text, then cast to the
   declared schema (S1/S4); day-first dates parsed with ``try_to_date`` (S2);
   the raw quantity headers renamed (S7).
-* ``read_insert_tuples``: rows carried as SQL ``INSERT ... VALUES (..),(..);``
-  text (S5). The file is split on the tuple separator ``),(`` by the text
-  source itself, so a single huge statement is still read by many tasks;
-  statement heads and tails are cut with regular expressions and each tuple is
-  parsed by ``from_csv`` with ``'`` as quote and ``NULL`` as null. Other SQL
-  text (DDL, comments, locks) around the statements is skipped. Limits: one
-  table's INSERTs per file set, and a quoted value containing ``),(`` or
-  ``);`` splits wrongly.
+* ``read_insert_tuples`` / ``read_sql_dump_star``: rows carried as SQL
+  ``INSERT ... VALUES (..),(..);`` text (S5), e.g. a whole MySQL dump. Lines
+  (or, for one-table files with giant statements, tuples) are read in
+  parallel; statement heads and tails are cut with regular expressions and
+  each tuple is parsed by ``from_csv`` with ``'`` as quote and ``NULL`` as
+  null. Other SQL text (DDL, comments, locks, other tables) is skipped.
+  Limit: a quoted value containing ``),(`` splits wrongly.
 """
 
 from __future__ import annotations
@@ -77,18 +76,35 @@ def _head_regex(table: str | None) -> str:
 
 
 def read_insert_tuples(spark: SparkSession, path: str, schema: T.StructType,
-                       table: str | None = None) -> DataFrame:
+                       table: str | None = None, mode: str = "lines") -> DataFrame:
+    """Rows of ``table`` from SQL ``INSERT ... VALUES (..),(..);`` text.
+
+    ``mode="lines"`` (default): a dump as ``mysqldump`` writes it, each INSERT
+    statement on its own line (its length bounded by ``net_buffer_length``),
+    other tables and statements anywhere in the file. Lines are read in
+    parallel, the table's INSERT lines kept, and each split into tuples.
+
+    ``mode="tuples"``: one table's INSERTs only, statements of any length (a
+    single multi-gigabyte statement is fine): the text source itself splits on
+    the tuple separator, so no record holds more than one tuple."""
+    assert mode in ("lines", "tuples")
     head = _head_regex(table)
-    raw = spark.read.option("lineSep", TUPLE_SEP).text(path)
-    # a record is one tuple, possibly with a statement tail ");..." and the
-    # next statement's head "...VALUES (" around it. A piece without a head is
-    # a tuple only if it opens the record and holds no line break (a dump
-    # escapes line breaks inside values); otherwise it is other SQL text.
-    pieces = raw.select(F.posexplode(F.split(F.col("value"), r"\)\s*;")).alias("i", "piece"))
-    has_head = F.col("piece").rlike(head)
-    body = (F.when(has_head, F.regexp_extract(F.col("piece"), r"(?s)" + head + r"(.*)$", 1))
-             .when((F.col("i") == 0) & ~F.col("piece").contains("\n"), F.col("piece")))
-    tuples = pieces.select(body.alias("t")).where(F.col("t").isNotNull() & (F.trim(F.col("t")) != ""))
+    if mode == "lines":
+        lines = spark.read.text(path).where(F.col("value").rlike("^\\s*" + head))
+        body = F.regexp_extract(F.col("value"), r"^\s*" + head + r"(.*)\)\s*;\s*$", 1)
+        tuples = lines.select(F.explode(F.split(body, r"\),\(")).alias("t"))
+    else:
+        raw = spark.read.option("lineSep", TUPLE_SEP).text(path)
+        # a record is one tuple, possibly with a statement tail ");..." and the
+        # next statement's head "...VALUES (" around it. A piece without a head
+        # is a tuple only if it opens the record and holds no line break (a dump
+        # escapes line breaks inside values); otherwise it is other SQL text.
+        pieces = raw.select(F.posexplode(F.split(F.col("value"), r"\)\s*;")).alias("i", "piece"))
+        has_head = F.col("piece").rlike(head)
+        body = (F.when(has_head, F.regexp_extract(F.col("piece"), r"(?s)" + head + r"(.*)$", 1))
+                 .when((F.col("i") == 0) & ~F.col("piece").contains("\n"), F.col("piece")))
+        tuples = pieces.select(body.alias("t"))
+    tuples = tuples.where(F.col("t").isNotNull() & (F.trim(F.col("t")) != ""))
     opts = {"quote": "'", "escape": "\\", "nullValue": "NULL", "ignoreLeadingWhiteSpace": "true",
             "ignoreTrailingWhiteSpace": "true", "mode": "PERMISSIVE"}
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
@@ -96,6 +112,15 @@ def read_insert_tuples(spark: SparkSession, path: str, schema: T.StructType,
     return parsed.select("r.*")
 
 
+def read_sql_dump_star(spark: SparkSession, path: str) -> RetailStar:
+    """The four retail tables from one SQL dump (S5 + S4 + S7): each table's
+    INSERT lines parsed with its declared schema, in the dump's column order."""
+    def load(name, schema):
+        return read_insert_tuples(spark, path, schema, table=name, mode="lines")
+    return RetailStar(load("fact_events", schemas.FACT_EVENTS), load("dim_campaigns", schemas.DIM_CAMPAIGNS),
+                      load("dim_products", schemas.DIM_PRODUCTS), load("dim_stores", schemas.DIM_STORES))
+
+
 def _sql_literal(c: str, dt: T.DataType):
     col = F.col(f"`{c}`")
     if isinstance(dt, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)):

@@ -21,8 +21,9 @@ def test_tuple_text_quotes_commas_nulls(spark):
                  "INSERT INTO `t` VALUES ('d','e',4);\nUNLOCK TABLES;\n")
     schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("s", T.StringType()),
                            T.StructField("n", T.LongType())])
-    rows = sorted(tuple(r) for r in read_insert_tuples(spark, d, schema, table="t").collect())
-    assert rows == [("a", "x (1KG), y", 1), ("b", "c", None), ("c", "it's", 3), ("d", "e", 4)]
+    for mode in ("lines", "tuples"):
+        rows = sorted(tuple(r) for r in read_insert_tuples(spark, d, schema, table="t", mode=mode).collect())
+        assert rows == [("a", "x (1KG), y", 1), ("b", "c", None), ("c", "it's", 3), ("d", "e", 4)], mode
 
 
 def test_csv_day_first_dates_and_raw_headers(spark):
@@ -57,3 +58,36 @@ def test_write_report_partitioned_round_trip(spark, tmp_path):
     assert sorted(r.event_id for r in back.where("campaign_id = 'C2'").collect()) == ["b"]
     plan = back.where("campaign_id = 'C2'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(campaign_id" in plan
+
+
+def test_multi_table_dump_to_star(spark):
+    """An invented dump in mysqldump layout: four tables, DDL, locks, one INSERT line each."""
+    from promoscope.plans import reports as R
+    from promoscope.sources.retail import read_sql_dump_star
+    d = _tmp()
+    text = """-- dump
+DROP TABLE IF EXISTS `dim_campaigns`;
+CREATE TABLE `dim_campaigns` (
+  `campaign_id` varchar(20) NOT NULL,
+  PRIMARY KEY (`campaign_id`)
+) ENGINE=InnoDB;
+LOCK TABLES `dim_campaigns` WRITE;
+INSERT INTO `dim_campaigns` VALUES ('K1','Spring Sale','2023-11-12','2023-11-18'),('K2','Autumn Sale','2024-01-10','2024-01-16');
+UNLOCK TABLES;
+INSERT INTO `dim_products` VALUES ('X1','Oat Flakes (1KG)','Pantry & Breakfast'),('X2','Lamp, Desk','Lighting');
+INSERT INTO `dim_stores` VALUES ('ST-1','Riverton'),('ST-2','Lakeside');
+INSERT INTO `fact_events` VALUES ('2.22E+12','ST-1','K1','X1',190,'BOGOF',10,20),('0012','ST-2','K2','X2',120,'500 Cashback',5,6),('4711','ST-2','K1','X2',300,NULL,7,8);
+"""
+    with open(os.path.join(d, "dump.sql"), "w") as fh:
+        fh.write(text)
+    star = read_sql_dump_star(spark, d)
+    assert star.dim_products.count() == 2 and star.dim_stores.count() == 2
+    fact = {r.event_id: r for r in star.fact_events.collect()}
+    assert set(fact) == {"2.22E+12", "0012", "4711"}
+    assert fact["4711"].promo_type is None and fact["0012"].quantity_sold_after_promo == 6
+    assert str(fact["2.22E+12"].base_price) == "190.00"
+    assert {r.product_name for r in star.dim_products.collect()} == {"Oat Flakes (1KG)", "Lamp, Desk"}
+    q3 = {r.campaign_name: r.total_revenue_before_promotion for r in R.q3_campaign_revenue(star).collect()}
+    assert q3 == {"Spring Sale": "0.00M", "Autumn Sale": "0.00M"}
+    ir = {r.promo_type: r.total_incremental_revenue for r in R.promo_ir(star).collect()}
+    assert str(ir["BOGOF"]) == "1900.0000"
