@@ -38,11 +38,12 @@ def star_for(spark: SparkSession, sf_dir: str) -> RetailStar:
     Only lazy plans are kept (the resolved Parquet relations and the adapter's
     projections), the way a long-lived application holds its table
     DataFrames; no data is cached unless ``promoscope.persistFact`` is true."""
-    key = (session_key(spark), sf_dir.rstrip("/"))
+    persist = spark.conf.get(PERSIST_CONF, "false").lower() == "true"
+    key = (session_key(spark), sf_dir.rstrip("/"), persist)
     star = _STARS.get(key)
     if star is None:
         star = testdata_star(spark, sf_dir)
-        if spark.conf.get(PERSIST_CONF, "false").lower() == "true":
+        if persist:
             star = star.persisted()
         _STARS[key] = star
     return star
