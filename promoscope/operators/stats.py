@@ -136,21 +136,24 @@ def moments_from_counts(freq: DataFrame, keys: list[str], value: str, unit: floa
     included), ``_cnt`` (non-NULL), ``_sum`` (exact DECIMAL(38,0) sum of the
     integer values) and ``_sd`` (sample standard deviation of value/unit).
 
-    The deviation is exact up to one final rounding: n*sum(v^2) - sum(v)^2 is
-    an integer computed in DECIMAL(38,0), so no cancellation occurs."""
-    v = F.col(value).cast("decimal(38,0)")
-    c = F.col("_c").cast("decimal(38,0)")
-    nonnull = F.col(value).isNotNull()
-    agg = freq.groupBy(*keys).agg(
+    Two passes over the counts (the classic stable form): the exact sum gives
+    the mean, then sum(c * (v - mean)^2) in double. No cancellation, and no
+    wide integer that could overflow however large the groups grow."""
+    v = F.col(value)
+    first = freq.groupBy(*keys).agg(
         F.sum("_c").alias("_rows"),
-        F.sum(F.when(nonnull, F.col("_c"))).alias("_cnt"),
-        F.sum(v * c).alias("_sum"),
-        F.sum(v * v * c).alias("_sq"))
-    n = F.col("_cnt").cast("decimal(38,0)")
-    num = n * F.col("_sq") - F.col("_sum") * F.col("_sum")
-    var = F.try_divide(num.cast("double"), (F.col("_cnt").cast("double") * (F.col("_cnt") - 1).cast("double")))
+        F.sum(F.when(v.isNotNull(), F.col("_c"))).alias("_cnt"),
+        F.sum(v.cast("decimal(38,0)") * F.col("_c").cast("decimal(38,0)")).alias("_sum"))
+    means = first.select(*[F.col(k).alias(k + "_m") for k in keys],
+                         (F.col("_sum").cast("double") / F.col("_cnt").cast("double")).alias("_mean"))
+    dev = v.cast("double") - F.col("_mean")
+    second = (freq.where(v.isNotNull()).join(means, null_safe_join_cond(keys, "_m"), "inner")
+                  .groupBy(*keys).agg(F.sum(F.col("_c").cast("double") * dev * dev).alias("_m2"))
+                  .select(*[F.col(k).alias(k + "_s") for k in keys], "_m2"))
+    j = first.join(second, null_safe_join_cond(keys, "_s"), "left")
+    var = F.try_divide(F.col("_m2"), (F.col("_cnt") - 1).cast("double"))
     sd = F.when(F.col("_cnt") > 1, F.sqrt(var) / F.lit(float(unit)))
-    return agg.select(*keys, "_rows", "_cnt", "_sum", sd.alias("_sd"))
+    return j.select(*keys, "_rows", "_cnt", "_sum", sd.alias("_sd"))
 
 
 def approx_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
