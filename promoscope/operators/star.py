@@ -52,15 +52,22 @@ def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -
     return F.broadcast(df) if n <= max_rows else df
 
 
-def star_dim(star: RetailStar, name: str, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """A dimension of ``star`` prepared for a join with the fact: broadcast if
-    proven small (checked once per star)."""
-    key = ("sized_dim", name, max_rows)
+def dim_is_small(star: RetailStar, name: str, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
+    """Whether a dimension of ``star`` has at most ``max_rows`` rows (counted
+    once per star; the count stops early on a big table)."""
+    key = ("dim_is_small", name, max_rows)
     if key not in star.memo:
-        star.memo[key] = sized_broadcast(getattr(star, name), max_rows)
+        star.memo[key] = getattr(star, name).limit(max_rows + 1).count() <= max_rows
     return star.memo[key]
 
 
+def star_dim(star: RetailStar, name: str, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """A dimension of ``star`` prepared for a join with the fact: broadcast if
+    proven small."""
+    dim = getattr(star, name)
+    return F.broadcast(dim) if dim_is_small(star, name, max_rows) else dim
+
+
 def enrich(star: RetailStar, fact: DataFrame | None = None,
            dims=("dim_campaigns", "dim_products", "dim_stores"), how: str = "left",
            max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:

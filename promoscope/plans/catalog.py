@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from promoscope import schemas
 from promoscope.operators import quality
-from promoscope.operators.star import left_join_null_safe
+from promoscope.operators.star import left_join_null_safe, star_dim
 from promoscope.plans import reports as R
 from promoscope.plans import sql_reports as SQL
 from promoscope.session import checkpoint_dir, session_key
@@ -90,7 +90,8 @@ def csv_scan_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def null_safe_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     star = star_for(spark, sf_dir)
-    return left_join_null_safe(star.fact_events.select("event_id", "store_id"), star.dim_stores, "store_id")
+    return left_join_null_safe(star.fact_events.select("event_id", "store_id"),
+                               star_dim(star, "dim_stores"), "store_id")
 
 
 # name -> (report over a star, columns rounded to 4)

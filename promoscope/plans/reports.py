@@ -28,7 +28,7 @@ from promoscope.functions import kpi
 from promoscope.functions.labels import millions_label, thousands_label
 from promoscope.operators import ranking, reshape, stats
 from promoscope.operators.star import (
-    attach_scalar, enrich, inner_join, left_join_null_safe, star_dim,
+    attach_scalar, dim_is_small, enrich, inner_join, left_join_null_safe, star_dim,
 )
 from promoscope.sources.star import RetailStar
 
@@ -132,6 +132,8 @@ def q3_campaign_revenue(star: RetailStar) -> DataFrame:
 
 def q4_campaign_isu_rank(star: RetailStar, campaign_name: str = "FY1998") -> DataFrame:
     camp = star.dim_campaigns.where(F.col("campaign_name") == campaign_name).select("campaign_id")
+    if dim_is_small(star, "dim_campaigns"):
+        camp = F.broadcast(camp)
     f = inner_join(fact_kpis(star, "sql"), camp, "campaign_id")
     t = _by_attribute(star, f, "dim_products", "product_code", [], ["category"],
                       ["_isu_sum", "_qb"], "inner")
