@@ -81,8 +81,11 @@ def enrich(star: RetailStar, fact: DataFrame | None = None,
 
 
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Put the columns of a one-row aggregate on every row.
-
-    ``one_row`` must be a global aggregate (exactly one row), so broadcasting it
-    has a proven size bound."""
-    return df.crossJoin(F.broadcast(one_row))
+    """Put the columns of a one-row global aggregate on every row.
+
+    Planned as scalar subqueries: Spark computes the aggregate once, before
+    the main job, and inlines its value; there is no join at all. (A scalar
+    subquery must return at most one row; a global aggregate always does.)"""
+    spark = df.sparkSession
+    cols = ", ".join(f"(SELECT `{c}` FROM {{scalar}}) AS `{c}`" for c in one_row.columns)
+    return spark.sql(f"SELECT *, {cols} FROM {{rows}}", rows=df, scalar=one_row)
