@@ -69,3 +69,20 @@ def test_report_reads_only_needed_columns(spark, sf_small):
     assert ("ReadSchema: struct<l_partkey:bigint,l_quantity:double,l_discount:double,l_tax:double,"
             "l_returnflag:string,l_linestatus:string>") in p
     assert "ReadSchema: struct<p_partkey:bigint>" in p
+
+
+def test_broadcast_only_under_the_counted_bound(spark):
+    from pyspark.sql import functions as F
+    from promoscope.operators.star import sized_broadcast
+    dim = spark.range(50).withColumnRenamed("id", "k")
+    fact = spark.range(1000).select((F.col("id") % 50).alias("k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = fact.join(sized_broadcast(dim, max_rows=100), "k")
+        big = fact.join(sized_broadcast(dim, max_rows=10), "k")
+        assert "BroadcastHashJoin" in _plan(small)
+        assert "BroadcastHashJoin" not in _plan(big) and "SortMergeJoin" in _plan(big)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
