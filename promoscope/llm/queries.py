@@ -7,10 +7,68 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promoscope.llm import langid, quality
+from promoscope.llm import decontam, langid, quality, url_filters
 from promoscope.llm.common import crc_remainder, table
 
 
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"),
+             ("com/de/", "block")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label of the document that its path numbers: bad when of low quality or toxic."""
+    labels = (table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("_doc"))
+              .agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad")))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract("path", r"/(\d{1,18})", 1)
+    pages = (url_filters.with_host_path(pages).withColumn("_doc", F.nullif(number, F.lit("")).cast("long"))
+             .join(labels, "_doc", "left"))
+    return (url_filters.judge(pages, URL_RULES)
+            .select("page_id", "host", "path", "rule", "verdict"))
+
+
+#: The same rules, counts and priors in DuckDB SQL.
+OP1_SQL = r"""
+WITH rules(rule, says, rhost, rpath) AS (VALUES
+  ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'),
+  ('example.org/en/1', 'block', 'example.org', '/en/1'), ('com/fr/', 'allow', 'com', '/fr/'),
+  ('com/de/', 'block', 'com', '/de/')),
+rest AS (SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0
+    THEN substr(url, position('://' IN url) + 3) ELSE '' END AS r, row_number() OVER () AS rid FROM pages),
+hp AS (SELECT page_id, rid, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL OR toxic IS NULL THEN NULL ELSE 0 END) AS bad
+    FROM labels GROUP BY doc_id),
+parts AS (SELECT hp.*, lab.bad, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare
+    FROM hp LEFT JOIN lab ON lab.doc_id = TRY_CAST(nullif(regexp_extract(path, '/([0-9]{1,18})', 1), '') AS BIGINT)),
+named AS (SELECT *, array_to_string(list_slice(string_split(bare, '.'), -2, -1), '.') AS domain,
+    list_extract(string_split(bare, '.'), -1) AS suffix FROM parts),
+hosts AS (SELECT host, domain, suffix, count(bad) AS n, coalesce(sum(bad), 0) AS k FROM named GROUP BY ALL),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
+s0 AS (SELECT *, (SELECT (sum(k) + 0.5) / (sum(n) + 1.0) FROM suffixes) AS p FROM suffixes),
+sm AS (SELECT CASE WHEN count(*) = 0 OR sum(n) <= count(*) THEN 50.0 ELSE least(1000.0, greatest(2.0,
+    sum(n * p * (1 - p)) / sum(n) / greatest(1e-4, (sum(n * pow(k / n - p, 2)) - sum(p * (1 - p))) / (sum(n) - count(*))) - 1)) END AS m
+    FROM s0 WHERE n > 0),
+s1 AS (SELECT suffix, (k + m * p) / (n + m) AS rate FROM s0, sm),
+d0 AS (SELECT d.*, s1.rate AS p FROM domains d JOIN s1 USING (suffix)),
+dm AS (SELECT CASE WHEN count(*) = 0 OR sum(n) <= count(*) THEN 50.0 ELSE least(1000.0, greatest(2.0,
+    sum(n * p * (1 - p)) / sum(n) / greatest(1e-4, (sum(n * pow(k / n - p, 2)) - sum(p * (1 - p))) / (sum(n) - count(*))) - 1)) END AS m
+    FROM d0 WHERE n > 0),
+d1 AS (SELECT domain, suffix, (k + m * p) / (n + m) AS rate FROM d0, dm),
+h0 AS (SELECT h.*, d1.rate AS p FROM hosts h JOIN d1 USING (domain, suffix)),
+hm AS (SELECT CASE WHEN count(*) = 0 OR sum(n) <= count(*) THEN 50.0 ELSE least(1000.0, greatest(2.0,
+    sum(n * p * (1 - p)) / sum(n) / greatest(1e-4, (sum(n * pow(k / n - p, 2)) - sum(p * (1 - p))) / (sum(n) - count(*))) - 1)) END AS m
+    FROM h0 WHERE n > 0),
+h1 AS (SELECT host, n + m AS w, (k + m * p) / (n + m) AS rate FROM h0, hm),
+fit AS (SELECT rid, rule, says, row_number() OVER (PARTITION BY rid ORDER BY length(rule) DESC, rule) AS place
+    FROM hp JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, hp.host, path, rule, coalesce(says,
+    CASE WHEN greatest(0.0, rate - 2.0 * sqrt(rate * (1 - rate) / (w + 1))) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM hp JOIN h1 USING (host) LEFT JOIN fit ON fit.rid = hp.rid AND place = 1
+"""
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_remainder("doc_id", 5) == 0
@@ -19,6 +77,13 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted"))
 
 
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.annotate(docs, table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
+    return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), ids.alias("item_ids"), "matches")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -29,10 +94,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filters": op1_url_filters,
         "op8_langid": op8_langid,
+        "op9_decontam": op9_decontam,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_queries() -> dict[str, str]:
-    return {}
+    return {"op1_url_filters": OP1_SQL}
