@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promoscope.llm import decontam, langid, quality, url_filters
+from promoscope.llm import decontam, langid, quality, url_filters, warc
 from promoscope.llm.common import crc_remainder, table
 
 
@@ -69,6 +69,65 @@ FROM hp JOIN h1 USING (host) LEFT JOIN fit ON fit.rid = hp.rid AND place = 1
 """
 
 
+def crawl_records(pages: DataFrame) -> DataFrame:
+    """A crawl derived from ``pages``: each page is fetched once in full, and asked for again some days later.
+    Some of the later answers have another entity tag, only a date, or come before the first fetch."""
+    stamp = lambda c: F.concat(F.lit("day "), c.cast("string"))
+    page, first = F.col("page_id"), F.col("page_id") * 60
+    body = F.coalesce("html", F.lit(""))
+    tag = F.concat(F.lit('"'), F.substring(F.md5(body), 1, 16), F.lit('"'))
+    full = pages.select(
+        (page * 2).alias("record_id"), "url", first.alias("ts"), F.lit(200).alias("status"),
+        F.create_map(F.lit("ETag"), tag, F.lit("Last-Modified"), stamp(F.floor(page / 100)), F.lit("Content-Type"), F.lit("text/html"),
+                     F.lit("Content-Length"), F.length(body).cast("string"), F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"),
+        body.alias("payload"))
+    later = F.when(page % 13 == 5, first - 30).otherwise(first + 86400 * (1 + page % 3))
+    headers = (F.when(page % 10 == 0, F.create_map(F.lit("last-modified"), stamp(F.floor(page / 100)), F.lit("Date"), stamp(F.floor(later / 86400))))
+               .when(page % 17 == 3, F.create_map(F.lit("etag"), F.lit('"other"'), F.lit("Date"), stamp(F.floor(later / 86400))))
+               .otherwise(F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("Cache-Control"), F.lit("max-age=600"),
+                                       F.lit("Content-Length"), F.lit("0"))))
+    again = pages.select((page * 2 + 1).alias("record_id"), F.regexp_replace("url", "^https?:", "HTTPS:").alias("url"),
+                         later.alias("ts"), F.lit(304).alias("status"), headers.alias("headers"), F.lit(None).cast("string").alias("payload"))
+    return full.unionByName(again)
+
+
+def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.resolve(crawl_records(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return got.select("record_id", "canonical_url", "outcome", "checked_by", "response_id",
+                      F.array_join(lines, "; ").alias("headers"), F.md5("payload").alias("payload_md5"))
+
+
+#: The derived crawl and its resolution in DuckDB SQL.
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, page_id * 60 AS first_ts,
+    CASE WHEN page_id % 13 = 5 THEN page_id * 60 - 30 ELSE page_id * 60 + 86400 * (1 + page_id % 3) END AS later,
+    regexp_replace(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS r FROM pages),
+parts AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(r, '^[^/?#]*')), '^.*@', ''), ':(80|443)?$', ''), '^www[.]', '') AS host,
+    regexp_replace(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(r, '^[^?#]*[?]([^#]*)', 1), '&'),
+        lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&') AS query FROM p),
+c AS (SELECT *, CASE WHEN host = '' THEN '' ELSE host || CASE WHEN path = '' THEN '/' ELSE path END
+    || CASE WHEN query = '' THEN '' ELSE '?' || query END END AS canonical_url FROM parts),
+f AS (SELECT canonical_url, first_ts AS ts, page_id * 2 AS response_id, '"' || left(md5(body), 16) || '"' AS tag,
+    'day ' || (page_id // 100) AS modified, body FROM c WHERE canonical_url <> ''),
+v AS (SELECT canonical_url, later AS ts, page_id * 2 + 1 AS record_id, 'day ' || (later // 86400) AS date, 'day ' || (page_id // 100) AS modified,
+    CASE WHEN page_id % 10 = 0 THEN NULL WHEN page_id % 17 = 3 THEN '"other"' ELSE '"' || left(md5(body), 16) || '"' END AS tag FROM c),
+j AS (SELECT v.*, f.response_id, f.tag AS ftag, f.modified AS fmod, f.body,
+    row_number() OVER (PARTITION BY record_id ORDER BY f.ts DESC NULLS LAST, f.response_id DESC NULLS LAST) AS place
+    FROM v LEFT JOIN f ON f.canonical_url = v.canonical_url AND (f.ts < v.ts OR f.ts = v.ts AND f.response_id < v.record_id)),
+o AS (SELECT *, CASE WHEN response_id IS NULL THEN 'orphan' WHEN tag IS NOT NULL THEN CASE WHEN tag = ftag THEN 'resolved' ELSE 'mismatch' END
+    WHEN modified = fmod THEN 'resolved' ELSE 'mismatch' END AS outcome FROM j WHERE place = 1)
+SELECT record_id, canonical_url, outcome,
+    CASE WHEN response_id IS NULL THEN NULL WHEN tag IS NOT NULL THEN 'etag' ELSE 'last-modified' END AS checked_by, response_id,
+    CASE WHEN outcome = 'resolved' THEN CASE WHEN tag IS NULL
+        THEN 'cache-control: max-age=60; content-length: ' || length(body) || '; content-type: text/html; date: ' || date || '; etag: ' || ftag || '; last-modified: ' || modified
+        ELSE 'cache-control: max-age=600; content-length: ' || length(body) || '; content-type: text/html; etag: W/' || tag || '; last-modified: ' || fmod END END AS headers,
+    CASE WHEN outcome = 'resolved' THEN md5(body) END AS payload_md5
+FROM o
+"""
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_remainder("doc_id", 5) == 0
@@ -95,6 +154,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
+        "op3_revisits": op3_revisits,
         "op8_langid": op8_langid,
         "op9_decontam": op9_decontam,
         "op10_quality": op10_quality,
@@ -102,4 +162,4 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_queries() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL}
+    return {"op1_url_filters": OP1_SQL, "op3_revisits": OP3_SQL}
