@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promoscope.llm import decontam, langid, quality, url_filters, warc
+from promoscope.llm import decontam, langid, quality, spm, url_filters, warc
 from promoscope.llm.common import crc_remainder, table
 
 
@@ -128,6 +128,19 @@ FROM o
 """
 
 
+#: The piece model: a file of a public tokenizer, a parameter of the queries.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
+    """Sampled pieces of every text, their number, and whether decoding them gives the text back."""
+    vocabulary = spm.Vocabulary.load(model)
+    docs = spm.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    return (spm.decode(docs, vocabulary)
+            .select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"), "pieces",
+                    F.col("decoded").eqNullSafe(F.col("text")).alias("lossless")))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_remainder("doc_id", 5) == 0
@@ -155,6 +168,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
         "op3_revisits": op3_revisits,
+        "op7_sentencepiece": op7_sentencepiece,
         "op8_langid": op8_langid,
         "op9_decontam": op9_decontam,
         "op10_quality": op10_quality,
