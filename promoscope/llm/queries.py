@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promoscope.llm import decontam, langid, quality, spm, url_filters, warc
-from promoscope.llm.common import crc_remainder, table
+from promoscope.llm import ctw, decontam, langid, quality, spm, url_filters, warc
+from promoscope.llm.common import Scratch, crc_remainder, table
 
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"),
@@ -128,6 +128,16 @@ FROM o
 """
 
 
+def op5_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_remainder("doc_id", 10) == 0
+    scratch = Scratch(spark, "ctw")
+    model, words = ctw.fit(docs.filter(~held_out), scratch)
+    return (ctw.score(docs, model, words, scratch)
+            .select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+                    "n_bytes", "bits_per_byte"))
+
+
 #: The piece model: a file of a public tokenizer, a parameter of the queries.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -168,6 +178,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
         "op3_revisits": op3_revisits,
+        "op5_ctw": op5_ctw,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_langid": op8_langid,
         "op9_decontam": op9_decontam,
