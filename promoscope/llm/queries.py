@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promoscope.llm import ctw, decontam, langid, quality, spm, url_filters, warc
+from promoscope.llm import ctw, decontam, langid, ngram_join, quality, spm, url_filters, warc
 from promoscope.llm.common import Scratch, crc_remainder, table
 
 
@@ -69,6 +69,11 @@ FROM hp JOIN h1 USING (host) LEFT JOIN fit ON fit.rid = hp.rid AND place = 1
 """
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = ngram_join.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
+    return got.select("doc_id", "n_shingles", "component_id", "n_copies")
+
+
 def crawl_records(pages: DataFrame) -> DataFrame:
     """A crawl derived from ``pages``: each page is fetched once in full, and asked for again some days later.
     Some of the later answers have another entity tag, only a date, or come before the first fetch."""
@@ -177,6 +182,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
+        "op2_ngram_join": op2_ngram_join,
         "op3_revisits": op3_revisits,
         "op5_ctw": op5_ctw,
         "op7_sentencepiece": op7_sentencepiece,
