@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promoscope.llm import ctw, decontam, langid, ngram_join, quality, spm, url_filters, warc
+from promoscope.llm import ctw, decontam, langid, line_dedup, ngram_join, quality, spm, url_filters, warc
 from promoscope.llm.common import Scratch, crc_remainder, table
 
 
@@ -133,6 +133,11 @@ FROM o
 """
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op5_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_remainder("doc_id", 10) == 0
@@ -184,6 +189,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filters": op1_url_filters,
         "op2_ngram_join": op2_ngram_join,
         "op3_revisits": op3_revisits,
+        "op4_line_dedup": op4_line_dedup,
         "op5_ctw": op5_ctw,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_langid": op8_langid,
