@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promoscope.llm import ctw, decontam, langid, line_dedup, ngram_join, quality, spm, url_filters, warc
+from promoscope.llm import ctw, decontam, itq, langid, line_dedup, ngram_join, quality, spm, url_filters, warc
 from promoscope.llm.common import Scratch, crc_remainder, table
 
 
@@ -148,6 +148,10 @@ def op5_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "n_bytes", "bits_per_byte"))
 
 
+def op6_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 #: The piece model: a file of a public tokenizer, a parameter of the queries.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -191,6 +195,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_revisits": op3_revisits,
         "op4_line_dedup": op4_line_dedup,
         "op5_ctw": op5_ctw,
+        "op6_itq": op6_itq,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_langid": op8_langid,
         "op9_decontam": op9_decontam,
