@@ -191,8 +191,8 @@ def _window_leaf(rows: DataFrame, sets: DataFrame, spec: Spec, radius: float) ->
 
 
 def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
-    """One row per row of ``docs``: the key, ``text_hash``, ``n_shingles``, ``set_id``, ``component_id`` (the smallest
-    key reachable by links) and ``n_copies`` (rows with the same set)."""
+    """One row per row of ``docs``: the key, ``text_hash``, ``n_shingles``, ``group_id`` (of the class; NULL without
+    shingles), ``component_id`` (the smallest key reachable by links) and ``n_copies`` (rows with the same set)."""
     spark, spec = docs.sparkSession, Spec(words, percent)
     scratch = Scratch(spark, "ngram-join")
     base = docs.select(F.col(key).alias("key_"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text_"))
@@ -250,9 +250,22 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", words
     known = (classes.select("cid", "k1", "k2", "rep", "copies").join(parts.withColumnRenamed("id", "cid"), "cid", "left")
              .withColumn("component", F.coalesce("component", "cid")))
     least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
-    known = known.join(least, "component").select("k1", "k2", F.col("cid").alias("set_id"), "component_id", "copies")
+    known = known.join(least, "component").select("k1", "k2", F.col("component").alias("group_id"), "component_id", "copies")
     # a set with a third of all rows is a hot key here: a plain join, which Spark can split
     return (every.select("key_", "text_hash", "n", "k1", "k2").join(known, ["k1", "k2"], "left")
-            .select(F.col("key_").alias(key), "text_hash", F.col("n").cast("long").alias("n_shingles"), "set_id",
+            .select(F.col("key_").alias(key), "text_hash", F.col("n").cast("long").alias("n_shingles"), "group_id",
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key_")).alias("component_id"),
                     F.coalesce("copies", F.lit(1)).alias("n_copies")))
+
+
+def one_of_each_class(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each class: the smallest key (NULL last), then the smallest hash of the text.
+    Documents without shingles are in no class and all stay."""
+    found = near_classes(docs, text, key, words, percent).filter(F.col("group_id").isNotNull())
+    first = F.min(F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("key"), F.col("text_hash").alias("hash")))
+    stay = found.groupBy("group_id").agg(first.alias("s")).select(F.col("s.key").alias("_k"), F.col("s.hash").alias("_h"))
+    has_words = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    told = docs.filter(has_words).withColumn("_key", F.col(key)).withColumn("_hash", F.xxhash64(text))
+    kept = (told.join(stay, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")), "left_semi")
+            .dropDuplicates(["_key", "_hash"]).drop("_key", "_hash"))
+    return kept.union(docs.filter(~has_words))
