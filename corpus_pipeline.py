@@ -9,9 +9,11 @@ next stage's ``docs``. Every stage but the last returns the columns of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from promoscope.llm import langid
+from promoscope.llm import decontam, langid, line_dedup, ngram_join, spm
 from promoscope.llm.common import Scratch, crc_remainder, table
+from promoscope.llm.queries import PIECE_MODEL
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +22,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).filter("accepted").select(*docs.columns)
 
 
-STAGES = [("language_id", language_id)]
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: lines that occurred before, or nearly so, leave the texts; documents left without a line go."""
+    got = line_dedup.dedup_lines(docs).filter((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    return got.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: one document of each class of texts that share four fifths of their five-word shingles stays."""
+    return ngram_join.one_of_each_class(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents that hold a passage of the benchmark go."""
+    return decontam.annotate(docs, table(spark, sf_dir, "benchmark")).filter(F.size("matches") == 0).select(*docs.columns)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: sampled pieces of every text, and whether they decode to it."""
+    vocabulary = spm.Vocabulary.load(PIECE_MODEL)
+    done = spm.decode(spm.encode(docs, vocabulary), vocabulary)
+    return done.withColumn("lossless", F.col("decoded").eqNullSafe(F.col("text"))).select(*docs.columns, "pieces", "lossless")
+
+
+STAGES = [("language_id", language_id), ("line_dedup", repeated_lines), ("near_duplicates", near_duplicates),
+          ("decontamination", benchmark_passages), ("sentencepiece", pieces)]
 
 ORACLE_SQL = None       # models and edit distances have no SQL form; tests/llm compares with brute force
 
