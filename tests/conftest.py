@@ -29,8 +29,8 @@ def make_star(spark, fact_rows, campaigns=None, products=None, stores=None):
     fact = [(e, s, c, p, Decimal(str(price)), promo, qb, qa)
             for e, s, c, p, price, promo, qb, qa in fact_rows]
     campaigns = campaigns if campaigns is not None else [
-        ("C1", "Spring Sale", dt.date(2023, 11, 12), dt.date(2023, 11, 18)),
-        ("C2", "Autumn Sale", dt.date(2024, 1, 10), dt.date(2024, 1, 16))]
+        ("C1", "Tulip Week", dt.date(2031, 4, 3), dt.date(2031, 4, 9)),
+        ("C2", "Cider Days", dt.date(2032, 10, 21), dt.date(2032, 10, 30))]
     products = products if products is not None else [
         ("P1", "Oat Flakes (1KG)", "Pantry & Breakfast"), ("P2", "Lemon Soap", "Bath"),
         ("P3", "Desk Lamp", "Lighting")]

@@ -29,21 +29,21 @@ def test_tuple_text_quotes_commas_nulls(spark):
 def test_csv_day_first_dates_and_raw_headers(spark):
     d = _tmp()
     with open(os.path.join(d, "c.csv"), "w") as fh:
-        fh.write("campaign_id,campaign_name,start_date,end_date\r\nK-01,Spring Sale,12-11-2023,18-11-2023\r\n"
-                 "K-99,Bad,31-02-2023,01-03-2023\r\n")
+        fh.write("campaign_id,campaign_name,start_date,end_date\r\nK-01,Tulip Week,03-04-2031,09-04-2031\r\n"
+                 "K-99,Bad,31-02-2031,01-03-2031\r\n")
     df = read_csv_typed(spark, d, schemas.DIM_CAMPAIGNS)
     rows = {r.campaign_id: r for r in df.collect()}
-    assert str(rows["K-01"].start_date) == "2023-11-12"
+    assert str(rows["K-01"].start_date) == "2031-04-03"
     assert rows["K-99"].start_date is None            # invalid date -> NULL, not an error
     f = _tmp()
     with open(os.path.join(f, "f.csv"), "w") as fh:
         fh.write("event_id,store_id,campaign_id,product_code,base_price,promo_type,"
                  "quantity_sold(before_promo),quantity_sold(after_promo)\n"
-                 "2.22E+12,ST-7,K-02,X4,110,25% OFF,393,322\n0012,ST-7,K-02,X4,110,,1,2\n")
+                 "7.5E+08,ST-7,K-02,X4,61.5,33% OFF,27,1040\n0012,ST-7,K-02,X4,61.5,,1,2\n")
     fact = read_csv_typed(spark, f, schemas.FACT_EVENTS)
     got = {r.event_id: r for r in fact.collect()}
-    assert set(got) == {"2.22E+12", "0012"}
-    assert got["2.22E+12"].quantity_sold_before_promo == 393
+    assert set(got) == {"7.5E+08", "0012"}
+    assert got["7.5E+08"].quantity_sold_before_promo == 27
     assert got["0012"].promo_type is None
     assert fact.schema["base_price"].dataType == schemas.PRICE
 
@@ -72,22 +72,22 @@ CREATE TABLE `dim_campaigns` (
   PRIMARY KEY (`campaign_id`)
 ) ENGINE=InnoDB;
 LOCK TABLES `dim_campaigns` WRITE;
-INSERT INTO `dim_campaigns` VALUES ('K1','Spring Sale','2023-11-12','2023-11-18'),('K2','Autumn Sale','2024-01-10','2024-01-16');
+INSERT INTO `dim_campaigns` VALUES ('K1','Tulip Week','2031-04-03','2031-04-09'),('K2','Cider Days','2032-10-21','2032-10-30');
 UNLOCK TABLES;
 INSERT INTO `dim_products` VALUES ('X1','Oat Flakes (1KG)','Pantry & Breakfast'),('X2','Lamp, Desk','Lighting');
 INSERT INTO `dim_stores` VALUES ('ST-1','Riverton'),('ST-2','Lakeside');
-INSERT INTO `fact_events` VALUES ('2.22E+12','ST-1','K1','X1',190,'BOGOF',10,20),('0012','ST-2','K2','X2',120,'500 Cashback',5,6),('4711','ST-2','K1','X2',300,NULL,7,8);
+INSERT INTO `fact_events` VALUES ('7.5E+08','ST-1','K1','X1',190,'BOGOF',10,20),('0012','ST-2','K2','X2',120,'500 Cashback',5,6),('4711','ST-2','K1','X2',300,NULL,7,8);
 """
     with open(os.path.join(d, "dump.sql"), "w") as fh:
         fh.write(text)
     star = read_sql_dump_star(spark, d)
     assert star.dim_products.count() == 2 and star.dim_stores.count() == 2
     fact = {r.event_id: r for r in star.fact_events.collect()}
-    assert set(fact) == {"2.22E+12", "0012", "4711"}
+    assert set(fact) == {"7.5E+08", "0012", "4711"}
     assert fact["4711"].promo_type is None and fact["0012"].quantity_sold_after_promo == 6
-    assert str(fact["2.22E+12"].base_price) == "190.00"
+    assert str(fact["7.5E+08"].base_price) == "190.00"
     assert {r.product_name for r in star.dim_products.collect()} == {"Oat Flakes (1KG)", "Lamp, Desk"}
     q3 = {r.campaign_name: r.total_revenue_before_promotion for r in R.q3_campaign_revenue(star).collect()}
-    assert q3 == {"Spring Sale": "0.00M", "Autumn Sale": "0.00M"}
+    assert q3 == {"Tulip Week": "0.00M", "Cider Days": "0.00M"}
     ir = {r.promo_type: r.total_incremental_revenue for r in R.promo_ir(star).collect()}
     assert str(ir["BOGOF"]) == "1900.0000"
