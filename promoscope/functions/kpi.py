@@ -9,10 +9,11 @@ Two conventions exist for promotions that are NULL or unknown:
 
 All money stays exact. Row-level outputs carry DECIMAL columns (``MONEY``);
 aggregations use the same amounts as integer counts of 1/10000 of the currency
-(``*_e4`` BIGINT columns), built only from integer arithmetic on the price in
-cents, and sum them as DECIMAL(38,0). Long multiplication keeps the per-row
-work inside generated code (Spark multiplies DECIMALs through BigDecimal), and
-grouping or sorting on a BIGINT is far cheaper than on a wide DECIMAL.
+(``*_e4`` DECIMAL(38,0) columns), built from integer arithmetic on the price in
+cents, and sum them as such. Long multiplication keeps the per-row work inside
+generated code (Spark multiplies DECIMALs through BigDecimal); only quantities
+too large for it take the DECIMAL path, so every legal price and quantity gives
+the same amount in both forms.
 """
 
 from __future__ import annotations
@@ -123,9 +124,20 @@ def price_cents(price=PRICE_COL) -> Column:
     return F.floor(_col(price).cast("double") * F.lit(100.0) + F.lit(0.5)).cast("bigint")
 
 
+#: Up to so many units, any DECIMAL(12,2) price times any rule stays inside a BIGINT of 1/10000 units.
+SAFE_UNITS = 46_000
+
+
+def _times_units(rate: Column, qty: Column) -> Column:
+    """``rate`` (1/10000 units a piece, at most 2e14) times ``qty`` as DECIMAL(38,0): BIGINT arithmetic where that
+    cannot overflow, DECIMAL arithmetic for larger quantities."""
+    wide = rate.cast("decimal(18,0)") * qty.cast("decimal(19,0)")
+    return F.when(F.abs(qty) <= SAFE_UNITS, (rate * qty).cast("decimal(38,0)")).otherwise(wide.cast("decimal(38,0)"))
+
+
 def revenue_before_e4(price=PRICE_COL, qty=QTY_BEFORE) -> Column:
     """K1 in 1/10000 units."""
-    return price_cents(price) * F.lit(100) * _col(qty)
+    return _times_units(price_cents(price) * F.lit(100), _col(qty))
 
 
 def revenue_after_e4(price=PRICE_COL, qty=QTY_AFTER, promo=PROMO_COL,
@@ -139,14 +151,13 @@ def revenue_after_e4(price=PRICE_COL, qty=QTY_AFTER, promo=PROMO_COL,
         value = cents * F.lit(f100)
         if off100:
             value = value - F.lit(off100 * 100)
-        value = value * qty
         if unit_factor != 1:
             value = value * F.lit(unit_factor)
         cond = promo_is(promo, label, collation)
         expr = F.when(cond, value) if expr is None else expr.when(cond, value)
     if convention == "r":
         expr = expr.otherwise(F.lit(0).cast("bigint"))
-    return expr
+    return _times_units(expr, qty)
 
 
 def e4_to_money(units: Column) -> Column:
@@ -195,7 +206,7 @@ def with_kpis(df: DataFrame, convention: str = "r", collation: str | None = None
 
 
 def with_kpi_units(df: DataFrame, convention: str = "r", collation: str | None = None) -> DataFrame:
-    """The aggregation form of K1-K5, K3, K8: money as ``*_e4`` BIGINT columns."""
+    """The aggregation form of K1-K5, K3, K8: money as ``*_e4`` columns."""
     return df.withColumns({
         "revenue_before_e4": revenue_before_e4(),
         "revenue_after_e4": revenue_after_e4(convention=convention, collation=collation),
@@ -207,6 +218,13 @@ def with_kpi_units(df: DataFrame, convention: str = "r", collation: str | None =
     })
 
 
+def with_unit_kpis(df: DataFrame, convention: str = "r", collation: str | None = None) -> DataFrame:
+    """K4 and K5 alone: for reports that read no price."""
+    units = sold_units_after(convention=convention, collation=collation)
+    return (df.withColumn("sold_units_after_promo", units)
+            .withColumn("incremental_sold_units", incremental_sold_units("sold_units_after_promo")))
+
+
 def with_metric_evaluation(kpi_df: DataFrame, collation: str | None = None,
                            convention: str = "r") -> DataFrame:
     """Add K3, K8, K9 to a KPI fact."""

@@ -29,7 +29,7 @@ fact_events AS (
          cast(l.l_quantity AS BIGINT) AS quantity_sold_before_promo,
          greatest(cast(l.l_quantity AS BIGINT) + 3 * cast(floor(l.l_discount * 100 + 0.5) AS BIGINT)
                   - 5 * cast(floor(l.l_tax * 100 + 0.5) AS BIGINT), 0) AS quantity_sold_after_promo
-  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
+  FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey
 ),
 dim_campaigns AS (
   SELECT cast(y AS VARCHAR) AS campaign_id, 'FY' || cast(y AS VARCHAR) AS campaign_name,
@@ -97,8 +97,24 @@ _ENRICHED_COLS = """event_id, store_id, campaign_id, product_code, cast(base_pri
 _KPI_COLS = _ENRICHED_COLS + """, cast(revenue_before_promo AS DOUBLE) AS revenue_before_promo,
   cast(revenue_after_promo AS DOUBLE) AS revenue_after_promo, sold_units_after_promo, incremental_sold_units"""
 
-_IR_PCT = """round(cast((sum(revenue_after_promo) - sum(revenue_before_promo)) * 100 AS DOUBLE)
-                / nullif(cast(sum(revenue_before_promo) AS DOUBLE), 0), 2)"""
+def _pct2(num: str, den: str) -> str:
+    """num * 100 / den to two decimals, half away from zero, from whole numbers."""
+    n, d = f"cast({num} AS HUGEINT)", f"cast({den} AS HUGEINT)"
+    return (f"CASE WHEN {d} <> 0 THEN cast((abs({n}) * 20000 + abs({d})) // (2 * abs({d})) AS DOUBLE) "
+            f"* sign({n}) * sign({d}) / 100.0 END")
+
+
+def _units(c: str) -> str:
+    """A summed amount in whole 1/10000 units."""
+    return f"sum(cast({c} * 10000 AS HUGEINT))"
+
+
+def _ir_pct(prefix: str = "") -> str:
+    a, b = _units(prefix + "revenue_after_promo"), _units(prefix + "revenue_before_promo")
+    return _pct2(f"({a} - {b})", b)
+
+
+_IR_PCT = _ir_pct()
 
 _STORES = """SELECT store_id, min(city) AS city, {expr} AS {name} FROM kpi_r GROUP BY store_id
 ORDER BY {name} {dir} NULLS LAST, store_id LIMIT 10"""
@@ -197,20 +213,18 @@ SELECT c.campaign_name,
     AS total_revenue_after_promotion
 FROM dim_campaigns c JOIN kpi_sql k ON k.campaign_id = c.campaign_id
 GROUP BY c.campaign_name""")
-    q["q4_campaign_isu_rank"] = _q("""
+    q["q4_campaign_isu_rank"] = _q(f"""
 SELECT category, ISU_Percent, cast(rank() OVER (ORDER BY ISU_Percent DESC NULLS LAST) AS BIGINT) AS rank_order
-FROM by_category""", """by_category AS (
+FROM by_category""", f"""by_category AS (
   SELECT p.category,
-         round(cast(sum(k.incremental_sold_units) * 100 AS DOUBLE)
-               / nullif(cast(sum(k.quantity_sold_before_promo) AS DOUBLE), 0), 2) AS ISU_Percent
+         {_pct2("sum(k.incremental_sold_units)", "sum(k.quantity_sold_before_promo)")} AS ISU_Percent
   FROM dim_products p JOIN kpi_sql k ON k.product_code = p.product_code
   JOIN dim_campaigns c ON k.campaign_id = c.campaign_id
   WHERE c.campaign_name = 'FY1998'
   GROUP BY p.category)""")
-    q["q5_top5_products_ir"] = _q("""
+    q["q5_top5_products_ir"] = _q(f"""
 SELECT p.product_name, p.category,
-  round(cast(sum(k.revenue_after_promo) - sum(k.revenue_before_promo) AS DOUBLE)
-        / nullif(cast(sum(k.revenue_before_promo) AS DOUBLE), 0) * 100, 2) AS IR_Percent
+  {_ir_pct("k.")} AS IR_Percent
 FROM dim_products p JOIN kpi_sql k ON p.product_code = k.product_code
 GROUP BY p.product_name, p.category
 ORDER BY IR_Percent DESC NULLS LAST, product_name, category LIMIT 5""")

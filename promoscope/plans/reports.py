@@ -21,6 +21,8 @@ division of exact totals.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,11 @@ def fact_kpis(star: RetailStar, convention: str = "r", fact: DataFrame | None =
     return star.memo[key]
 
 
+def unit_kpis(star: RetailStar, convention: str = "r") -> DataFrame:
+    """The unit columns of ``fact_kpis`` alone, over the fact without its price lookup."""
+    return kpi.with_unit_kpis(star.unit_events, convention=convention)
+
+
 def _sum_e4(c: str) -> Column:
     return F.sum(F.col(c).cast("decimal(38,0)"))
 
@@ -95,13 +102,17 @@ def _money0(c: str) -> Column:
     return _money(F.coalesce(F.col(c), F.lit(0)))
 
 
-def _ratio_pct(num: Column, den: Column) -> Column:
-    """``num / den * 100`` in double (Q5's order of operations)."""
-    return F.try_divide(num.cast("double"), den.cast("double")) * F.lit(100.0)
+def pct2(num: Column, den: Column) -> Column:
+    """``num * 100 / den`` rounded to two decimals, half away from zero, from exact integers (NULL for a zero or
+    NULL ``den``): ties do not depend on how a double or a decimal quotient was rounded before."""
+    n, d = num.cast("decimal(38,0)"), den.cast("decimal(38,0)")
+    twice = F.abs(d) * F.lit(Decimal(2))
+    cents = F.call_function("div", F.abs(n) * F.lit(Decimal(20000)) + F.abs(d), F.nullif(twice, F.lit(Decimal(0))))
+    return cents.cast("double") * F.signum(n.cast("double")) * F.signum(d.cast("double")) / F.lit(100.0)
 
 
 def _pct_of(num: Column, den: Column) -> Column:
-    """``(num * 100) / den`` in double (Q4, R3, R5's order of operations)."""
+    """``(num * 100) / den`` in double (R5, which is not rounded)."""
     return F.try_divide((num * 100).cast("double"), den.cast("double"))
 
 
@@ -109,7 +120,7 @@ def _pct_of(num: Column, den: Column) -> Column:
 # Q1-Q5: the SQL reports
 
 
-def q1_high_value_bogof(star: RetailStar, min_price: int = 950, promo: str = "BOGOF") -> DataFrame:
+def q1_high_value_bogof(star: RetailStar, min_price: int = 500, promo: str = "BOGOF") -> DataFrame:
     f = star.fact_events.where((F.col("promo_type") == promo) & (F.col("base_price") > F.lit(min_price)))
     pairs = f.select("product_code", "base_price").distinct()
     j = inner_join(pairs, star.dim_products.select("product_code", "product_name"), "product_code")
@@ -130,14 +141,14 @@ def q3_campaign_revenue(star: RetailStar) -> DataFrame:
                     millions_label(_money("_ra")).alias("total_revenue_after_promotion"))
 
 
-def q4_campaign_isu_rank(star: RetailStar, campaign_name: str = "FY1998") -> DataFrame:
+def q4_campaign_isu_rank(star: RetailStar, campaign_name: str) -> DataFrame:
     camp = star.dim_campaigns.where(F.col("campaign_name") == campaign_name).select("campaign_id")
     if dim_is_small(star, "dim_campaigns"):
         camp = F.broadcast(camp)
-    f = inner_join(fact_kpis(star, "sql"), camp, "campaign_id")
+    f = inner_join(unit_kpis(star, "sql"), camp, "campaign_id")
     t = _by_attribute(star, f, "dim_products", "product_code", [], ["category"],
                       ["_isu_sum", "_qb"], "inner")
-    t = t.select("category", F.round(_pct_of(F.col("_isu_sum"), F.col("_qb")), 2).alias("ISU_Percent"))
+    t = t.select("category", pct2(F.col("_isu_sum"), F.col("_qb")).alias("ISU_Percent"))
     return ranking.global_rank(t, ["ISU_Percent"], "rank_order", method="rank", descending=True)
 
 
@@ -145,7 +156,7 @@ def q5_top5_products_ir(star: RetailStar, k: int = 5) -> DataFrame:
     f = fact_kpis(star, "sql")
     t = _by_attribute(star, f, "dim_products", "product_code", [], ["product_name", "category"],
                       ["_rb", "_ra"], "inner")
-    ir = F.round(_ratio_pct(_money(F.col("_ra") - F.col("_rb")), _money("_rb")), 2)
+    ir = pct2(F.col("_ra") - F.col("_rb"), F.col("_rb"))
     t = t.select("product_name", "category", ir.alias("IR_Percent"))
     return ranking.top_k(t, k, F.desc_nulls_last("IR_Percent"), F.asc_nulls_last("product_name"),
                          F.asc_nulls_last("category"))
@@ -166,7 +177,7 @@ def kpi_fact(star: RetailStar) -> DataFrame:
 def overall_ir_pct(star: RetailStar) -> DataFrame:
     f = fact_kpis(star, "r")
     t = f.agg(_sum_e4("revenue_after_e4").alias("a"), _sum_e4("revenue_before_e4").alias("b"))
-    return t.select(F.round(_pct_of(_money(F.col("a") - F.col("b")), _money("b")), 2).alias("IR_Percentage"))
+    return t.select(pct2(F.col("a") - F.col("b"), F.col("b")).alias("IR_Percentage"))
 
 
 def enrich_with_overall_ir(star: RetailStar) -> DataFrame:
@@ -175,7 +186,7 @@ def enrich_with_overall_ir(star: RetailStar) -> DataFrame:
 
 def overall_isu_pct(star: RetailStar) -> DataFrame:
     """Unrounded; NULL as soon as one unit value is NULL (R ``sum`` without na.rm)."""
-    f = fact_kpis(star, "r")
+    f = unit_kpis(star, "r")
     t = f.agg(F.sum("sold_units_after_promo").alias("a"), F.sum(QB).alias("b"),
               F.count("sold_units_after_promo").alias("na"), F.count(F.lit(1)).alias("n"))
     a = F.when(F.col("na") == F.col("n"), F.col("a"))
@@ -187,7 +198,8 @@ def overall_isu_pct(star: RetailStar) -> DataFrame:
 
 
 def _store_totals(star: RetailStar, names: list[str]) -> DataFrame:
-    part = _partials(fact_kpis(star, "r"), ["store_id"], names)
+    fact = fact_kpis(star, "r") if "_ir_sum" in names else unit_kpis(star, "r")
+    part = _partials(fact, ["store_id"], names)
     j = left_join_null_safe(part, star_dim(star, "dim_stores"), "store_id")
     return j.groupBy("store_id").agg(F.min("city").alias("city"), *[F.sum(n).alias(n) for n in names])
 
@@ -265,23 +277,25 @@ def promo_ir(star: RetailStar) -> DataFrame:
 
 
 def promo_isu(star: RetailStar) -> DataFrame:
-    t = _partials(fact_kpis(star, "r"), ["promo_type"], ["_isu_sum"])
+    t = _partials(unit_kpis(star, "r"), ["promo_type"], ["_isu_sum"])
     return t.select("promo_type", F.coalesce(F.col("_isu_sum"), F.lit(0)).alias(
         "total_incremental_sold_units")).orderBy(F.desc_nulls_last("total_incremental_sold_units"))
 
 
 def _promo_stats(star: RetailStar, value: str, suffix: str, exact: bool = True,
                  money: bool = False) -> DataFrame:
-    """Mean, median, sample sd and row count by promo from one pass over the
-    fact (value counts; the values are integers: units or 1/10000 money)."""
-    f = fact_kpis(star, "r")
-    unit = float(kpi.E4) if money else 1.0
+    """Mean, sample sd and row count by promo in one partially aggregated pass
+    (``stddev_samp`` merges partial moments without cancellation), and the
+    median from the value counts (a table written while the plan is built). The
+    join between them has a row per promo on either side."""
+    f = fact_kpis(star, "r") if money else unit_kpis(star, "r")
     to_double = kpi.e4_to_double if money else (lambda c: c.cast("double"))
-    freq = stats.value_counts(f, ["promo_type"], value, materialize=exact)
-    mom = stats.moments_from_counts(freq, ["promo_type"], value, unit)
+    total = _sum_e4(value) if money else F.sum(value)
+    mom = f.groupBy("promo_type").agg(
+        F.count(F.lit(1)).alias("_rows"), F.count(value).alias("_cnt"), total.alias("_sum"),
+        F.stddev_samp(to_double(F.col(value))).alias("_sd"))
     if exact:
-        med = stats.percentiles_from_counts(freq, ["promo_type"], value, {f"median_{suffix}": 0.5},
-                                            to_double=to_double)
+        med = stats.exact_percentiles(f, ["promo_type"], value, {f"median_{suffix}": 0.5}, to_double=to_double)
     else:
         med = stats.approx_percentiles(f.withColumn(value, to_double(F.col(value))), ["promo_type"],
                                        value, {f"median_{suffix}": 0.5})
@@ -371,7 +385,7 @@ def category_promo_effectiveness(star: RetailStar) -> DataFrame:
 
 
 def _before_after(star: RetailStar, attr: str) -> DataFrame:
-    t = _by_attribute(star, star.fact_events, "dim_products", "product_code", [], [attr],
+    t = _by_attribute(star, star.unit_events, "dim_products", "product_code", [], [attr],
                       ["_qb", "_qa"], "left")
     t = t.select(attr, F.coalesce(F.col("_qb"), F.lit(0)).alias("total_before"),
                  F.coalesce(F.col("_qa"), F.lit(0)).alias("total_after"))

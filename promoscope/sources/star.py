@@ -16,6 +16,13 @@ class RetailStar:
     dim_stores: DataFrame
     # derived lazy plans (e.g. the KPI projection), built once per star
     memo: dict = field(default_factory=dict, compare=False, hash=False, repr=False)
+    # the fact without its price, where a source has to look the price up
+    unpriced: DataFrame | None = None
+
+    @property
+    def unit_events(self) -> DataFrame:
+        """The fact for reports that read no price."""
+        return self.unpriced if self.unpriced is not None else self.fact_events.drop("base_price")
 
     def persisted(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> "RetailStar":
         """The same star with the fact kept by the executors after its first

@@ -13,11 +13,9 @@ The mapping is fixed (the oracle SQL in ``plans.oracle`` states the same one):
   (percentages as floor(x*100 + 0.5): exact for two-decimal rates, and a
   cheap long operation where round() of a double goes through BigDecimal)
 
-Every fact column but the price is a projection of ``lineitem`` (no shuffle);
-the price is a lookup of the product key. Dimensions are small derived tables;
-no join here is given a broadcast hint: AQE broadcasts a side once its runtime
-size is below ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and otherwise
-keeps a sort-merge join, so nothing unbounded is ever broadcast.
+Every fact column but the price is a projection of ``lineitem`` (no shuffle),
+and reports that read no price use that projection alone. The price is a lookup
+of the product key, broadcast only when the price list measures small.
 """
 
 from __future__ import annotations
@@ -25,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promoscope.operators import star as joins
 from promoscope.schemas import PRICE
 from promoscope.sources.star import RetailStar
 
@@ -54,26 +53,32 @@ def _promo_from_flags() -> F.Column:
     return expr
 
 
-def fact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _read(spark, sf_dir, "lineitem")
-    price = _read(spark, sf_dir, "part").select(
-        F.col("p_partkey"), F.col("p_retailprice").cast(PRICE).alias("base_price"))
+def unit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact without its price: a projection of ``lineitem``."""
     qty = F.col("l_quantity").cast("bigint")
     after = F.greatest(
         qty + F.lit(3) * F.floor(F.col("l_discount") * 100 + 0.5)
         - F.lit(5) * F.floor(F.col("l_tax") * 100 + 0.5),
         F.lit(0).cast("bigint"))
-    return (li.join(price, li.l_partkey == price.p_partkey, "inner")
-              .select(
-                  F.concat_ws("-", F.col("l_orderkey").cast("string"),
-                              F.col("l_linenumber").cast("string")).alias("event_id"),
-                  F.col("l_suppkey").cast("string").alias("store_id"),
-                  F.year("l_shipdate").cast("string").alias("campaign_id"),
-                  F.col("l_partkey").cast("string").alias("product_code"),
-                  F.col("base_price"),
-                  _promo_from_flags().alias("promo_type"),
-                  qty.alias("quantity_sold_before_promo"),
-                  after.alias("quantity_sold_after_promo")))
+    return _read(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("event_id"),
+        F.col("l_suppkey").cast("string").alias("store_id"),
+        F.year("l_shipdate").cast("string").alias("campaign_id"),
+        F.col("l_partkey").cast("string").alias("product_code"),
+        _promo_from_flags().alias("promo_type"),
+        qty.alias("quantity_sold_before_promo"),
+        after.alias("quantity_sold_after_promo"))
+
+
+def fact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact with its price, looked up by product behind the broadcast guard; an event of an unknown product
+    keeps a NULL price."""
+    price = joins.sized_broadcast(_read(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("_code"), F.col("p_retailprice").cast(PRICE).alias("base_price")))
+    events = unit_events(spark, sf_dir)
+    return events.join(price, F.col("product_code") == F.col("_code"), "left").select(
+        "event_id", "store_id", "campaign_id", "product_code", "base_price", "promo_type",
+        "quantity_sold_before_promo", "quantity_sold_after_promo")
 
 
 def dim_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,4 +112,5 @@ def testdata_star(spark: SparkSession, sf_dir: str) -> RetailStar:
         dim_campaigns=dim_campaigns(spark, sf_dir),
         dim_products=dim_products(spark, sf_dir),
         dim_stores=dim_stores(spark, sf_dir),
+        unpriced=unit_events(spark, sf_dir),
     )

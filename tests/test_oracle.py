@@ -5,17 +5,16 @@ import pytest
 
 from tools.compare import compare
 
-KEYS = None
-
-
 def test_every_key_has_an_oracle():
-    from __spark_entry__ import oracle_sql, queries
-    assert set(queries()) == set(oracle_sql())
-    assert len(queries()) >= 39
+    from promoscope.plans.catalog import registry
+    from promoscope.plans.oracle import oracle_queries
+    assert set(registry()) == set(oracle_queries())
+    assert len(registry()) >= 39
 
 
 def test_all_queries_match_oracle(spark, sf_small):
-    res = compare(spark, sf_small, verbose=False)
+    from promoscope.plans.catalog import registry
+    res = compare(spark, sf_small, list(registry()), verbose=False)
     bad = {k: v for k, v in res.items() if v[0] != "ok"}
     assert not bad, bad
 
