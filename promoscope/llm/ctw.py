@@ -223,14 +223,15 @@ def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 @dataclass
 class ByteModel:
     """Per depth: the cells (context, byte) of the kept contexts with log10 probabilities, the kept contexts,
-    and the decision nodes with what the depths above and at the node contribute to a one (``above``) and the
-    weight left for the depths below (``left``)."""
+    and the decision nodes with what the depths above and at the node contribute to a one (``above``), the
+    weight left for the depths below (``left``), and the whole estimate where no deeper context is kept."""
     cells: list[HashTable]
     logp: list[np.ndarray]
     contexts: list[HashTable]
     nodes: list[HashTable]
     above: list[np.ndarray]
     left: list[np.ndarray]
+    strange: list[np.ndarray]       # a node's probability of a one for context bytes that are not kept
 
     @classmethod
     def build(cls, cells: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> ByteModel:
@@ -266,7 +267,7 @@ class ByteModel:
             o = ones[d] - np.bincount(parent[d + 1], weights=ones[d + 1], minlength=size)
             other[d] = (z, o)
             weighted[d] = np.logaddexp(own[d], below + _log_kt(z, o)) - np.log(2.0)
-        cells_t, logp, contexts, above, left = [], [], [], [], []
+        cells_t, logp, contexts, above, left, strange = [], [], [], [], [], []
         a, b = np.zeros(len(keys[0])), np.ones(len(keys[0]))
         for d in range(depth + 1):
             if d:
@@ -282,12 +283,13 @@ class ByteModel:
                 p = a + b * kt
                 above.append(p)
                 left.append(np.zeros(len(p)))
+            strange.append(p)
             inv, bit = back[d]
             logp.append(np.where(bit, np.log10(p[inv]), np.log10(1 - p[inv])).sum(axis=0).astype(np.float32))
             ctx, byte, _ = cells[d]
             cells_t.append(HashTable.build((ctx << np.uint64(8)) | byte))
             contexts.append(HashTable.build(np.unique(ctx)))
-        return cls(cells_t, logp, contexts, tables, [x.astype(np.float32) for x in above], [x.astype(np.float32) for x in left])
+        return cls(cells_t, logp, contexts, tables, *([x.astype(np.float32) for x in part] for part in (above, left, strange)))
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 probability of each (context, byte)."""
@@ -333,9 +335,8 @@ class ByteModel:
                 ctx = (grams[todo] >> np.uint64(8)) & np.uint64((1 << (8 * k)) - 1)
                 at = self.nodes[k].find((ctx << np.uint64(8)) | node[todo])
                 seen = at >= 0
-                # the context one deeper never met this decision: its estimate is one half
-                rest = 0.0 if k == len(self.cells) - 1 else 0.5
-                p[todo[seen]] = self.above[k][at[seen]] + self.left[k][at[seen]] * rest
+                # below, either no context is kept, or a kept one never met this decision and says one half
+                p[todo[seen]] = self.strange[k][at[seen]] if k == d else self.above[k][at[seen]] + self.left[k][at[seen]] * 0.5
                 todo = todo[~seen]
             total += np.where(one, np.log10(p), np.log10(1 - p))
         return total
