@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promoscope.operators.stats import range_partition
-from promoscope.session import materialize as materialize_table
+from promoscope.session import materialize
 
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -36,7 +36,7 @@ def _orders(cols: list[str], descending) -> list[Column]:
 
 
 def global_rank(df: DataFrame, cols: list[str], name: str, method: str = "rank",
-                descending=False, num_ranges: int | None = None, materialize: bool = True) -> DataFrame:
+                descending=False, num_ranges: int | None = None) -> DataFrame:
     """Rank over the whole frame by ``cols`` (NULLs last) without a
     single-partition window. ``descending``: one flag or one per column.
 
@@ -47,15 +47,16 @@ def global_rank(df: DataFrame, cols: list[str], name: str, method: str = "rank",
     task) is joined back as the rank.
 
     The scheme reads its input several times (range totals, numbering, tie
-    groups). With ``materialize`` the input is range-partitioned once and
-    written to the shared checkpoint folder, so the plan that produced it
-    (usually a fact aggregation) runs once instead of once per branch."""
+    groups), so the range-partitioned input is always written to the shared
+    checkpoint folder first (a job that runs while the plan is built): the
+    branches must see the same ranges, whatever the optimiser reuses, and the
+    plan that produced it runs once."""
     assert method in ("rank", "row_number")
     order = _orders(cols, descending)
     if method == "rank":
         df = df.withColumn("_rid", F.monotonically_increasing_id())
         order = order + [F.asc("_rid")]
-    rn = _row_number(df, order, "_rn" if method == "rank" else name, num_ranges, materialize)
+    rn = _row_number(df, order, "_rn" if method == "rank" else name, num_ranges)
     if method == "row_number":
         return rn
     firsts = rn.groupBy(*cols).agg(F.min("_rn").alias(name)).select(
@@ -66,13 +67,10 @@ def global_rank(df: DataFrame, cols: list[str], name: str, method: str = "rank",
     return rn.join(firsts, cond, "inner").drop(*[c + "_o" for c in cols], "_rid", "_rn")
 
 
-def _row_number(df: DataFrame, order: list[Column], name: str, num_ranges: int | None,
-                materialize: bool) -> DataFrame:
+def _row_number(df: DataFrame, order: list[Column], name: str, num_ranges: int | None) -> DataFrame:
     """Range-partition on the order, number rows inside each range, add the
     row count of all earlier ranges (a table of one row per range)."""
-    ranged = range_partition(df, order, num_ranges)
-    if materialize:
-        ranged = materialize_table(ranged, "ranked")
+    ranged = materialize(range_partition(df, order, num_ranges), "ranked")
     w = Window.partitionBy("_part").orderBy(*order)
     local = ranged.withColumn("_local", F.row_number().over(w))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -86,13 +84,12 @@ def _row_number(df: DataFrame, order: list[Column], name: str, num_ranges: int |
 
 
 def axis_order(df: DataFrame, label: str, y: str, name: str = "axis_position",
-               num_ranges: int | None = None, materialize: bool = True) -> DataFrame:
+               num_ranges: int | None = None) -> DataFrame:
     """Position of each label on a chart axis ordered by the mean of ``y``
     per label (ascending, ties by label), attached to every row of ``df``.
-    ``df`` is read twice (means, then the rows the positions attach to); with
-    ``materialize`` it is written once so its plan does not run twice."""
-    if materialize:
-        df = materialize_table(df, "axis-input")
+    ``df`` is read twice (means, then the rows the positions attach to), so it
+    is written once (while the plan is built) and its plan does not run twice."""
+    df = materialize(df, "axis-input")
     means = df.groupBy(label).agg(F.avg(F.col(y).cast("double")).alias("_mean"))
     pos = global_rank(means, ["_mean", label], name, method="row_number",
                       num_ranges=num_ranges).drop("_mean")

@@ -11,7 +11,3 @@ def longer(df: DataFrame, ids: list[str], values: list[str], names_to: str,
     narrow transformation (Expand), no shuffle."""
     return df.unpivot(ids, values, names_to, values_to)
 
-
-def ungroup(df: DataFrame) -> DataFrame:
-    """DataFrames carry no grouping state; kept for readability of ports."""
-    return df

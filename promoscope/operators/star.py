@@ -7,19 +7,22 @@ Two join flavours exist in the reference and both are kept:
   matches a NULL dimension key (``eqNullSafe``). Spark still plans ``<=>`` as
   an equi-join (hash or sort-merge), so this costs nothing extra.
 
-A dimension is broadcast only behind a proven bound (``sized_broadcast``):
-its rows are counted (once per star, ``limit(max+1).count()`` stops early on a
-big table) and the hint is given only below ``max_rows``; otherwise the join
-is left to the planner and AQE (sort-merge, skew splitting). This matters for
-dimensions derived by aggregation (the campaign table is the distinct order
-years): Catalyst estimates their size from the whole input, and a runtime
-conversion by AQE comes after the fact side has already been shuffled.
+A dimension is broadcast only behind a measured bound in bytes
+(``sized_broadcast``): one partially aggregated job adds up its rows and the
+lengths of its values, and the hint is given only below ``max_bytes``;
+otherwise the join is left to the planner and AQE (sort-merge, skew splitting).
+This matters for dimensions derived by aggregation (the campaign table is the
+distinct order years): Catalyst estimates their size from the whole input, and
+a runtime conversion by AQE comes after the fact side has been shuffled.
+The measuring job runs while the plan is built (``star_dim``, ``enrich`` and
+the reports over them), once per DataFrame of a dimension.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promoscope.sources.star import RetailStar
 
@@ -42,40 +45,51 @@ def inner_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key, "inner")
 
 
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+ROW_OVERHEAD = 32           # bytes of an in-memory row besides its values
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
-    Runs one counting job (it returns a number, no data reaches the driver)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def measured_bytes(df: DataFrame) -> int:
+    """Size of ``df`` in memory, about: a row's overhead, 8 bytes a column and the text lengths.
 
+    One aggregation with map-side sums: a task sends one row whatever it reads."""
+    size = F.lit(ROW_OVERHEAD + 8 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        if not isinstance(f.dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0))
+    return int(df.agg(F.sum(size)).first()[0] or 0)
 
-def dim_is_small(star: RetailStar, name: str, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
-    """Whether a dimension of ``star`` has at most ``max_rows`` rows (counted
-    once per star; the count stops early on a big table)."""
-    key = ("dim_is_small", name, max_rows)
-    if key not in star.memo:
-        star.memo[key] = getattr(star, name).limit(max_rows + 1).count() <= max_rows
-    return star.memo[key]
 
+def sized_broadcast(df: DataFrame, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` if ``df`` measures at most ``max_bytes``, else ``df``. Runs the measuring job."""
+    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
 
-def star_dim(star: RetailStar, name: str, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+
+def dim_is_small(star: RetailStar, name: str, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> bool:
+    """Whether a dimension of ``star`` measures at most ``max_bytes``. Measured once per DataFrame: a star over a
+    re-read dimension measures it anew, even where it shares the memo."""
+    df = getattr(star, name)
+    known = star.memo.get(("bytes", name))
+    if known is None or known[0] is not df:
+        known = star.memo[("bytes", name)] = (df, measured_bytes(df))
+    return known[1] <= max_bytes
+
+
+def star_dim(star: RetailStar, name: str, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """A dimension of ``star`` prepared for a join with the fact: broadcast if
-    proven small."""
+    measured small."""
     dim = getattr(star, name)
-    return F.broadcast(dim) if dim_is_small(star, name, max_rows) else dim
+    return F.broadcast(dim) if dim_is_small(star, name, max_bytes) else dim
 
 
 def enrich(star: RetailStar, fact: DataFrame | None = None,
            dims=("dim_campaigns", "dim_products", "dim_stores"), how: str = "left",
-           max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+           max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """The wide fact. ``dims`` names only the dimensions a report needs, since
     Spark cannot drop an unused outer join by itself."""
     out = star.fact_events if fact is None else fact
     for d in dims:
-        dim, key = star_dim(star, d, max_broadcast_rows), DIM_KEYS[d]
+        dim, key = star_dim(star, d, max_broadcast_bytes), DIM_KEYS[d]
         out = left_join_null_safe(out, dim, key) if how == "left" else inner_join(out, dim, key)
     return out
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promoscope.session import materialize as materialize_table
+from promoscope.session import materialize
 
 
 def null_safe_join_cond(keys: list[str], lsuffix: str) -> Column:
@@ -44,37 +44,29 @@ def _with_ranges(freq: DataFrame, keys: list[str], value: str, num_ranges: int |
     return range_partition(freq, [*keys, value], num_ranges)
 
 
-def value_counts(df: DataFrame, keys: list[str], value: str, materialize: bool = True,
-                 num_ranges: int | None = None) -> DataFrame:
-    """``(keys, value, _c[, _part])``: copies of each value per group, NULL
+def value_counts(df: DataFrame, keys: list[str], value: str, num_ranges: int | None = None) -> DataFrame:
+    """``(keys, value, _c, _part)``: copies of each value per group, NULL
     values included (as their own row). This is the one pass over the input
-    that the statistics below need; it is partially aggregated before its
-    shuffle.
-
-    With ``materialize`` the counts are also range-partitioned (``_part``,
-    see ``rank_intervals``) and written once as Parquet into the shared folder
-    named by ``spark.checkpoint.dir``, then read back. The statistics read the
-    table several times; the written table avoids recomputing the input (with
-    AQE the range sampling reads the finished aggregation shuffle) and cuts the
-    lineage for executor loss. (``Dataset.checkpoint`` on an uncached plan would
-    compute the input twice: once for its action, once to write.)"""
+    that the percentiles need; it is partially aggregated before its shuffle.
+
+    The counts are range-partitioned (``_part``, see ``rank_intervals``) and
+    written once as Parquet into the shared folder named by
+    ``spark.checkpoint.dir``, by a job that runs while the plan is built. The
+    percentiles read the table in several branches, which must all see the same
+    ranges whatever the optimiser reuses; the written table also cuts the
+    lineage for executor loss."""
     freq = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    if materialize:
-        freq = materialize_table(_with_ranges(freq, keys, value, num_ranges), "value-counts")
-    return freq
+    return materialize(_with_ranges(freq, keys, value, num_ranges), "value-counts")
 
 
-def rank_intervals(freq: DataFrame, keys: list[str], value: str,
-                   num_ranges: int | None = None) -> DataFrame:
-    """From value counts, one row per distinct non-NULL (keys, value) with
+def rank_intervals(freq: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """From ``value_counts``, one row per distinct non-NULL (keys, value) with
     ``_c`` (copies), ``_lo``/``_hi`` (1-based rank interval of those copies
     inside the group) and ``_n`` (non-NULL values in the group).
 
     Running counts are taken inside each (range, group); each range's offset
     inside its group is the sum of the counts of the earlier ranges, from a
     table of at most ranges + groups rows."""
-    if "_part" not in freq.columns:
-        freq = _with_ranges(freq, keys, value, num_ranges)
     ranged = freq.where(F.col(value).isNotNull())
     running = Window.partitionBy("_part", *keys).orderBy(value).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -97,13 +89,13 @@ def _as_double(c: Column) -> Column:
 
 
 def percentiles_from_counts(freq: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                            num_ranges: int | None = None, to_double=_as_double) -> DataFrame:
+                            to_double=_as_double) -> DataFrame:
     """Exact linear-interpolation percentiles per group (R ``quantile`` type 7,
     R ``median``, Spark ``percentile``, DuckDB ``quantile_cont``) from value
     counts. ``probs`` maps output column name -> probability. ``to_double``
     maps the (ordered) value to the double that is interpolated, e.g. an
     integer money count to currency. Groups without non-NULL values are absent."""
-    iv = rank_intervals(freq, keys, value, num_ranges)
+    iv = rank_intervals(freq, keys, value)
     v = to_double(F.col(value))
     picks, wanted = [], F.lit(False)
     for name, p in probs.items():
@@ -124,36 +116,9 @@ def percentiles_from_counts(freq: DataFrame, keys: list[str], value: str, probs:
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                      num_ranges: int | None = None, to_double=_as_double,
-                      materialize: bool = True) -> DataFrame:
+                      num_ranges: int | None = None, to_double=_as_double) -> DataFrame:
     """``percentiles_from_counts`` over the value counts of ``df``."""
-    return percentiles_from_counts(value_counts(df, keys, value, materialize), keys, value, probs,
-                                   num_ranges, to_double)
-
-
-def moments_from_counts(freq: DataFrame, keys: list[str], value: str, unit: float = 1.0) -> DataFrame:
-    """Per group from integer value counts: ``_rows`` (all rows, NULL values
-    included), ``_cnt`` (non-NULL), ``_sum`` (exact DECIMAL(38,0) sum of the
-    integer values) and ``_sd`` (sample standard deviation of value/unit).
-
-    Two passes over the counts (the classic stable form): the exact sum gives
-    the mean, then sum(c * (v - mean)^2) in double. No cancellation, and no
-    wide integer that could overflow however large the groups grow."""
-    v = F.col(value)
-    first = freq.groupBy(*keys).agg(
-        F.sum("_c").alias("_rows"),
-        F.sum(F.when(v.isNotNull(), F.col("_c"))).alias("_cnt"),
-        F.sum(v.cast("decimal(38,0)") * F.col("_c").cast("decimal(38,0)")).alias("_sum"))
-    means = first.select(*[F.col(k).alias(k + "_m") for k in keys],
-                         (F.col("_sum").cast("double") / F.col("_cnt").cast("double")).alias("_mean"))
-    dev = v.cast("double") - F.col("_mean")
-    second = (freq.where(v.isNotNull()).join(means, null_safe_join_cond(keys, "_m"), "inner")
-                  .groupBy(*keys).agg(F.sum(F.col("_c").cast("double") * dev * dev).alias("_m2"))
-                  .select(*[F.col(k).alias(k + "_s") for k in keys], "_m2"))
-    j = first.join(second, null_safe_join_cond(keys, "_s"), "left")
-    var = F.try_divide(F.col("_m2"), (F.col("_cnt") - 1).cast("double"))
-    sd = F.when(F.col("_cnt") > 1, F.sqrt(var) / F.lit(float(unit)))
-    return j.select(*keys, "_rows", "_cnt", "_sum", sd.alias("_sd"))
+    return percentiles_from_counts(value_counts(df, keys, value, num_ranges), keys, value, probs, to_double)
 
 
 def approx_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
@@ -182,9 +147,8 @@ def boxplot_stats(df: DataFrame, keys: list[str], value: str, coef: float = 1.5,
     number of points beyond them. Both passes run on the value counts: exact
     quartiles, then one aggregate over the counts with the (one row per group)
     quartiles joined back."""
-    freq = value_counts(df, keys, value)
-    q = percentiles_from_counts(freq, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75},
-                                num_ranges, to_double)
+    freq = value_counts(df, keys, value, num_ranges)
+    q = percentiles_from_counts(freq, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, to_double)
     q = q.select(*[F.col(k).alias(k + "_q") for k in keys], "q1", "median", "q3")
     v = to_double(F.col(value))
     j = freq.where(F.col(value).isNotNull()).join(q, null_safe_join_cond(keys, "_q"), "inner")

@@ -54,7 +54,3 @@ FOREIGN_KEYS = {
     "store_id": ("dim_stores", "store_id"),
 }
 
-
-def as_text_schema(schema: T.StructType) -> T.StructType:
-    """Same field names, every field a nullable string (for dirty CSV/tuple text)."""
-    return T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])

@@ -20,7 +20,7 @@ def test_exact_percentiles_match_numpy_on_skewed_groups(spark):
     pdf = _skewed()
     df = spark.createDataFrame(pdf, "g string, v bigint")
     got = {r.g: r for r in stats.exact_percentiles(df, ["g"], "v", {"q1": .25, "med": .5, "q9": .9},
-                                                   num_ranges=7, materialize=False).collect()}
+                                                   num_ranges=7).collect()}
     for key, sub in pdf.groupby(pdf.g.fillna("<null>")):
         k = None if key == "<null>" else key
         vals = np.sort(sub.v.values.astype(float))
@@ -33,8 +33,7 @@ def test_exact_percentiles_match_numpy_on_skewed_groups(spark):
        st.integers(1, 5))
 def test_exact_percentiles_property(spark, rows, parts):
     df = spark.createDataFrame(rows, "g string, v bigint")
-    got = {r.g: r.m for r in stats.exact_percentiles(df, ["g"], "v", {"m": 0.5}, num_ranges=parts,
-                                                     materialize=False).collect()}
+    got = {r.g: r.m for r in stats.exact_percentiles(df, ["g"], "v", {"m": 0.5}, num_ranges=parts).collect()}
     pdf = pd.DataFrame(rows, columns=["g", "v"])
     for k, sub in pdf.groupby("g"):
         assert abs(got[k] - float(np.median(sub.v))) < 1e-9

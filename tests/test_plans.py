@@ -72,7 +72,7 @@ def test_report_reads_only_needed_columns(spark, sf_small):
     assert "ReadSchema: struct<p_partkey:bigint>" in p
 
 
-def test_broadcast_only_under_the_counted_bound(spark):
+def test_broadcast_only_under_the_measured_bound(spark):
     from pyspark.sql import functions as F
     from promoscope.operators.star import sized_broadcast
     dim = spark.range(50).withColumnRenamed("id", "k")
@@ -80,8 +80,8 @@ def test_broadcast_only_under_the_counted_bound(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
-        small = fact.join(sized_broadcast(dim, max_rows=100), "k")
-        big = fact.join(sized_broadcast(dim, max_rows=10), "k")
+        small = fact.join(sized_broadcast(dim, max_bytes=10_000), "k")
+        big = fact.join(sized_broadcast(dim, max_bytes=100), "k")
         assert "BroadcastHashJoin" in _plan(small)
         assert "BroadcastHashJoin" not in _plan(big) and "SortMergeJoin" in _plan(big)
     finally:
