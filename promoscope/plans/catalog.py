@@ -77,6 +77,32 @@ def ingest_insert_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_insert_tuples(spark, path, part.schema, table="part")
 
 
+def hard_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part`` with every text that loaders stumble over: quotes, separators, escapes, line breaks, NULL and NA."""
+    odd = F.element_at(F.array(*[F.lit(x) for x in HARD_TEXTS]), (F.col("p_partkey") % len(HARD_TEXTS) + 1).cast("int"))
+    part = spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet")
+    return part.select("p_partkey", F.concat(F.col("p_name"), odd).alias("p_name"),
+                       F.when(F.col("p_partkey") % 5 > 0, F.concat(odd, F.col("p_brand"))).alias("p_brand"),
+                       F.when(F.col("p_partkey") % 7 > 0, F.col("p_size")).alias("p_size"))
+
+
+HARD_TEXTS = ("'", "\\", "),(", ";\n", "\t'\\'", "''", ", NULL", "\n", ");", '"', "NA", " é")
+
+
+def ingest_hard_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 over ``hard_text``: written as INSERT statements and read back."""
+    df, path = hard_text(spark, sf_dir), scratch_path(spark, "hard-tuples")
+    write_insert_tuples(df, path, "part")
+    return read_insert_tuples(spark, path, df.schema, table="part")
+
+
+def csv_scan_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 over ``hard_text``: quotes doubled, line breaks kept; the readers' rules trim texts."""
+    df, path = hard_text(spark, sf_dir), scratch_path(spark, "hard-csv")
+    df.write.option("header", True).option("escape", '"').option("quoteAll", True).option("nullValue", "NA").csv(path)
+    return read_csv_typed(spark, path, df.schema)
+
+
 # --- S1/S2/S7: CSV round trip of the star (raw headers, day-first dates) ------
 
 def csv_scan_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,6 +180,8 @@ def _star_query(fn, round4):
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _star_query(fn, r4) for name, (fn, r4) in _STAR_REPORTS.items()}
     out["ingest_insert_tuples"] = lambda spark, d: present(ingest_insert_tuples(spark, d))
+    out["ingest_hard_tuples"] = ingest_hard_tuples
+    out["csv_scan_hard"] = csv_scan_hard
     out["csv_scan_typed"] = lambda spark, d: present(csv_scan_typed(spark, d))
     out["null_safe_left_join"] = lambda spark, d: present(null_safe_left_join(spark, d))
     return out

@@ -97,6 +97,11 @@ _ENRICHED_COLS = """event_id, store_id, campaign_id, product_code, cast(base_pri
 _KPI_COLS = _ENRICHED_COLS + """, cast(revenue_before_promo AS DOUBLE) AS revenue_before_promo,
   cast(revenue_after_promo AS DOUBLE) AS revenue_after_promo, sold_units_after_promo, incremental_sold_units"""
 
+#: The texts that the loaders' keys append (the same as in ``catalog.HARD_TEXTS``), by p_partkey.
+_HARD = (r"list_extract(['''', '\', '),(', ';' || chr(10), chr(9) || '''\''', '''''', ', NULL', chr(10), ');', '\"', 'NA', ' é'], "
+         "cast(p_partkey % 12 + 1 AS INT))").replace('\\"', '"')
+
+
 def _pct2(num: str, den: str) -> str:
     """num * 100 / den to two decimals, half away from zero, from whole numbers."""
     n, d = f"cast({num} AS HUGEINT)", f"cast({den} AS HUGEINT)"
@@ -312,6 +317,11 @@ pos AS (SELECT product_name,
     q["promo_tradeoff_points"] = _q(f"""
 SELECT promo_type AS label, avg_incremental_sold_units AS x, avg_margin_per_unit AS y FROM ({_EFFICIENCY})""")
     q["ingest_insert_tuples"] = ("SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
+    hard = ("SELECT p_partkey, {name} AS p_name, CASE WHEN p_partkey % 5 > 0 THEN {brand} END AS p_brand, "
+            "CASE WHEN p_partkey % 7 > 0 THEN p_size END AS p_size FROM (SELECT *, " + _HARD + " AS odd FROM part)")
+    q["ingest_hard_tuples"] = hard.format(name="p_name || odd", brand="odd || p_brand")
+    trimmed = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+    q["csv_scan_hard"] = hard.format(name=trimmed.format("p_name || odd"), brand=trimmed.format("odd || p_brand"))
     q["quality_checks"] = _q(_quality_sql())
     q["csv_scan_typed"] = _q("""
 SELECT f.event_id, f.store_id, f.campaign_id, f.product_code, cast(f.base_price AS DOUBLE) AS base_price,

@@ -2,21 +2,21 @@
 
 * ``read_csv_typed``: header CSV, every field read as text, then cast to the
   declared schema (S1/S4); day-first dates parsed with ``try_to_date`` (S2);
-  the raw quantity headers renamed (S7).
+  the raw quantity headers renamed (S7). Text is trimmed, empty text and ``NA``
+  are NULL, quotes are doubled inside quotes, and quoted line breaks are kept.
 * ``read_insert_tuples`` / ``read_sql_dump_star``: rows carried as SQL
-  ``INSERT ... VALUES (..),(..);`` text (S5), e.g. a whole MySQL dump. Lines
-  (or, for one-table files with giant statements, tuples) are read in
-  parallel; statement heads and tails are cut with regular expressions and
-  each tuple is parsed by ``from_csv`` with ``'`` as quote and ``NULL`` as
-  null. Other SQL text (DDL, comments, locks, other tables) is skipped.
-  Limit: a quoted value containing ``),(`` splits wrongly.
+  ``INSERT ... VALUES (..),(..);`` text (S5), e.g. a whole MySQL dump. Whole
+  statements are read in parallel and cut by regular expressions that know
+  quotes; column lists, both ways of escaping, ``IGNORE`` and any case are
+  honoured. What claims to be rows of the table and does not parse raises an
+  error: no row is lost or bent silently.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,22 +27,41 @@ DAY_FIRST = "dd-MM-yyyy"
 TUPLE_SEP = "),("
 
 
-def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType,
-                   renames: dict[str, str] | None = None, date_format: str = DAY_FIRST) -> DataFrame:
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+def _whole_number(c: Column) -> Column:
+    """Text of a whole number, also written as ``12.0`` or ``1.2e1``, as BIGINT (else NULL)."""
+    wide = c.try_cast("decimal(38,10)")
+    return F.coalesce(c.try_cast("bigint"), F.when(wide == F.floor(wide), wide.try_cast("bigint")),
+                      F.when(wide.isNull() & (c.try_cast("double") == F.floor(c.try_cast("double"))), c.try_cast("double").try_cast("bigint")))
+
+
+def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType, renames: dict[str, str] | None = None,
+                   date_format: str = DAY_FIRST, na: tuple[str, ...] = ("", "NA"), trim: bool = True,
+                   multi_line: bool = True, unparsed: str | None = None) -> DataFrame:
+    """S1. ``na``: texts that stand for NULL. ``multi_line``: a quoted field may hold line breaks; a file is then one
+    task, so set it to False for huge files without such fields. ``unparsed`` names an extra column with the number
+    of the row's fields that held something and could not be read as their type (they are NULL)."""
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"')
+           .option("multiLine", multi_line).option("mode", "PERMISSIVE").option("nullValue", "\u0000").option("emptyValue", "").csv(path))
     ren = dict(schemas.RAW_QTY_RENAMES)
     ren.update(renames or {})
     raw = raw.withColumnsRenamed({k: v for k, v in ren.items() if k in raw.columns})
-    cols = []
+    cols, lost = [], F.lit(0)
     for f in schema.fields:
-        c = F.trim(F.col(f"`{f.name}`"))
+        c = F.col(f"`{f.name}`")
+        c = F.regexp_replace(c, r"^\s+|\s+$", "") if trim else c
+        c = F.when(~c.isin(*na), c)
+        if isinstance(f.dataType, T.StringType):
+            cols.append(c.alias(f.name))
+            continue
         if isinstance(f.dataType, T.DateType):
-            cols.append(F.try_to_date(c, date_format).alias(f.name))
-        elif isinstance(f.dataType, T.StringType):
-            cols.append(F.col(f"`{f.name}`").alias(f.name))
+            value = F.try_to_date(c, date_format)
+        elif isinstance(f.dataType, T.IntegralType):
+            value = _whole_number(c).try_cast(f.dataType)
         else:
-            cols.append(c.try_cast(f.dataType).alias(f.name))
-    return raw.select(*cols)
+            value = c.try_cast(f.dataType)
+        cols.append(value.alias(f.name))
+        lost = lost + (c.isNotNull() & value.isNull()).cast("int")
+    return raw.select(*cols, *([lost.alias(unparsed)] if unparsed else []))
 
 
 def read_parquet_star(spark: SparkSession, root: str) -> RetailStar:
@@ -70,61 +89,117 @@ def write_csv_star(star: RetailStar, root: str, date_format: str = DAY_FIRST,
         df.write.mode("overwrite").option("header", True).csv(f"{root.rstrip('/')}/{name}")
 
 
-def _head_regex(table: str | None) -> str:
-    name = re.escape(table) if table else r"[^\s(]+"
-    return r"INSERT\s+INTO\s+`?" + name + r"`?\s*(?:\([^)]*\)\s*)?VALUES\s*\("
+# A quoted text (either way of escaping), a field, a tuple and a statement. Quantifiers are possessive: they never back up.
+_QUOTED = r"'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'"
+_TUPLE = r"\((?:[^()']++|" + _QUOTED + r")*+\)"
+_NAME = r"[`\"]?([^\s(`\"]+)[`\"]?"
+_HEAD = r"INSERT\s+(?:LOW_PRIORITY\s+|DELAYED\s+|HIGH_PRIORITY\s+|IGNORE\s+)*(?:INTO\s+)?" + _NAME + r"\s*(\([^)']*\))?\s*VALUES?\s*"
+_STATEMENT = r"(?is)\b" + _HEAD + r"(" + _TUPLE + r"(?:\s*,\s*" + _TUPLE + r")*+)\s*(?:;|\z)"
+_FIELD = r"(?s)" + _QUOTED + r"|[^,\s'][^,']*"
+#: Escapes of a quoted text besides the character itself (fixed values).
+_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "0": "\x00", "b": "\b", "Z": "\x1a"}
+
+
+def _unquoted(field: Column) -> Column:
+    """The value of a field's text: quoted text with its escapes undone, NULL for an unquoted ``NULL``."""
+    inner = F.substring(field, F.lit(2), F.length(field) - 2)
+    parts = F.regexp_extract_all(inner, F.lit(r"(?s)(\\.|''|[^'\\]++)"), F.lit(1))
+
+    def undo(p: Column) -> Column:
+        out = F.when(p == "''", F.lit("'")).when(~p.startswith("\\"), p)
+        for k, v in _ESCAPES.items():
+            out = out.when(p == "\\" + k, F.lit(v))
+        return out.otherwise(F.substring(p, 2, 1))
+
+    plain = F.trim(field)
+    return F.when(field.startswith("'"), F.array_join(F.transform(parts, undo), "")).when(F.upper(plain) != "NULL", plain)
+
+
+def _typed(tuples: DataFrame, schema: T.StructType) -> DataFrame:
+    """``tuples``: (t: text of one tuple with its parentheses, names: the statement's column list or NULL)."""
+    inner = F.substring(F.col("t"), F.lit(2), F.length("t") - 2)
+    fields = F.regexp_extract_all(inner, F.lit("(" + _FIELD + ")"), F.lit(1))
+    listed = F.transform(F.split(F.regexp_replace("names", r"[()`\"\s]", ""), ","), F.lower)
+    order = F.array(*[F.lit(f.name.lower()) for f in schema.fields])
+    rows = tuples.select("t", fields.alias("fields"), F.coalesce(listed, order).alias("listed"))
+    wrong = (F.size("fields") != F.size("listed")) | (F.regexp_count(F.regexp_replace(inner, _QUOTED, ""), F.lit(",")) + 1 != F.size("fields"))
+    told = F.raise_error(F.concat(F.lit("not a row of the declared columns: "), F.substring("t", 1, 200)))
+    rows = rows.withColumn("fields", F.when(~wrong, F.col("fields")).otherwise(told.cast("array<string>")))
+    cols = []
+    for f in schema.fields:
+        at = F.array_position("listed", f.name.lower()).cast("int")
+        text = _unquoted(F.get("fields", at - 1))
+        value = text if isinstance(f.dataType, T.StringType) else (
+            _whole_number(F.trim(text)).try_cast(f.dataType) if isinstance(f.dataType, T.IntegralType) else F.trim(text).try_cast(f.dataType))
+        bad = F.raise_error(F.concat(F.lit(f"column {f.name} cannot hold: "), F.substring(text, 1, 100)))
+        cols.append((value if isinstance(f.dataType, T.StringType) else
+                     F.when(text.isNotNull() & value.isNull(), bad.cast(f.dataType)).otherwise(value)).alias(f.name))
+    return rows.select(*cols)
 
 
 def read_insert_tuples(spark: SparkSession, path: str, schema: T.StructType,
-                       table: str | None = None, mode: str = "lines") -> DataFrame:
-    """Rows of ``table`` from SQL ``INSERT ... VALUES (..),(..);`` text.
-
-    ``mode="lines"`` (default): a dump as ``mysqldump`` writes it, each INSERT
-    statement on its own line (its length bounded by ``net_buffer_length``),
-    other tables and statements anywhere in the file. Lines are read in
-    parallel, the table's INSERT lines kept, and each split into tuples.
-
-    ``mode="tuples"``: one table's INSERTs only, statements of any length (a
-    single multi-gigabyte statement is fine): the text source itself splits on
-    the tuple separator, so no record holds more than one tuple."""
-    assert mode in ("lines", "tuples")
-    head = _head_regex(table)
-    if mode == "lines":
-        lines = spark.read.text(path).where(F.col("value").rlike("^\\s*" + head))
-        body = F.regexp_extract(F.col("value"), r"^\s*" + head + r"(.*)\)\s*;\s*$", 1)
-        tuples = lines.select(F.explode(F.split(body, r"\),\(")).alias("t"))
-    else:
-        raw = spark.read.option("lineSep", TUPLE_SEP).text(path)
-        # a record is one tuple, possibly with a statement tail ");..." and the
-        # next statement's head "...VALUES (" around it. A piece without a head
-        # is a tuple only if it opens the record and holds no line break (a dump
-        # escapes line breaks inside values); otherwise it is other SQL text.
-        pieces = raw.select(F.posexplode(F.split(F.col("value"), r"\)\s*;")).alias("i", "piece"))
-        has_head = F.col("piece").rlike(head)
-        body = (F.when(has_head, F.regexp_extract(F.col("piece"), r"(?s)" + head + r"(.*)$", 1))
-                 .when((F.col("i") == 0) & ~F.col("piece").contains("\n"), F.col("piece")))
-        tuples = pieces.select(body.alias("t"))
-    tuples = tuples.where(F.col("t").isNotNull() & (F.trim(F.col("t")) != ""))
-    opts = {"quote": "'", "escape": "\\", "nullValue": "NULL", "ignoreLeadingWhiteSpace": "true",
-            "ignoreTrailingWhiteSpace": "true", "mode": "PERMISSIVE"}
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    parsed = tuples.select(F.from_csv(F.col("t"), F.lit(ddl), opts).alias("r"))
-    return parsed.select("r.*")
+                       table: str | None = None, mode: str = "statements") -> DataFrame:
+    """Rows of ``table`` from SQL ``INSERT ... VALUES (..),(..);`` text (S5); columns a statement's list leaves out
+    are NULL.
+
+    ``mode="statements"`` (default): files are cut after every ``;`` that ends a line, so they are read in parallel
+    whatever their size; a statement (its size bounded by ``net_buffer_length`` in ``mysqldump``) may span lines. A
+    value that itself holds ``;`` and a raw line break makes the cut fall inside it: that raises an error.
+
+    ``mode="files"``: a whole file is one record, for files with such values that fit into a task.
+
+    ``mode="tuples"``: one table's INSERTs only, statements of any length (a single multi-gigabyte statement is
+    fine): the text source itself cuts at ``),(``, so no record holds more than one tuple. A quoted ``),(`` raises."""
+    if mode == "tuples":
+        return _typed(_cut_tuples(spark, path, table), schema)
+    text = spark.read.text(path, wholetext=True) if mode == "files" else spark.read.text(path, lineSep=";\n")
+    name = re.escape(table.lower()) if table else r"[^\s(`\"]+"
+    records = text.where(F.col("value").rlike(r"(?is)\bINSERT\b"))
+    pieces = F.regexp_extract_all("value", F.lit("(" + _STATEMENT + ")"), F.lit(1))
+    # each head must begin a statement that was cut out whole (heads inside quoted text do not count)
+    bare = F.regexp_replace("value", r"(?m)^\s*(?:--|#).*$", "")
+    rest = F.regexp_replace(F.regexp_replace(bare, _STATEMENT, ""), _QUOTED, "")
+    lost = rest.rlike(r"(?is)\bINSERT\s+[\sA-Z_]*[`\"]?" + name + r"[`\"]?\s*(\([^)']*\))?\s*VALUES?\b")
+    told = F.raise_error(F.concat(F.lit("an INSERT does not parse: "), F.substring("value", 1, 300)))
+    statements = records.select(F.explode(F.when(lost, told.cast("array<string>")).otherwise(pieces)).alias("s"))
+    head = lambda g: F.regexp_extract("s", _STATEMENT, g)
+    parts = statements.select(F.lower(head(1)).alias("table"), F.nullif(head(2), F.lit("")).alias("names"), head(3).alias("list"))
+    if table:
+        parts = parts.where(F.regexp_replace("table", r"^.*\.", "") == table.lower())
+    tuples = parts.select("names", F.explode(F.regexp_extract_all("list", F.lit("(?s)(" + _TUPLE + ")"), F.lit(1))).alias("t"))
+    return _typed(tuples, schema)
+
+
+def _cut_tuples(spark: SparkSession, path: str, table: str | None) -> DataFrame:
+    name = r"[`\"]?" + (re.escape(table) if table else r"[^\s(`\"]+") + r"[`\"]?"
+    head = r"(?is)INSERT\s+(?:IGNORE\s+)?INTO\s+" + name + r"\s*(\([^)']*\))?\s*VALUES\s*\("
+    raw = spark.read.option("lineSep", TUPLE_SEP).text(path)
+    pieces = raw.select(F.posexplode(F.split("value", r"\)\s*;")).alias("i", "piece"))
+    has_head = F.col("piece").rlike(head)
+    other = (F.trim("piece") == "") | F.col("piece").rlike(r"(?is)^\s*(--|#|/\*|[A-Z]+\s)")
+    inside = (F.col("i") == 0) & ~F.col("piece").rlike(r"(?is)^\s*(--|#|/\*|CREATE\s|DROP\s|LOCK\s|SET\s|USE\s)")
+    told = F.raise_error(F.concat(F.lit("not a tuple: "), F.substring("piece", 1, 200)))
+    body = (F.when(has_head, F.regexp_extract("piece", head + r"(.*)$", 2)).when(inside, F.col("piece")).when(~other, told.cast("string")))
+    cut = pieces.select(body.alias("b")).where(F.col("b").isNotNull() & (F.trim("b") != ""))
+    return cut.select(F.concat(F.lit("("), F.col("b"), F.lit(")")).alias("t"), F.lit(None).cast("string").alias("names"))
 
 
 def read_sql_dump_star(spark: SparkSession, path: str) -> RetailStar:
     """The four retail tables from one SQL dump (S5 + S4 + S7): each table's
-    INSERT lines parsed with its declared schema, in the dump's column order."""
+    statements parsed with its declared schema, by their column lists or in the
+    declared order."""
     def load(name, schema):
-        return read_insert_tuples(spark, path, schema, table=name, mode="lines")
+        return read_insert_tuples(spark, path, schema, table=name)
     return RetailStar(load("fact_events", schemas.FACT_EVENTS), load("dim_campaigns", schemas.DIM_CAMPAIGNS),
                       load("dim_products", schemas.DIM_PRODUCTS), load("dim_stores", schemas.DIM_STORES))
 
 
-def _sql_literal(c: str, dt: T.DataType):
+def _sql_literal(c: str, dt: T.DataType) -> Column:
     col = F.col(f"`{c}`")
     if isinstance(dt, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)):
         s = F.replace(F.replace(col.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+        for k, v in _ESCAPES.items():
+            s = F.replace(s, F.lit(v), F.lit("\\" + k))
         lit = F.concat(F.lit("'"), s, F.lit("'"))
     else:
         lit = col.cast("string")
@@ -132,20 +207,10 @@ def _sql_literal(c: str, dt: T.DataType):
 
 
 def write_insert_tuples(df: DataFrame, path: str, table: str) -> None:
-    """Sink: ``df`` as extended ``INSERT`` statements, one statement per Arrow
-    batch (at most ``spark.sql.execution.arrow.maxRecordsPerBatch`` tuples).
-    Tuple text is built JVM-side; Python only joins a batch of strings."""
-    tup = df.select(F.concat_ws(",", *[_sql_literal(f.name, f.dataType)
-                                       for f in df.schema.fields]).alias("t"))
-    head = f"INSERT INTO `{table}` VALUES ("
-
-    def statements(batches):
-        import pandas as pd
-        for pdf in batches:
-            if len(pdf):
-                yield pd.DataFrame({"value": [head + TUPLE_SEP.join(pdf["t"].tolist()) + ");"]})
-
-    tup.mapInPandas(statements, "value string").write.mode("overwrite").text(path)
+    """Sink: ``df`` as ``INSERT`` statements, one a row and line, built by column expressions alone. Line breaks and
+    control characters in values are escaped, so a statement never spans lines."""
+    values = F.concat_ws(",", *[_sql_literal(f.name, f.dataType) for f in df.schema.fields])
+    df.select(F.concat(F.lit(f"INSERT INTO `{table}` VALUES ("), values, F.lit(");")).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None) -> None:

@@ -39,14 +39,37 @@ def test_exact_percentiles_property(spark, rows, parts):
         assert abs(got[k] - float(np.median(sub.v))) < 1e-9
 
 
-def test_moments_from_counts(spark):
-    pdf = _skewed(seed=3).dropna()
-    df = spark.createDataFrame(pdf, "g string, v bigint")
-    got = {r.g: r for r in stats.moments_from_counts(stats.value_counts(df, ["g"], "v", False),
-                                                     ["g"], "v").collect()}
-    for k, sub in pdf.groupby("g"):
-        assert got[k]._cnt == len(sub) and int(got[k]._sum) == int(sub.v.sum())
-        assert abs(got[k]._sd - sub.v.std(ddof=1)) < 1e-9
+def test_rank_and_percentiles_without_exchange_reuse(spark):
+    """The branches share a written range split, so nothing depends on the optimiser reusing a shuffle."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from promoscope.operators.ranking import global_rank
+    df = spark.range(6000).select((F.col("id") * 7919 % 500).alias("v"), F.col("id").alias("u"), (F.col("id") % 3).cast("string").alias("g"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = global_rank(df, ["v", "u"], "rn", method="row_number", num_ranges=8)
+        want = df.withColumn("w", F.row_number().over(Window.orderBy("v", "u"))).select("u", "w")
+        assert got.join(want, "u").filter("rn <> w").count() == 0 and got.count() == 6000
+        rank = global_rank(df, ["v"], "r", num_ranges=8)
+        want = df.withColumn("w", F.rank().over(Window.orderBy("v"))).select("u", "w")
+        assert rank.join(want, "u").filter("r <> w").count() == 0
+        med = stats.exact_percentiles(df, ["g"], "v", {"m": 0.5}, num_ranges=8)
+        true = df.groupBy("g").agg(F.expr("percentile(v, 0.5)").alias("t"))
+        assert med.join(true, "g").filter("m <> t").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_grown_dimension_is_measured_again(spark):
+    from promoscope.operators.star import dim_is_small, measured_bytes
+    from promoscope.sources.star import RetailStar
+    small, large = spark.range(10).selectExpr("cast(id as string) store_id"), spark.range(5000).selectExpr("cast(id as string) store_id")
+    star = RetailStar(small, small, small, small)
+    grown = RetailStar(small, small, small, large, memo=star.memo)
+    assert dim_is_small(star, "dim_stores", 10_000) and not dim_is_small(grown, "dim_stores", 10_000)
+    plan = large.agg({"*": "count"})._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and measured_bytes(large) > measured_bytes(small) > 0
+
 
 
 def test_global_rank_and_row_number(spark):

@@ -3,27 +3,77 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import types as T
 
 from promoscope import schemas
-from promoscope.sources.retail import read_csv_typed, read_insert_tuples
+from promoscope.sources.retail import read_csv_typed, read_insert_tuples, write_insert_tuples
 
 
 def _tmp():
     return tempfile.mkdtemp(prefix="promoscope-test-", dir="/tmp")
 
 
-def test_tuple_text_quotes_commas_nulls(spark):
+TUPLES = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("n", T.LongType())])
+
+
+def _rows(spark, text, mode="statements"):
     d = _tmp()
     with open(os.path.join(d, "dump.sql"), "w") as fh:
-        fh.write("-- header\nCREATE TABLE `t` (a varchar(10));\n"
-                 "INSERT INTO `t` VALUES ('a','x (1KG), y',1),('b','c',NULL),('c','it\\'s',3);\n"
-                 "INSERT INTO `t` VALUES ('d','e',4);\nUNLOCK TABLES;\n")
-    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("s", T.StringType()),
-                           T.StructField("n", T.LongType())])
-    for mode in ("lines", "tuples"):
-        rows = sorted(tuple(r) for r in read_insert_tuples(spark, d, schema, table="t", mode=mode).collect())
-        assert rows == [("a", "x (1KG), y", 1), ("b", "c", None), ("c", "it's", 3), ("d", "e", 4)], mode
+        fh.write(text)
+    return sorted((tuple(r) for r in read_insert_tuples(spark, d, TUPLES, table="t", mode=mode).collect()), key=str)
+
+
+def test_dump_statements(spark):
+    """Statements over lines, spaces between tuples, column lists, both escapes, quoted NULL, any case, IGNORE."""
+    text = """-- don't
+CREATE TABLE `t` (a varchar(10), n int(11));
+INSERT INTO `t` VALUES ('a','x (1KG), y',1),('b','c',NULL),('c','it\\'s',3), ('d','),(',4)
+ ,('e','it''s; ok\\nnew',12.0);
+insert ignore into t (b,a,n) values ('B','A',5);
+INSERT INTO `t` (`n`, `a`) VALUES (8,'only two');
+INSERT INTO `u` VALUES ('zz','INSERT INTO `t` VALUES (1,2,3);',9);
+INSERT INTO `t` VALUES ('f','NULL',-6),('g',null,7);
+UNLOCK TABLES;
+"""
+    want = sorted([("a", "x (1KG), y", 1), ("b", "c", None), ("c", "it's", 3), ("d", "),(", 4), ("e", "it's; ok\nnew", 12), ("A", "B", 5),
+                   ("only two", None, 8), ("f", "NULL", -6), ("g", None, 7)], key=str)
+    assert _rows(spark, text) == want and _rows(spark, text, "files") == want
+
+
+def test_dump_values_with_raw_line_breaks(spark):
+    assert _rows(spark, "INSERT INTO t VALUES ('a','x\ny',1),('b','pq',2);\n") == [("a", "x\ny", 1), ("b", "pq", 2)]
+    cut = "INSERT INTO t VALUES ('a','x\ny',1),('b','p;\nq',2);\n"
+    assert _rows(spark, cut, "files") == [("a", "x\ny", 1), ("b", "p;\nq", 2)]
+    with pytest.raises(Exception, match="does not parse"):
+        _rows(spark, cut)
+
+
+def test_dump_one_giant_statement(spark):
+    text = "-- h\nCREATE TABLE `t` (a varchar(10));\nINSERT INTO `t` VALUES ('a','x, y',1),('b','c\nd',NULL);\nINSERT INTO `t` VALUES ('d','e',4);\nUNLOCK TABLES;\n"
+    assert _rows(spark, text, "tuples") == [("a", "x, y", 1), ("b", "c\nd", None), ("d", "e", 4)]
+
+
+@pytest.mark.parametrize("text,mode", [("INSERT INTO t VALUES ('a','x');\n", "statements"), ("INSERT INTO t VALUES ('a','x','abc');\n", "statements"),
+                                       ("INSERT INTO `t` VALUES ('a','x),(y',1),('b','c',2);\n", "tuples")])
+def test_dump_that_does_not_parse_raises(spark, text, mode):
+    with pytest.raises(Exception, match="not a row|cannot hold"):
+        _rows(spark, text, mode)
+
+
+def test_dump_round_trip(spark):
+    rows = [("a\nb", "c'd\\e", 1), ("\\n", "),(;\n", 2), (None, "NULL", None), ("é 😀", "\t\x1a\x00|", -3), ("", ";", 4), ("''", "\\'", 5), ("x" * 5000, "(((", 6)]
+    d = _tmp()
+    write_insert_tuples(spark.createDataFrame(rows, TUPLES), d, "t")
+    assert sorted((tuple(r) for r in read_insert_tuples(spark, d, TUPLES, table="t").collect()), key=str) == sorted(rows, key=str)
+
+
+def test_csv_reading_rules(spark):
+    d = _tmp()
+    with open(os.path.join(d, "x.csv"), "w") as fh:
+        fh.write('a,b,n\n" BOGOF ","Pan ""6 inch""",12.0\nNA,"two\nlines",x\n,NA,1.5\n"p,q",r,1e3\n')
+    got = sorted((tuple(r) for r in read_csv_typed(spark, d, TUPLES, unparsed="bad").collect()), key=str)
+    assert got == sorted([("BOGOF", 'Pan "6 inch"', 12, 0), ("p,q", "r", 1000, 0), (None, "two\nlines", None, 1), (None, None, None, 1)], key=str)
 
 
 def test_csv_day_first_dates_and_raw_headers(spark):
