@@ -3,16 +3,16 @@
 Returns one row per check, ``(check, violations)``:
 
 * ``<table>.<pk>.duplicate_keys``: key values present more than once
-* ``<table>.<col>.nulls``: NULLs in a NOT NULL column (one scan per table)
+* ``<table>.<col>.nulls``: NULLs in a NOT NULL column
 * ``fact_events.<fk>.orphans``: fact rows whose key has no dimension row
 
-The fact is read once: one ``groupingSets`` aggregation holds a row count per
-distinct value of each foreign key (one grouping set per key) and the fact's
-NULL counts (the empty grouping set); it is partially aggregated before its
-shuffle and written once to the shared checkpoint folder. Orphans then come
-from anti-joins of those per-key rows (one row per distinct key, not per
-event) with the dimension keys. Each dimension is read for its NULL counts
-and its duplicate keys.
+Every table is scanned once. A dimension is summed up by its key (rows and NULL
+counts per key, partially aggregated), the fact once by each of its keys (one
+``groupingSets`` pass, whose first set also carries the NULL counts), and each
+profile is written to the shared checkpoint folder by a job that runs
+while the plan is built. The checks read only the profiles: NULL and duplicate
+checks add them up, and orphans are an anti-join of the fact's rows per key
+with the dimension's keys, one row per distinct key on either side.
 """
 
 from __future__ import annotations
@@ -29,57 +29,48 @@ from promoscope.sources.star import RetailStar
 TABLES = ("fact_events", "dim_campaigns", "dim_products", "dim_stores")
 
 
-def _null_checks(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).cast("bigint").alias(c) for c in columns])
-    pairs = ", ".join(f"'{table}.{c}.nulls', `{c}`" for c in columns)
-    return counts.selectExpr(f"stack({len(columns)}, {pairs}) as (`check`, violations)")
+def _profile(df: DataFrame, table: str, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows and NULLs of the columns per value of the keys."""
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    aggs += [F.count_if(F.col(c).isNull()).cast("bigint").alias(f"_null_{c}") for c in columns]
+    return materialize(df.groupBy(*keys).agg(*aggs), f"{table}-profile")
 
 
-def _duplicate_keys(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
-    dup = df.groupBy(*keys).count().where(F.col("count") > 1)
-    return dup.agg(F.count(F.lit(1)).alias("violations")).select(
-        F.lit(f"{table}.{'+'.join(keys)}.duplicate_keys").alias("check"), "violations")
+def _fact_profile(fact: DataFrame, fks: list[str], columns: list[str]) -> DataFrame:
+    """Rows per distinct value of each key, ``_set`` telling whose; the NULL counts ride with every set."""
+    which = F.lit(None).cast("string")
+    for k in fks:
+        which = F.when(F.grouping(k) == 0, F.lit(k)).otherwise(which)
+    aggs = [which.alias("_set"), F.count(F.lit(1)).alias("_rows")]
+    aggs += [F.count_if(F.col(c).isNull()).cast("bigint").alias(f"_null_{c}") for c in columns]
+    return materialize(fact.groupingSets([[k] for k in fks], *fks).agg(*aggs), "fact-profile")
 
 
-def _fact_profile(fact: DataFrame, fks: list[str], not_null: list[str]) -> DataFrame:
-    """Row counts per distinct value of each key, plus NULL counts (global set)."""
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    aggs += [F.grouping(k).alias(f"_g_{k}") for k in fks]
-    aggs += [F.count_if(F.col(c).isNull()).cast("bigint").alias(f"_null_{c}") for c in not_null]
-    prof = fact.groupingSets([[k] for k in fks] + [[]], *fks).agg(*aggs)
-    return materialize(prof, "fact-profile")
+def _null_checks(profile: DataFrame, table: str, columns: list[str]) -> DataFrame:
+    sums = profile.agg(*[F.coalesce(F.sum(f"_null_{c}"), F.lit(0)).alias(c) for c in columns])
+    pairs = ", ".join(f"'{table}.{c}.nulls', `{c}`" for c in columns)
+    return sums.selectExpr(f"stack({len(columns)}, {pairs}) as (`check`, violations)")
 
 
-def _fact_checks(fact: DataFrame, star: RetailStar, not_null: list[str]) -> list[DataFrame]:
-    fks = list(FOREIGN_KEYS)
-    prof = _fact_profile(fact, fks, not_null)
-    is_global = F.lit(True)
-    for k in fks:
-        is_global = is_global & (F.col(f"_g_{k}") == 1)
-    parts = []
-    if not_null:
-        totals = prof.where(is_global).select(*[F.col(f"_null_{c}").alias(c) for c in not_null])
-        pairs = ", ".join(f"'fact_events.{c}.nulls', `{c}`" for c in not_null)
-        parts.append(totals.selectExpr(f"stack({len(not_null)}, {pairs}) as (`check`, violations)"))
-    for k, (dim, dk) in FOREIGN_KEYS.items():
-        only_k = F.col(f"_g_{k}") == 0
-        for other in fks:
-            if other != k:
-                only_k = only_k & (F.col(f"_g_{other}") == 1)
-        per_key = prof.where(only_k).select(k, "_rows")
-        keys = getattr(star, dim).select(F.col(dk).alias("_dk")).distinct()
-        missing = per_key.join(keys, F.col(k) == F.col("_dk"), "left_anti")
-        parts.append(missing.agg(F.coalesce(F.sum("_rows"), F.lit(0)).cast("bigint").alias("violations"))
-                     .select(F.lit(f"fact_events.{k}.orphans").alias("check"), "violations"))
-    return parts
+def _one(check: str, rows: DataFrame, violations) -> DataFrame:
+    return rows.agg(violations.cast("bigint").alias("violations")).select(F.lit(check).alias("check"), "violations")
 
 
 def quality_checks(star: RetailStar, not_null: dict[str, list[str]] | None = None) -> DataFrame:
     if not_null is None:
         not_null = {t: [c for c in getattr(star, t).columns
                         if not (t == "fact_events" and c == "promo_type")] for t in TABLES}
-    parts = _fact_checks(star.fact_events, star, not_null.get("fact_events", []))
-    parts += [_null_checks(getattr(star, t), t, cols) for t, cols in not_null.items()
-              if cols and t != "fact_events"]
-    parts += [_duplicate_keys(getattr(star, t), t, keys) for t, keys in PRIMARY_KEYS.items()]
+    fks = list(FOREIGN_KEYS)
+    fact = _fact_profile(star.fact_events, fks, not_null.get("fact_events", []))
+    profiles = {t: _profile(getattr(star, t), t, key, not_null.get(t, [])) for t, key in PRIMARY_KEYS.items()}
+    whole = {"fact_events": fact.where(F.col("_set") == fks[0]), **profiles}
+    parts = [_null_checks(whole[t], t, not_null[t]) for t in TABLES if not_null.get(t)]
+    for t, key in PRIMARY_KEYS.items():
+        twice = profiles[t].where(F.col("_rows") > 1)
+        parts.append(_one(f"{t}.{'+'.join(key)}.duplicate_keys", twice, F.count(F.lit(1))))
+    for k, (dim, dk) in FOREIGN_KEYS.items():
+        per_key = fact.where(F.col("_set") == k).select(k, "_rows")
+        known = profiles[dim].select(F.col(dk).alias("_dk"))
+        missing = per_key.join(known, F.col(k) == F.col("_dk"), "left_anti")
+        parts.append(_one(f"fact_events.{k}.orphans", missing, F.coalesce(F.sum("_rows"), F.lit(0))))
     return reduce(DataFrame.unionByName, parts)
