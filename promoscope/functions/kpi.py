@@ -187,12 +187,18 @@ def margin_per_unit(rev_after_e4="revenue_after_e4", qty=QTY_AFTER) -> Column:
     return F.try_divide(e4_to_double(_col(rev_after_e4)), _col(qty).cast("double"))
 
 
+def promo_in(promo, labels, collation: str | None = None) -> Column:
+    """Membership that is false, not NULL, for a NULL promo."""
+    p = F.collate(_col(promo), collation) if collation else _col(promo)
+    return F.coalesce(p.isin(*labels), F.lit(False))
+
+
 def discount_depth(promo=PROMO_COL, collation: str | None = None) -> Column:
     """K9: margin-loss class per promo; NULL for NULL or unknown promos."""
-    expr = None
-    for label, *_, depth in PROMO_RULES:
-        cond = promo_is(promo, label, collation)
-        expr = F.when(cond, F.lit(depth)) if expr is None else expr.when(cond, F.lit(depth))
+    expr = F.lit(None).cast("string")
+    for depth in dict.fromkeys(rule[-1] for rule in PROMO_RULES):
+        labels = [rule[0] for rule in PROMO_RULES if rule[-1] == depth]
+        expr = F.when(promo_in(promo, labels, collation), F.lit(depth)).otherwise(expr)
     return expr
 
 

@@ -109,6 +109,19 @@ def _pct2(num: str, den: str) -> str:
             f"* sign({n}) * sign({d}) / 100.0 END")
 
 
+#: Charts by key: the report's key, label and value.
+_AXES = {
+    "top_stores_axis_order": ("top10_stores_ir", "store_id", "total_incremental_revenue"),
+    "bottom_stores_axis_order": ("bottom10_stores_isu", "store_id", "total_incremental_sold_units"),
+    "city_axis_order": ("city_performance", "city", "total_incremental_revenue"),
+    "promo_ir_axis_order": ("promo_ir", "promo_type", "total_incremental_revenue"),
+    "promo_isu_axis_order": ("promo_isu", "promo_type", "total_incremental_sold_units"),
+    "category_axis_order": ("category_lift", "category", "total_incremental_sold_units"),
+    "top_products_axis_order": ("top10_products", "product_name", "total_incremental_sold_units"),
+    "bottom_products_axis_order": ("bottom10_products", "product_name", "total_incremental_sold_units"),
+}
+
+
 def _units(c: str) -> str:
     """A summed amount in whole 1/10000 units."""
     return f"sum(cast({c} * 10000 AS HUGEINT))"
@@ -334,4 +347,12 @@ FROM fact_events f LEFT JOIN dim_stores s ON f.store_id IS NOT DISTINCT FROM s.s
     for k in ("q1_high_value_bogof", "q2_stores_by_city", "q3_campaign_revenue", "q4_campaign_isu_rank",
               "q5_top5_products_ir"):
         q[k + "_sql"] = q[k]          # the Spark SQL text versions answer the same question
+        q[k + "_collated"] = q[k]     # so do promos in mixed case, compared without case
+    for name, (key, label, value) in _AXES.items():
+        # the report is wrapped, so its own CTEs stay inside
+        q[name] = f"""
+WITH rows_ AS ({q[key]}),
+means AS (SELECT {label}, avg(cast({value} AS DOUBLE)) AS mu FROM rows_ GROUP BY {label}),
+pos AS (SELECT {label}, row_number() OVER (ORDER BY mu ASC NULLS LAST, {label} ASC NULLS LAST) AS axis_position FROM means)
+SELECT rows_.*, pos.axis_position FROM rows_ LEFT JOIN pos ON rows_.{label} IS NOT DISTINCT FROM pos.{label}"""
     return q

@@ -435,6 +435,25 @@ def product_axis_order(star: RetailStar) -> DataFrame:
     return ranking.axis_order(product_before_after(star), "product_name", "total_units")
 
 
+#: The other plots' axes: report, label, value.
+AXES = {
+    "top_stores_axis_order": (top10_stores_ir, "store_id", "total_incremental_revenue"),
+    "bottom_stores_axis_order": (bottom10_stores_isu, "store_id", "total_incremental_sold_units"),
+    "city_axis_order": (city_performance, "city", "total_incremental_revenue"),
+    "promo_ir_axis_order": (promo_ir, "promo_type", "total_incremental_revenue"),
+    "promo_isu_axis_order": (promo_isu, "promo_type", "total_incremental_sold_units"),
+    "category_axis_order": (category_lift, "category", "total_incremental_sold_units"),
+    "top_products_axis_order": (top10_products, "product_name", "total_incremental_sold_units"),
+    "bottom_products_axis_order": (bottom10_products, "product_name", "total_incremental_sold_units"),
+}
+
+
+def axis_order(star: RetailStar, name: str) -> DataFrame:
+    """C1 on one of ``AXES``: the report's rows with each label's slot."""
+    report, label, value = AXES[name]
+    return ranking.axis_order(report(star), label, value)
+
+
 def ir_boxplot_by_promo(star: RetailStar) -> DataFrame:
     return stats.boxplot_stats(fact_kpis(star, "r"), ["promo_type"], "incremental_revenue_e4",
                                to_double=kpi.e4_to_double)

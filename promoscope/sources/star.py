@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -24,6 +26,15 @@ class RetailStar:
         """The fact for reports that read no price."""
         return self.unpriced if self.unpriced is not None else self.fact_events.drop("base_price")
 
+    def collated(self, collation: str = "UNICODE_CI_AI") -> "RetailStar":
+        """The same star with every text column under a collation, as the source database compares text: the
+        predicates, joins, groups and DISTINCTs of any report over it then follow the collation (F5)."""
+        def under(df: DataFrame) -> DataFrame:
+            return df.select(*[F.collate(F.col(f.name), collation).alias(f.name) if isinstance(f.dataType, T.StringType)
+                               else F.col(f.name) for f in df.schema.fields])
+        return RetailStar(under(self.fact_events), under(self.dim_campaigns), under(self.dim_products),
+                          under(self.dim_stores), unpriced=under(self.unit_events))
+
     def persisted(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> "RetailStar":
         """The same star with the fact kept by the executors after its first
         use (spilling to disk). For a session that runs many reports; a lost
