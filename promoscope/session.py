@@ -107,3 +107,13 @@ def materialize(df, what: str = "table"):
     path = f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the application's own checkpoint folder (Spark makes one per application) with every table that
+    ``materialize`` wrote there. DataFrames that read them cannot be used afterwards: call it at the end of a job."""
+    sc = _context(spark)
+    current = sc.getCheckpointDir() if sc is not None else None
+    if current:
+        path = spark._jvm.org.apache.hadoop.fs.Path(current)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

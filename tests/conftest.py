@@ -9,9 +9,10 @@ sys.path.insert(0, ROOT)
 
 @pytest.fixture(scope="session")
 def spark():
-    from promoscope.session import get_session
+    from promoscope.session import get_session, release
     s = get_session(master="local[*]", shuffle_partitions=8)
     yield s
+    release(s)
     s.stop()
 
 
