@@ -1,6 +1,8 @@
 """Plan shape: pushdown, no fact shuffle before partial aggregation, no
 cartesian product other than the one-row scalar broadcast."""
 
+import pytest
+
 from promoscope.plans import reports as R
 from promoscope.sources.testdata_star import testdata_star as build_star
 
@@ -24,10 +26,11 @@ def test_predicates_reach_the_scan(spark, sf_small, tmp_path):
 
 def test_no_cartesian_products(spark, sf_small):
     star = build_star(spark, sf_small)
-    for fn in (R.q3_campaign_revenue, R.q4_campaign_isu_rank, R.city_performance, R.category_lift,
+    q4 = lambda star: R.q4_campaign_isu_rank(star, "FY1998")
+    for fn in (R.q3_campaign_revenue, q4, R.city_performance, R.category_lift,
                R.top_stores_summary, R.product_axis_order):
         p = _plan(fn(star))
-        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, fn.__name__
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, fn
     p = _plan(R.enrich_with_overall_ir(star))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     assert "Subquery" in p          # the global IR% is a scalar subquery, computed once
@@ -53,23 +56,34 @@ def _ancestors_until_exchange(plan: str, leaf_marker: str):
     return paths
 
 
-def test_partial_aggregate_before_every_fact_shuffle(spark, sf_small):
-    star = build_star(spark, sf_small)
-    for fn in (R.category_lift, R.city_performance, R.campaign_promo_analysis, R.promo_isu,
-               R.top10_stores_ir, R.q5_top5_products_ir):
-        paths = _ancestors_until_exchange(_plan(fn(star)), "lineitem.parquet")
-        assert paths, fn.__name__
-        for path in paths:
-            assert path[-1].startswith("Exchange"), (fn.__name__, path)
-            assert any("partial_" in op for op in path[:-1]), (fn.__name__, path)
+@pytest.mark.parametrize("threshold", ["10m", "1000"])
+def test_partial_aggregate_before_every_fact_shuffle(spark, sf_small, threshold):
+    """Also where Spark's own estimate would broadcast nothing: the measured guard decides."""
+    from promoscope.plans import sql_reports as SQL
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        star = build_star(spark, sf_small)
+        for fn in (R.category_lift, R.city_performance, R.campaign_promo_analysis, R.promo_isu,
+                   R.top10_stores_ir, R.q5_top5_products_ir, SQL.q3_sql, SQL.q5_sql, lambda s: SQL.q4_sql(s, "FY1998")):
+            paths = _ancestors_until_exchange(_plan(fn(star)), "lineitem.parquet")
+            assert paths, fn
+            for path in paths:
+                assert path[-1].startswith("Exchange"), (fn, path)
+                assert any("partial_" in op for op in path[:-1]), (fn, path)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_report_reads_only_needed_columns(spark, sf_small):
     star = build_star(spark, sf_small)
     p = _plan(R.promo_isu(star))
-    assert ("ReadSchema: struct<l_partkey:bigint,l_quantity:double,l_discount:double,l_tax:double,"
+    assert ("ReadSchema: struct<l_quantity:double,l_discount:double,l_tax:double,"
             "l_returnflag:string,l_linestatus:string>") in p
-    assert "ReadSchema: struct<p_partkey:bigint>" in p
+    # reports that read no price look none up
+    for fn in (R.promo_isu, R.overall_isu_pct, R.top10_stores_isu, R.bottom10_stores_isu):
+        assert "part.parquet" not in _plan(fn(star)), fn
+    for fn in (R.category_before_after, R.product_before_after):
+        assert "p_retailprice" not in _plan(fn(star)), fn
 
 
 def test_broadcast_only_under_the_measured_bound(spark):
