@@ -159,10 +159,8 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 def op7_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
     """Sampled pieces of every text, their number, and whether decoding them gives the text back."""
     vocabulary = spm.Vocabulary.load(model)
-    docs = spm.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
-    return (spm.decode(docs, vocabulary)
-            .select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"), "pieces",
-                    F.col("decoded").eqNullSafe(F.col("text")).alias("lossless")))
+    docs = spm.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, verify="lossless")
+    return docs.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"), "pieces", "lossless")
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

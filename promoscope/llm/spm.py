@@ -42,7 +42,8 @@ ALPHA, SHIFT, PIECE_COST = 1.0, 10.0, 2.4
 SPACE, LITERAL = 0x2581, 0x110000            # the space's sign; a stand-in for a literal U+2581
 _MUL = np.uint64(0x9E3779B97F4A7C15 | 1)
 _FILTER_BITS = 20
-_CACHE_NODES = 3_000_000                      # lattice positions a task keeps between batches
+_CHARS = 1 << 18                              # characters (or ids, in decoding) that a task handles at once
+_CACHE_NODES = 600_000                      # lattice positions a task keeps between batches
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -308,25 +309,34 @@ def encode_texts(lattices: Lattices, texts: list[str], seeds: np.ndarray) -> tup
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", key: str | Column = "doc_id", seed: int = 1,
-           out: str = "pieces") -> DataFrame:
-    """Adds the sampled piece ids of each text as an array."""
+           out: str = "pieces", verify: str | None = None) -> DataFrame:
+    """Adds the sampled piece ids of each text as an array. ``verify`` names a column that says whether the ids
+    decode to the text, told in the same task (true for NULL text)."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)        # the vocabulary: its size is the model's
     key = F.col(key) if isinstance(key, str) else key
     kept = docs.drop(out).withColumn("_seed", F.xxhash64(F.lit(seed), key.cast("string")))
     names = [c for c in kept.columns if c != "_seed"]
-    schema = T.StructType([kept.schema[c] for c in names] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
+    names = [c for c in names if c != verify]
+    schema = T.StructType([kept.schema[c] for c in names] + [T.StructField(out, T.ArrayType(T.IntegerType()))]
+                          + ([T.StructField(verify, T.BooleanType())] if verify else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(shared.value)
         for whole in batches:
-            for batch in row_pieces(whole, text):
+            for batch in row_pieces(whole, text, _CHARS):
                 raw = batch.column(text).to_pylist()
                 seeds = batch.column("_seed").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 ids, count = encode_texts(lattices, [s or "" for s in raw], seeds)
                 off = np.r_[0, np.cumsum(count)].astype(np.int32)
                 null = np.array([s is None for s in raw], dtype=bool)
                 lists = pa.ListArray.from_arrays(pa.array(off, mask=np.r_[null, False]) if null.any() else pa.array(off), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists], names=[*names, out])
+                more = [lists]
+                if verify:
+                    flat, size = decode_ids(shared.value, ids, count)
+                    ends, flat = np.cumsum(size), flat.tobytes()
+                    more.append(pa.array([flat[e - n: e] == (s or "").encode("utf-8", "surrogatepass")
+                                          for e, n, s in zip(ends, size, raw)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *more], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 
@@ -352,15 +362,26 @@ def decode(df: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", out: s
     schema = T.StructType(kept.schema.fields + [T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(pieces)
-            null = np.array(lists.is_null(), dtype=bool)
-            off = np.asarray(lists.offsets)
-            ids = np.asarray(lists.values)[off[0]: off[-1]] if len(off) else np.zeros(0, np.int32)
-            flat, size = decode_ids(shared.value, ids, np.diff(off))
-            ends = np.r_[0, np.cumsum(size)].astype(np.int32)
-            valid = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes()) if null.any() else None
-            text = pa.StringArray.from_buffers(len(lists), pa.py_buffer(ends), pa.py_buffer(flat), valid)
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, out])
+        for whole in batches:
+            for batch in _id_pieces(whole, pieces):
+                lists = batch.column(pieces)
+                null = np.array(lists.is_null(), dtype=bool)
+                off = np.asarray(lists.offsets)
+                ids = np.asarray(lists.values)[off[0]: off[-1]]
+                flat, size = decode_ids(shared.value, ids, np.diff(off))
+                ends = np.r_[0, np.cumsum(size)].astype(np.int32)
+                valid = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes()) if null.any() else None
+                text = pa.StringArray.from_buffers(len(lists), pa.py_buffer(ends), pa.py_buffer(flat), valid)
+                yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, out])
 
     return kept.mapInArrow(run, schema)
+
+
+def _id_pieces(batch: pa.RecordBatch, pieces: str) -> Iterator[pa.RecordBatch]:
+    """The rows in turn, about ``_CHARS`` ids at a time (one long array stays whole)."""
+    off = np.asarray(batch.column(pieces).offsets)
+    if batch.num_rows:
+        owner = (off[1:].astype(np.int64) - off[0]) // _CHARS
+        edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True])
+        for a, b in zip(edges[:-1], edges[1:]):
+            yield batch.slice(a, b - a)
