@@ -33,8 +33,12 @@ class Scratch:
         self.spark = spark
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, rows: int | None = None, each: int = 50_000) -> DataFrame:
+        """``rows``: how many the table has at most, where that is known; it is then written by one task for
+        ``each`` of them instead of one for every shuffle partition."""
         path = f"{self.root}/{name}"
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // each)))
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

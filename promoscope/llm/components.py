@@ -26,19 +26,20 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str = "compon
              .filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct())
     edges = scratch.write(edges, f"{name}-0")
     before = _fingerprint(edges)
+    rows = 2 * before[0]                # a star contraction has an edge for each edge, and one for each node
     for k in range(1, max_rounds + 1):
         # large-star: every larger neighbour of a node moves to the smallest of the node and its neighbours
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = (both.join(least, "u").filter(F.col("v") > F.col("u"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
-        large = scratch.write(large, f"{name}-{k}-large")
+        large = scratch.write(large, f"{name}-{k}-large", rows)
         # small-star: a node and its smaller neighbours move to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = (joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        edges = scratch.write(small, f"{name}-{k}")
+        edges = scratch.write(small, f"{name}-{k}", rows)
         scratch.drop(f"{name}-{k - 1}", f"{name}-{k}-large")
         now = _fingerprint(edges)
         if now == before:

@@ -17,9 +17,10 @@ by the rarest shingles among themselves.
 *Inner regions* have document pivots. A large region picks a pivot and measures
 all members against it: those within the radius are linked to it. By the
 triangle inequality only members in the window ``distance - radius`` of the
-nearest outsider can link to an outsider; they and the outsiders are the next
-round's region. Small regions are compared pair by pair; a pair must share as
-many regions as the slack asks before its sets are fetched.
+nearest outsider can link to an outsider; each outsider looks for one partner
+among them. Outsiders without a partner are the next round's region. Small
+regions are compared pair by pair; a pair must share as many regions as the
+slack asks before its sets are fetched.
 
 Equal sets are one node from the start, and regions with the same members are
 one region. What is returned is the class of every document, never its pairs.
@@ -48,7 +49,9 @@ from promoscope.llm.decontam import _pieces as row_pieces
 
 WORDS, SIMILARITY = 5, 80         # words in a shingle; per cent
 HOT = 64                          # texts in a region from which it counts as hot
-LEAF = 64                         # members up to which a region is compared pair by pair
+LEAF = 8                          # members up to which a region among the heavy texts is compared pair by pair
+SLICE = 32                        # outsiders of a cell that one task compares with the members on its border
+BLOCK = 512                       # members without a partner up to which a cell is compared pair by pair
 
 
 @dataclass(frozen=True)
@@ -142,50 +145,85 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _inner_regions(rows: DataFrame, sets: DataFrame, spec: Spec, scratch: Scratch) -> list[DataFrame]:
-    """Links inside regions of any size. ``rows``: (key, cid, n, members, weight)."""
+    """Links that connect all similar texts inside regions of any size. ``rows``: (key, cid, n, members, weight).
+
+    A round gives every region a pivot; regions with the same pivot become one cell. Members near the pivot are
+    linked to it and so to each other. Of the others, each needs one partner among them, found by a semi-join in
+    which only members within a radius of the nearest outsider take part; what then has no partner is compared
+    with the outsiders that have one, and with itself in the next round."""
     links = [_leaf(rows.filter(F.col("members") <= LEAF), sets, spec)]
-    # far: the distance to the last pivot; outside: not linked to it
-    large = rows.filter(F.col("members") > LEAF).select("key", "cid", F.lit(1.0).alias("far"), F.lit(True).alias("outside"))
-    radius, k = 1 - spec.percent / 100, 0
+    radius, k = 1 - spec.percent / 100 + 1e-9, 0
+    large = rows.filter(F.col("members") > LEAF).select("key", "cid")
     while True:
         large = scratch.write(large, f"inner-{k}")
-        if large.isEmpty():
+        rows_now = large.count()
+        if not rows_now:
             return links
-        # the member in most regions is most like the others; among those outside, so that every round gets on
+        # the member in most regions is most like the others
         degree = large.groupBy("cid").agg(F.count("*").alias("deg"))
-        pivot = (large.filter("outside").join(degree, "cid").groupBy("key")
-                 .agg(F.max_by("cid", F.struct("deg", -F.col("cid"))).alias("b")))
-        to = large.join(pivot, "key")
-        told = _measure(to.select(F.col("cid").alias("a"), "b").filter("a <> b").distinct(), sets)
+        pivot = large.join(degree, "cid").groupBy("key").agg(F.max_by("cid", F.struct("deg", -F.col("cid"))).alias("b"))
+        cells = large.join(pivot, "key").filter("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
+        told = _measure(cells, sets)
         told = scratch.write(told.select("a", "b", spec.similar(F.col("na"), F.col("nb"), F.col("common")).alias("near"),
-                                         (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d")), f"told-{k}")
+                                         (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far")), f"told-{k}", rows_now, 500)
         links.append(told.filter("near").select("a", "b"))
-        seen = (to.filter("cid <> b").join(told.withColumnRenamed("a", "cid"), ["cid", "b"])
-                .select("key", "cid", F.col("d").alias("far"), (F.col("outside") & ~F.col("near")).alias("outside"), "near"))
-        nearest = seen.filter("outside").groupBy("key").agg(F.min("far").alias("edge"), F.count("*").alias("left"))
-        # a member that is already linked matters only within a radius of the nearest one outside
-        rest = (seen.join(nearest, "key")
-                .filter("outside" + f" OR far >= edge - {radius + 1e-9!r}")
-                .select("key", "cid", "far", "outside"))
-        rest = scratch.write(rest, f"rest-{k}")
-        size = rest.groupBy("key").agg(F.count("*").alias("members"))
-        few = rest.join(size.filter(F.col("members") <= LEAF), "key")
-        links.append(_window_leaf(few, sets, spec, radius))
-        large = rest.join(size.filter(F.col("members") > LEAF), "key", "left_semi")
+        outside = told.filter("NOT near")
+        edge = outside.groupBy("b").agg(F.min("far").alias("edge"))
+        border = told.filter("near").join(edge, "b").filter(F.col("far") >= F.col("edge") - radius)
+        tied = scratch.write(_partnered(outside, border, sets, spec, radius), f"tied-{k}", rows_now, 500)
+        alone = scratch.write(outside.join(tied.select("a", "b"), ["a", "b"], "left_anti"), f"alone-{k}", rows_now)
+        links += [tied.select("a", "b"), _partnered(alone, tied, sets, spec, radius).select("a", "b")]
+        size = alone.groupBy("b").agg(F.count("*").alias("members"))
+        rest = alone.join(size, "b").select(F.col("b").alias("key"), F.col("a").alias("cid"), "far", "members")
+        links.append(_window_leaf(rest.filter(F.col("members") <= BLOCK), sets, spec, radius))
+        large = rest.filter(F.col("members") > BLOCK).select("key", "cid")
         k += 1
 
 
+def _partnered(some: DataFrame, others: DataFrame, sets: DataFrame, spec: Spec, radius: float) -> DataFrame:
+    """The rows (a, b, far) of ``some`` with a similar text among ``others`` of the same cell b. A row stops at its
+    first partner; by the triangle inequality partners' distances to the pivot differ by the radius at most."""
+    parts = int(some.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a large cell is cut along ``some``; a slice holds about SLICE rows and meets a copy of the others
+    slices = some.groupBy("b").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    mine = (some.select("a", "b", "far").join(slices, "b").withColumn("slice", F.pmod(F.xxhash64("a"), "slices").cast("int"))
+            .join(sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("keys").alias("sa")), "a").repartition(parts, "b", "slice"))
+    theirs = (others.select(F.col("a").alias("o"), "b", F.col("far").alias("ofar")).join(slices, "b")
+              .join(sets.select(F.col("cid").alias("o"), F.col("n").alias("no"), F.col("keys").alias("so")), "o")
+              .select(F.col("b").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("part"), "ofar", "no", "so")
+              .repartition(parts, "cell", "part"))
+    fits = ((F.col("b") == F.col("cell")) & (F.col("slice") == F.col("part")) & (F.abs(F.col("far") - F.col("ofar")) <= radius)
+            & spec.similar(F.col("na"), F.col("no"), F.size(F.array_intersect("sa", "so"))))
+    return mine.join(theirs, fits, "left_semi").select("a", "b", "far")
+
+
+def _pair_links(pairs: DataFrame, sets: DataFrame, spec: Spec, scratch: Scratch) -> list[DataFrame]:
+    """Links that connect the similar ones of the pairs (a, b, shared). First every text is compared with the one it
+    shares most regions with; pairs of texts that are then linked to the same one, or to each other, are connected
+    already and are not compared again."""
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("p"), "shared").union(pairs.select("b", "a", "shared"))
+    best = both.groupBy("x").agg(F.max_by("p", F.struct("shared", -F.col("p"))).alias("p"))
+    found = _measure(best.select(F.col("x").alias("a"), F.col("p").alias("b")), sets)
+    near = scratch.write(found.filter(spec.similar(F.col("na"), F.col("nb"), F.col("common"))).select("a", "b"), "best")
+    to = lambda c: near.select(F.col("a").alias(c), F.col("b").alias(f"to_{c}"))
+    pa, pb = F.coalesce("to_a", F.col("a")), F.coalesce("to_b", F.col("b"))
+    rest = (pairs.select("a", "b").join(to("a"), "a", "left").join(to("b"), "b", "left")
+            .filter((pa != pb) & (pa != F.col("b")) & (pb != F.col("a"))).select("a", "b"))
+    found = _measure(rest, sets)
+    return [near, found.filter(spec.similar(F.col("na"), F.col("nb"), F.col("common"))).select("a", "b")]
+
+
 def _leaf(rows: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
     found = _measure(_pairs(rows, spec).select("a", "b"), sets)
     return found.filter(spec.similar(F.col("na"), F.col("nb"), F.col("common"))).select("a", "b")
 
 
 def _window_leaf(rows: DataFrame, sets: DataFrame, spec: Spec, radius: float) -> DataFrame:
-    """Pairs with at least one member outside whose distances to the pivot differ by the radius at most."""
-    a = rows.select("key", F.col("cid").alias("a"), F.col("far").alias("fa"), F.col("outside").alias("oa"))
-    b = rows.select("key", F.col("cid").alias("b"), F.col("far").alias("fb"), F.col("outside").alias("ob"))
-    pairs = (a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("oa") | F.col("ob"))
-                                     & (F.abs(F.col("fa") - F.col("fb")) <= radius + 1e-9)).select("a", "b").distinct())
+    """Pairs of a small cell's members whose distances to the pivot differ by the radius at most."""
+    a = rows.select("key", F.col("cid").alias("a"), F.col("far").alias("fa"))
+    b = rows.select("key", F.col("cid").alias("b"), F.col("far").alias("fb"))
+    pairs = (a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.abs(F.col("fa") - F.col("fb")) <= radius))
+             .select("a", "b").distinct())
     found = _measure(pairs, sets)
     return found.filter(spec.similar(F.col("na"), F.col("nb"), F.col("common"))).select("a", "b")
 
@@ -214,7 +252,7 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", words
     # similar texts share 1 + slack regions, of which at most the smaller hot count is missing here
     enough = (F.least(spec.slack(F.col("n_a")), spec.slack(F.col("n_b"))) + 1 - F.least("hot_a", "hot_b"))
     pairs = (pairs.join(size("a"), "a").join(size("b"), "b").join(of("a"), "a").join(of("b"), "b")
-             .filter(F.col("shared") >= enough).select("a", "b"))
+             .filter(F.col("shared") >= enough).select("a", "b", "shared"))
     pairs = scratch.write(pairs, "pairs")
     heavy = state.filter("heavy").select("cid")
 
@@ -229,8 +267,7 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", words
             .dropDuplicates(["cid"]).select("cid", "n", "keys"))
     sets = scratch.write(sets, "sets")
 
-    found = _measure(pairs, sets)
-    links = [found.filter(spec.similar(F.col("na"), F.col("nb"), F.col("common"))).select("a", "b")]
+    links = _pair_links(pairs, sets, spec, scratch)
     if not heavy.isEmpty():
         # recursion: among the heavy texts, regions by their rarest shingles
         full = sets.join(heavy, "cid", "left_semi")
