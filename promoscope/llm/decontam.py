@@ -10,7 +10,9 @@ item position) that differ by ``e`` at most. So:
 1. hash every q-gram of every whole text and keep the ones the items hold;
 2. count them per item in overlapping diagonal bands, each ``2 * (e + 1)`` wide
    and ``e + 1`` apart, so that one band holds all of an occurrence's diagonals;
-3. regions that reach the bound are verified, window by window, by a banded
+3. in regions that reach the bound, every window of the item (at any offset)
+   that holds enough of the region's q-grams for the lemma is verified: verbatim
+   ones by comparing characters along a diagonal, the others by a banded
    semi-global alignment, which gives the exact number of edits.
 
 Texts are compared lower-cased, with runs of white space as one space; spans
@@ -169,19 +171,20 @@ class ItemIndex:
         pair = np.stack([doc, item, band], axis=1)
         both = np.concatenate([pair, pair - [0, 0, 1]])
         order = np.lexsort((both[:, 2], both[:, 1], both[:, 0]))
-        both = both[order]
+        both, source = both[order], order % len(pos)
         new = np.flatnonzero(np.r_[True, (both[1:] != both[:-1]).any(axis=1)])
         count = np.diff(np.r_[new, len(both)])
-        found = both[new[count >= self.need[both[new, 1]]]]
+        enough = np.flatnonzero(count >= self.need[both[new, 1]])
         spans: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         jobs = []
-        for d, i, b in found.tolist():
-            text, width = self.texts[i], int(self.edits[i]) + 1
+        for first, n in zip(new[enough].tolist(), count[enough].tolist()):
+            d, i, b = both[first].tolist()
+            width = int(self.edits[i]) + 1
             low = b * width - self.longest                       # diagonals low .. low + 2 * width - 1
-            m = min(len(text), self.window)
-            offs = list(range(0, len(text) - m + 1, max(1, m // 2)))
-            if offs[-1] != len(text) - m:
-                offs.append(len(text) - m)
+            m = min(len(self.texts[i]), self.window)
+            hit = source[first: first + n]
+            same, offs = self._windows(i, m, at[hit], diagonal[hit] - self.longest, norm[d][0])
+            spans.setdefault((d, i), []).extend(same)
             jobs += [(d, i, o, m, low, 2 * width) for o in offs]
         for k in range(0, len(jobs), 2000):
             part = jobs[k: k + 2000]
@@ -189,6 +192,8 @@ class ItemIndex:
                 if got is not None:
                     spans.setdefault((d, i), []).append(got)
         for (d, i), found_spans in sorted(spans.items()):
+            if not found_spans:
+                continue
             back, merged = norm[d][1], []
             for a, b, e in sorted(set(found_spans)):
                 if merged and a <= merged[-1][1]:
@@ -198,6 +203,29 @@ class ItemIndex:
             out[d] += [(int(self.ids[i]), int(back[a]), int(back[b - 1]) + 1, e) for a, b, e in merged]
         return out
 
+    def _windows(self, i: int, m: int, at: np.ndarray, diagonal: np.ndarray,
+                 doc: np.ndarray) -> tuple[list[tuple[int, int, int]], list[int]]:
+        """Of the windows that the region's hits allow by the lemma: the spans of the verbatim ones, and the
+        offsets of the others."""
+        text, grams = self.texts[i], m - self.q + 1
+
+        def held(places: np.ndarray) -> np.ndarray:
+            """How many of each window's q-grams begin at one of the places."""
+            mark = np.zeros(len(text) - self.q + 1, dtype=np.int64)
+            mark[places] = 1
+            total = np.r_[0, np.cumsum(mark)]
+            return total[grams:] - total[:-grams]
+
+        todo = held(at) >= self.need[i]
+        spans = []
+        each, n = np.unique(diagonal, return_counts=True)
+        for g in each[n >= grams].tolist():
+            for o in np.flatnonzero(todo & (held(at[diagonal == g]) == grams)).tolist():
+                if (text[o: o + m] == doc[o + g: o + g + m]).all():      # equal hashes may still differ
+                    todo[o] = False
+                    spans.append((o + g, o + g + m, 0))
+        return spans, np.flatnonzero(todo).tolist()
+
     def _align(self, jobs: list[tuple], norm: list) -> list[tuple[int, int, int] | None]:
         """Banded semi-global alignment of each job's window: (start, end, edits) in the folded text if within budget."""
         m_max = max(j[3] for j in jobs)

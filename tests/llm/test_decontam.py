@@ -35,6 +35,34 @@ def test_items_against_brute_force():
             assert 0 <= a < b <= len(doc) and e <= budget[i]
 
 
+def test_inside_of_long_items_against_brute_force():
+    rnd = random.Random(3)
+    text = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    items = [(i, text(n)) for i, n in enumerate([101, 160, 300, 420])]
+    passages = [items[2][1][60:190], items[2][1][63:163], items[3][1][25:125], items[3][1][130:225], items[3][1][130:215]]
+    for _ in range(30):
+        i, whole = rnd.choice(items)
+        a = rnd.randrange(len(whole) - 90)
+        s = list(whole[a: a + rnd.randrange(88, 140)])
+        for _ in range(rnd.randrange(0, 11)):
+            p = rnd.randrange(len(s) + 1)
+            s[p:p + rnd.randrange(0, 2)] = rnd.choice(["", "z", "y"])
+        passages.append("".join(s))
+    docs = [text(rnd.randrange(0, 40)) + p + text(rnd.randrange(0, 40)) for p in passages]
+    index = D.ItemIndex.build(items, D.Q, D.WINDOW, D.RATE, D.MIN_CHARS)
+
+    def closest(item, doc):
+        return min(fewest(item[o: o + D.WINDOW], doc) for o in range(len(item) - D.WINDOW + 1))
+
+    for doc, passage, found in zip(docs, passages, index.matches(docs)):
+        # another item's letters are random: only the passage's own item can be near
+        near = {i: closest(t, doc) for i, t in items if any(passage[k: k + 12] in t for k in range(len(passage) - 11))}
+        assert {m[0]: m[3] for m in found} == {i: e for i, e in near.items() if e <= index.edits[i]}
+    first = index.matches(docs[:1])[0][0]
+    at = docs[0].index(passages[0])
+    assert first[1] <= at and first[2] >= at + 130 and first[3] == 0
+
+
 def test_annotate_edges(spark):
     item = "What is the capital of the invented country called Ruritania? Answer: Strelsau, of course, since 1894 at the latest, they say."
     items = spark.createDataFrame([(1, item), (1, item), (2, None), (3, "short"), (None, item), (4, "Another item about nothing in particular.")],
