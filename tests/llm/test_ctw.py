@@ -113,6 +113,34 @@ def test_scores_tokens_and_base(spark):
         assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 2)) for r in got) == sorted(want)
 
 
+def test_every_counted_context_is_weighed(spark):
+    train = ["abracadabra", "abra cadabra!", "cabra", "a cab, a bar; a crab"]
+    rows = [(i, t) for i, t in enumerate([*train, "abra zebra", "qqqq\xff", "xcabr", "", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    for depth, bits in ((4, 2), (4, 22), (3, 2), (2, 2), (1, 2), (0, 2)):     # few pairs are broadcast, or all
+        model, words = ctw.fit(docs.filter("doc_id < 4"), Scratch(spark, "t"), share_bits=bits, depth=depth)
+        got = {r.doc_id: r.score for r in ctw.score(docs, model, words, Scratch(spark, "t")).collect()}
+        cells, _ = tree(train, depth, 1)
+        for key, text in rows:
+            raw = bytes(ctw.DEPTH) + (text or "").encode() + b"\0"
+            grams = [raw[i - ctw.DEPTH:i + 1] for i in range(ctw.DEPTH, len(raw))]
+            if depth == ctw.DEPTH and bits == 2:
+                want = sum(brute_probability(train, g, depth, 1) for g in grams)
+            else:
+                want = ctw.ByteModel.build(cells).log10(np.array([int.from_bytes(g, "big") for g in grams], np.uint64)).sum()
+            assert abs(got[key] - want) < 1e-6, (depth, bits, text)
+
+
+def test_subtrees_stay_whole_over_batches():
+    import pyarrow as pa
+    g = np.sort(np.random.default_rng(1).integers(0, 40, 5000))
+    key, n = np.arange(5000), np.ones(5000, np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[a: a + 70]) for x in (key, n, g)], names=["key", "n", "g"]) for a in range(0, 5000, 70)]
+    parts = [k for k, _ in ctw._whole_subtrees(iter(batches), 300)]
+    assert len(parts) > 5 and np.concatenate(parts).tolist() == key.tolist()
+    assert all(g[a[-1]] != g[b[0]] for a, b in zip(parts, parts[1:]))
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
     model, words = ctw.fit(docs.limit(0), Scratch(spark, "t"))
