@@ -20,7 +20,8 @@ side with a comparable validator is ``resolved`` with ``checked_by`` NULL; NULL
 headers count as none; a NULL or empty url has the canonical form '' and never
 resolves; records with NULL ``ts`` never serve or resolve (``orphan``);
 repeated record ids of responses: the one with the smallest payload by order
-serves; extra columns of the records are not carried.
+serves; repeated or NULL record ids of revisits: each row is judged by its own
+headers; extra columns of the records are not carried.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def resolve(records: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
     """One row per revisit: record_id, canonical_url, outcome, checked_by, response_id, headers, payload."""
     base = (records.filter(F.col("status").isin(200, 304))
             .select("record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"),
-                    (F.col("status") == 200).alias("full")))
+                    (F.col("status") == 200).alias("full"), F.when(F.col("status") == 304, _lower_keys(F.col("headers"))).alias("h1")))
     base = base.withColumn("span", F.floor(F.col("ts") / span_seconds))
     usable = (F.col("canonical_url") != "") & F.col("ts").isNotNull()
     place = F.struct("ts", "record_id")
@@ -83,16 +84,15 @@ def resolve(records: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
     carried = (base.filter(usable).groupBy("canonical_url", "span").agg(F.max(F.when(F.col("full"), place)).alias("at"))
                .withColumn("far", F.last("at", ignorenulls=True).over(across)).drop("at"))
     found = (seen.filter(~F.col("full")).join(carried, ["canonical_url", "span"], "left")
-             .select("record_id", "canonical_url", F.coalesce(F.col("near")["record_id"], F.col("far")["record_id"]).alias("response_id")))
+             .select("record_id", "canonical_url", "h1", F.coalesce(F.col("near")["record_id"], F.col("far")["record_id"]).alias("response_id")))
     lost = base.filter(~F.col("full") & ~F.coalesce(usable, F.lit(False))).select(
-        "record_id", "canonical_url", F.lit(None).cast(base.schema["record_id"].dataType).alias("response_id"))
-    # validators and bodies, fetched by record id
+        "record_id", "canonical_url", "h1", F.lit(None).cast(base.schema["record_id"].dataType).alias("response_id"))
+    # the responses' validators and bodies, fetched by record id; a revisit brings its own headers along
     stored = (records.filter(F.col("status") == 200)
               .select(F.col("record_id").alias("response_id"), _lower_keys(F.col("headers")).alias("h0"), F.col("payload").alias("p0")))
     twice = W.partitionBy("response_id").orderBy("p0", F.map_entries("h0").cast("string"))
     stored = stored.withColumn("_n", F.row_number().over(twice)).filter("_n = 1").drop("_n")
-    update = records.filter(F.col("status") == 304).select("record_id", _lower_keys(F.col("headers")).alias("h1")).dropDuplicates(["record_id"])
-    got = (found.unionByName(lost).join(update, "record_id", "left").join(stored, "response_id", "left"))
+    got = found.unionByName(lost).join(stored, "response_id", "left")
     tag = lambda h: F.regexp_replace(F.trim(F.element_at(h, F.lit("etag"))), r"^W/", "")
     date = lambda h: F.trim(F.element_at(h, F.lit("last-modified")))
     by_tag, by_date = tag(F.col("h0")).isNotNull() & tag(F.col("h1")).isNotNull(), date(F.col("h0")).isNotNull() & date(F.col("h1")).isNotNull()

@@ -47,6 +47,15 @@ def test_empty_and_repeated_records(spark):
     assert got[2].payload == "x"
 
 
+def test_repeated_and_null_revisits_keep_their_own_headers(spark):
+    rows = [(1, "http://a.b/", 1, 200, {"ETag": '"v"'}, "x")]
+    for key in (2, None):
+        rows += [(key, "http://a.b/", 5, 304, {"etag": f'"{tag}"', "n": str(i)}, None) for i, tag in enumerate("vwvw")]
+    df = spark.createDataFrame([(*r, "extra") for r in rows], SCHEMA)
+    got = sorted((r.record_id or 0, r.outcome, r.checked_by, (r.headers or {}).get("n", "-")) for r in warc.resolve(df).collect())
+    assert got == sorted((k, *x) for k in (0, 2) for x in [("resolved", "etag", "0"), ("resolved", "etag", "2")] + [("mismatch", "etag", "-")] * 2)
+
+
 def test_query_equals_sql(spark, sf_small):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_small}/pages.parquet'")
