@@ -11,7 +11,7 @@ the partitioning or the executor.
 No piece crosses the start of a word (a space) or a character that is part of no
 longer piece, so the lattice falls apart there into units: each distinct unit of
 a batch is filtered once, and all its occurrences are sampled together in numpy.
-A unit longer than ``MAX_UNIT`` characters is cut there. A piece of rank r
+A unit is filtered whole at any length, one step a character. A piece of rank r
 weighs ``(r + SHIFT) ** -alpha`` times a constant a piece (Zipf's law; the
 vocabulary's own scores are merge ranks, not probabilities).
 
@@ -37,7 +37,6 @@ from pyspark.sql import types as T
 
 from promoscope.llm.decontam import _pieces as row_pieces
 
-MAX_UNIT = 256
 ALPHA, SHIFT, PIECE_COST = 1.0, 10.0, 2.4
 SPACE, LITERAL = 0x2581, 0x110000            # the space's sign; a stand-in for a literal U+2581
 _MUL = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -294,10 +293,6 @@ def encode_texts(lattices: Lattices, texts: list[str], seeds: np.ndarray) -> tup
     cut[text_at[size > 0]] = True
     cut[-1] = True
     edge = np.flatnonzero(cut)
-    long = np.flatnonzero(np.diff(edge) > MAX_UNIT)
-    if len(long):
-        more = [np.arange(edge[k] + MAX_UNIT, edge[k + 1], MAX_UNIT) for k in long]
-        edge = np.sort(np.concatenate([edge, *more]))
     start, end = edge[:-1], edge[1:]
     doc = np.searchsorted(text_at + size, start, side="right")
     first_unit = np.searchsorted(start, text_at)

@@ -50,3 +50,26 @@ def test_samples_follow_the_lattice(vocabulary):
     assert set(got) <= set(p)
     for g, x in p.items():
         assert abs(got[g] / n - x / total) < 5 * math.sqrt(x / total / n) + 1e-3
+
+
+def test_long_units_are_not_cut(vocabulary):
+    t = vocabulary.tables()
+    weight = {vocabulary.pieces[i]: math.exp(w) for i, w in zip(t["id"], t["weight"])}
+    text, n = "onthem" * 90, 4_000
+    s = chr(spm.SPACE) + text
+    before, behind = np.zeros(len(s) + 1), np.zeros(len(s) + 1)      # weights of all paths, scaled by position
+    scale = math.exp(-2.5)
+    before[0] = behind[len(s)] = 1
+    for i in range(len(s) + 1):
+        for k in range(max(0, i - t["longest"]), i):
+            before[i] += before[k] * weight.get(s[k:i], 0) / scale ** (i - k)
+    for i in range(len(s) - 1, -1, -1):
+        for k in range(i + 1, min(len(s), i + t["longest"]) + 1):
+            behind[i] += behind[k] * weight.get(s[i:k], 0) / scale ** (k - i)
+    want = before * behind / before[-1]                               # probability of a border at each position
+    ids, count = spm.encode_texts(spm.Lattices(vocabulary), [text] * n, np.arange(n, dtype=np.uint64))
+    size = np.array([len(vocabulary.pieces[i]) for i in ids])
+    ends = np.cumsum(size)
+    borders = np.bincount((ends - 1) % len(s) + 1, minlength=len(s) + 1) / n
+    assert ends[-1] == n * len(s) and want[256] < 0.9 and want[512] < 0.9
+    assert (np.abs(borders - want)[1:] < 5 * np.sqrt(want * (1 - want).clip(0) / n)[1:] + 2e-3).all()
