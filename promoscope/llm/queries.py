@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promoscope.llm import ctw, decontam, itq, langid, line_dedup, ngram_join, quality, spm, url_filters, warc
+from promoscope.llm import (
+    ctw, decontam, fingerprints, itq, langid, line_dedup, ngram_join, quality, spm, url_filters, warc,
+)
 from promoscope.llm.common import Scratch, crc_remainder, table
 
 
@@ -186,6 +188,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("score") >= 0.3).cast("int").alias("predicted")))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = fingerprints.edited_by_next(table(spark, sf_dir, "documents"))
+    return met.select("doc_id", "n_chars", "edited_sha256",
+                      fingerprints.as_text(F.col("fingerprint")).alias("fingerprint"),
+                      fingerprints.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+                      fingerprints.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+                      fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -198,6 +209,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_langid": op8_langid,
         "op9_decontam": op9_decontam,
         "op10_quality": op10_quality,
+        "op11_fingerprints": op11_fingerprints,
     }
 
 
