@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,18 @@ def crc_remainder(col: str | Column, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+def row_pieces(batch: pa.RecordBatch, text: str, chars: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The rows in turn, about ``chars`` of text at a time (one long text stays whole)."""
+    size = np.array(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
+    if not len(size):
+        yield batch
+        return
+    owner = np.cumsum(size) // chars
+    edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True])
+    for a, b in zip(edges[:-1], edges[1:]):
+        yield batch.slice(a, b - a)
+
+
 class Scratch:
     """Intermediate tables in the shared folder of ``spark.checkpoint.dir``.
 

@@ -45,8 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promoscope.llm.common import Scratch
-from promoscope.llm.decontam import _pieces as row_pieces
+from promoscope.llm.common import Scratch, row_pieces
 
 DEPTH = 4
 SHARE_BITS = 22

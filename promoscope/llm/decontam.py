@@ -38,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from promoscope.llm.common import row_pieces
+
 WINDOW, RATE, Q, MIN_CHARS, BLOCK_CHARS = 100, 0.08, 10, 24, 4_000_000
 _SLICE = 1 << 20        # characters hashed at once
 _FILTER_BITS = 22
@@ -296,7 +298,7 @@ def _pass(docs: DataFrame, shared, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _pieces(whole, text):
+            for batch in row_pieces(whole, text):
                 got = shared.value.matches([t or "" for t in batch.column(text).to_pylist()])
                 had = batch.column("matches")
                 if any(got):
@@ -306,16 +308,3 @@ def _pass(docs: DataFrame, shared, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([had if c == "matches" else batch.column(c) for c in names], names=names)
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def _pieces(batch: pa.RecordBatch, text: str, chars: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """The rows in turn, about ``chars`` of text at a time (one long text stays whole)."""
-    import pyarrow.compute as pc
-    size = np.array(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
-    if not len(size):
-        yield batch
-        return
-    owner = np.cumsum(size) // chars
-    edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True])
-    for a, b in zip(edges[:-1], edges[1:]):
-        yield batch.slice(a, b - a)

@@ -43,9 +43,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promoscope.llm.common import Scratch
+from promoscope.llm.common import Scratch, row_pieces
 from promoscope.llm.components import connected_components
-from promoscope.llm.decontam import _pieces as row_pieces
 
 WORDS, SIMILARITY = 5, 80         # words in a shingle; per cent
 HOT = 64                          # texts in a region from which it counts as hot

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promoscope.llm import (
-    ctw, decontam, fingerprints, itq, langid, line_dedup, ngram_join, quality, spm, url_filters, warc,
-)
+    centroids, ctw, decontam, divergence, fingerprints, itq, langid, line_dedup, ngram_join, quality, spm, url_filters, warc)
 from promoscope.llm.common import Scratch, crc_remainder, table
 
 
@@ -197,6 +196,69 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                       fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+#: The same audit in DuckDB SQL, over every term of every group.
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS rid,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS (SELECT lang, source, rid, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN kept ON kept.lang = t.lang AND kept.term = t.term GROUP BY t.lang, t.source, t.term),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS size FROM kept GROUP BY lang),
+sizes AS (SELECT lang, source, sum(n) AS size FROM c GROUP BY lang, source),
+g AS (SELECT d.lang, d.source, coalesce(max(sizes.size), 0) AS size FROM d LEFT JOIN sizes ON sizes.lang = d.lang AND sizes.source = d.source
+    GROUP BY d.lang, d.source),
+every AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000 * CAST(coalesce(c.n, 0) + 2 AS HUGEINT)) // CAST(g.size + 2 * langs.v AS HUGEINT) AS p,
+    1 + (1000000000 * CAST(kept.total + 2 AS HUGEINT)) // CAST(langs.size + 2 * langs.v AS HUGEINT) AS q
+    FROM g JOIN kept ON kept.lang = g.lang JOIN langs ON langs.lang = g.lang
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+met AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+    FROM every a JOIN every b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(met.value, 0) AS BIGINT) AS value
+    FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+    LEFT JOIN met ON met.lang = a.lang AND met.source = a.source AND met.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM every WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+    FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(rounds: int = centroids.ROUNDS) -> str:
+    """Ten rounds over every vector and centroid, as one chain of tables."""
+    nearest = "SELECT rid, num, d FROM (SELECT rid, num, d, row_number() OVER (PARTITION BY rid ORDER BY d, num) AS place FROM d{0}) WHERE place = 1"
+    far = ("d{0} AS MATERIALIZED (SELECT e.rid, c.num, CAST(sum((e.x - c.x) * (e.x - c.x)) AS BIGINT) AS d "
+           "FROM e JOIN c{0} c ON c.i = e.i GROUP BY e.rid, c.num)")
+    parts = [r"""good AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS MATERIALIZED (SELECT rid, unnest(range(64)) AS i, unnest(list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT))) AS x FROM good),
+seeds AS (SELECT rid, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS num FROM good),
+c0 AS MATERIALIZED (SELECT seeds.num, e.i, e.x FROM seeds JOIN e ON e.rid = seeds.rid WHERE seeds.num < 8)"""]
+    for r in range(rounds):
+        parts += [far.format(r), f"a{r} AS MATERIALIZED ({nearest.format(r)})",
+                  f"m{r} AS MATERIALIZED (SELECT a.num, e.i, CAST(sum(e.x) AS BIGINT) AS s, count(*) AS n FROM a{r} a JOIN e ON e.rid = a.rid GROUP BY a.num, e.i)",
+                  f"c{r + 1} AS MATERIALIZED (SELECT c.num, c.i, CASE WHEN m.n IS NULL THEN c.x ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS x "
+                  f"FROM c{r} c LEFT JOIN m{r} m ON m.num = c.num AND m.i = c.i)"]
+    last = rounds
+    parts += [far.format(last), f"a{last} AS MATERIALIZED ({nearest.format(last)})",
+              f"s AS (SELECT num, sum(d) AS inertia FROM a{last} GROUP BY num)",
+              f"h AS (SELECT num, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS sha FROM c{last} GROUP BY num)"]
+    return ("WITH " + ",\n".join(parts) + f"""
+SELECT good.vec_id, CAST(a.num AS INTEGER) AS cluster, a.d AS distance, CAST(s.inertia AS BIGINT) AS cluster_inertia,
+    CAST((SELECT sum(inertia) FROM s) AS BIGINT) AS inertia, h.sha AS centroid_sha256
+FROM good JOIN a{last} a ON a.rid = good.rid JOIN s ON s.num = a.num JOIN h ON h.num = a.num
+""")
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -210,8 +272,10 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontam": op9_decontam,
         "op10_quality": op10_quality,
         "op11_fingerprints": op11_fingerprints,
+        "op12_divergence": op12_divergence,
+        "op13_centroids": op13_centroids,
     }
 
 
 def oracle_queries() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op3_revisits": OP3_SQL}
+    return {"op1_url_filters": OP1_SQL, "op3_revisits": OP3_SQL, "op12_divergence": OP12_SQL, "op13_centroids": _op13_sql()}

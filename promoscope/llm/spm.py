@@ -35,7 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promoscope.llm.decontam import _pieces as row_pieces
+from promoscope.llm.common import row_pieces
+
 
 ALPHA, SHIFT, PIECE_COST = 1.0, 10.0, 2.4
 SPACE, LITERAL = 0x2581, 0x110000            # the space's sign; a stand-in for a literal U+2581
