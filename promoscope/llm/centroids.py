@@ -20,8 +20,9 @@ Defined cases: vectors that are NULL, of another length than ``DIM``, or with a
 component that is NULL, not finite, or so large that a squared distance would not fit
 64 bits (``floor(1024 x)`` beyond 2^27, |x| above 131,071) are left out; repeated rows are
 vectors each, and may be first centroids side by side; a NULL key comes last in the
-choice of the first centroids; with fewer vectors than ``k`` each is a centroid; an
-empty table gives no rows; extra columns are not carried.
+choice of the first centroids; with fewer vectors than ``k`` each is a centroid; a sum
+of distances that does not fit 64 bits is NULL; an empty table gives no rows; extra
+columns are not carried.
 """
 
 from __future__ import annotations

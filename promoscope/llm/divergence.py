@@ -74,7 +74,7 @@ def terms(raw: bytes) -> Iterator[list[bytes]]:
         at = stop
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], entries: int) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, n, docs): occurrences and documents, summed over the task's texts so far."""
     n: dict[tuple, Counter] = {}
     docs: dict[tuple, Counter] = {}
@@ -100,7 +100,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     count.update(some)
                     seen.update(some)
                 docs.setdefault(group, Counter()).update(seen)
-            if sum(map(len, n.values())) >= ENTRIES:
+            if sum(map(len, n.values())) >= entries:
                 yield hand_on()
     yield hand_on()
 
@@ -121,7 +121,7 @@ def _differ(p: Column, q: Column) -> Column:
     return _div((p - q) * (p - q), p + q)
 
 
-def _pair_sums(g: pd.DataFrame) -> pd.DataFrame:
+def _pair_sums(g: pd.DataFrame, a_block: int) -> pd.DataFrame:
     """Sums of f for every two sources of one slice and two blocks. Rows without a term carry a source's share of a
     term that it does not have."""
     empty = g["term"].isna().to_numpy()
@@ -132,7 +132,7 @@ def _pair_sums(g: pd.DataFrame) -> pd.DataFrame:
     shares = np.tile(unused, (len(names), 1))
     shares[code, np.searchsorted(who, sid[~empty])] = p[~empty]
     i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
-    block = who // SOURCES
+    block = who // a_block
     a_all, b_all, sums = [], [], []
     for a in np.flatnonzero(block == i):
         b = np.flatnonzero((block == j) & (who > who[a]))
@@ -148,7 +148,8 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """(lang, source, part, item, value, rank)."""
     scratch = Scratch(docs.sparkSession, "divergence")
     base = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
-    counts = (base.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
+    entries = ENTRIES
+    counts = (base.mapInArrow(lambda batches: _counted(batches, entries), "lang string, source string, term string, n long, docs long")
               .groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     counts = scratch.write(counts, "counts")
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).filter(F.col("docs") >= MIN_DOCS).drop("docs")
@@ -201,7 +202,8 @@ def _pairs(used: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
                                               F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), own.alias("own"), "last")
              .select("lang", "term", "sid", "p", "slice", "own", every.alias("other")))
     rows = named.union(blank).select("lang", "term", "sid", "p", "slice", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    sums = (rows.groupBy("lang", "slice", "i", "j").applyInPandas(_pair_sums, "lang string, a long, b long, value long, met long")
+    a_block = SOURCES
+    sums = (rows.groupBy("lang", "slice", "i", "j").applyInPandas(lambda g: _pair_sums(g, a_block), "lang string, a long, b long, value long, met long")
             .groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("met").alias("met")))
     sums = scratch.write(sums, "pair-sums")
     # the answer itself has a row for every two sources of a language

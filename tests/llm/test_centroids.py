@@ -24,7 +24,8 @@ def brute(rows, k=8, rounds=10):
                 centres[c] = [sum(x) // len(mine) for x in zip(*mine)]
     d = [far(v, centres[n]) for (_, v), n in zip(good, near)]
     sha = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centres]
-    return sorted(((key, n, x, sum(b for a, b in zip(near, d) if a == n), sum(d), sha[n]) for (key, _), n, x in zip(good, near, d)), key=str)
+    fits = lambda n: n if n < 2**63 else None
+    return sorted(((key, n, x, fits(sum(b for a, b in zip(near, d) if a == n)), fits(sum(d)), sha[n]) for (key, _), n, x in zip(good, near, d)), key=str)
 
 
 def _got(spark, rows, **how):
