@@ -5,26 +5,30 @@
   the raw quantity headers renamed (S7). Text is trimmed, empty text and ``NA``
   are NULL, quotes are doubled inside quotes, and quoted line breaks are kept.
 * ``read_insert_tuples`` / ``read_sql_dump_star``: rows carried as SQL
-  ``INSERT ... VALUES (..),(..);`` text (S5), e.g. a whole MySQL dump. Whole
-  statements are read in parallel and cut by regular expressions that know
-  quotes; column lists, both ways of escaping, ``IGNORE`` and any case are
-  honoured. What claims to be rows of the table and does not parse raises an
-  error: no row is lost or bent silently.
+  ``INSERT ... VALUES (..),(..);`` text (S5), e.g. a whole MySQL dump. Column
+  lists, both ways of escaping, ``IGNORE``, comments and any case are honoured.
+  What claims to be rows of the table and does not parse raises an error: no row
+  is lost or bent silently.
+
+Both read files of any size in parallel byte ranges, whatever stands inside quotes
+(``spans``): a statement or a record may cross ranges.
 """
 
 from __future__ import annotations
 
-import re
+import csv
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promoscope import schemas
+from promoscope.sources import dump, spans
 from promoscope.sources.star import RetailStar
 
 DAY_FIRST = "dd-MM-yyyy"
-TUPLE_SEP = "),("
 
 
 def _whole_number(c: Column) -> Column:
@@ -34,24 +38,74 @@ def _whole_number(c: Column) -> Column:
                       F.when(wide.isNull() & (c.try_cast("double") == F.floor(c.try_cast("double"))), c.try_cast("double").try_cast("bigint")))
 
 
+#: Complete fields, then a quoted one that the line does not close.
+_OPEN_FIELD = r'(?s)^(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+,|[^",][^,]*+,|,)*+"[^"]*+(?:""[^"]*+)*+\z'
+_SPACE = " \t\n\x0b\x0c\r"
+
+
+def has_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether any quoted field of CSV files holds a line break: one pass over their lines."""
+    value = F.col("value")
+    open_field = F.when(value.contains('"'), value.rlike(_OPEN_FIELD)).otherwise(F.lit(False))
+    return bool(spans.pieces(spark, path, "\n").agg(F.bool_or(open_field)).first()[0])
+
+
+def _csv_records(header: list[str]):
+    def emit(block: int, known: str | None, records: Iterator[str]) -> Iterator[pa.RecordBatch]:
+        some = []
+        for k, record in enumerate(records):
+            record = record.removesuffix("\r")
+            if k == 0 and block == 0:
+                names = next(csv.reader([record.removeprefix("\ufeff")]), [])
+                if names != header:
+                    raise ValueError(f"files with other headers: {names} and {header}")
+            elif record.strip():
+                some.append(record)
+            if len(some) == 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["record"])
+                some = []
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["record"])
+
+    return emit
+
+
+def _raw_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """The files' fields as texts, under the header's names."""
+    how = {"quote": '"', "escape": '"', "nullValue": "\u0000", "emptyValue": "", "mode": "PERMISSIVE"}
+    plain = spark.read.options(header=True, inferSchema=False, multiLine=False, **how).csv(path)
+    if not multi_line:
+        return plain
+    header = plain.columns
+    records = spans.cut_records(spark, path, spans.Cutter(), _csv_records(header), "record string")
+    ddl = ", ".join(f"c{i} STRING" for i in range(len(header)))
+    parsed = records.select(F.from_csv("record", ddl, {**how, "multiLine": "true"}).alias("r"))
+    return parsed.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(header)])
+
+
 def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType, renames: dict[str, str] | None = None,
                    date_format: str = DAY_FIRST, na: tuple[str, ...] = ("", "NA"), trim: bool = True,
-                   multi_line: bool = True, unparsed: str | None = None) -> DataFrame:
-    """S1. ``na``: texts that stand for NULL. ``multi_line``: a quoted field may hold line breaks; a file is then one
-    task, so set it to False for huge files without such fields. ``unparsed`` names an extra column with the number
-    of the row's fields that held something and could not be read as their type (they are NULL)."""
-    raw = (spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"')
-           .option("multiLine", multi_line).option("mode", "PERMISSIVE").option("nullValue", "\u0000").option("emptyValue", "").csv(path))
+                   multi_line: bool | None = None, unparsed: str | None = None) -> DataFrame:
+    """S1. ``na``: texts that stand for NULL. ``multi_line``: whether quoted fields hold line breaks; if it is not given,
+    one pass over the files finds out. Files with such fields are cut at their true records by many tasks (``spans``),
+    others are read by the plain reader. ``unparsed`` names an extra column with the number of the row's fields that
+    held something and could not be read as their type (they are NULL)."""
+    raw = _raw_csv(spark, path, has_line_breaks(spark, path) if multi_line is None else multi_line)
     ren = dict(schemas.RAW_QTY_RENAMES)
     ren.update(renames or {})
     raw = raw.withColumnsRenamed({k: v for k, v in ren.items() if k in raw.columns})
+
+    def text(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        c = F.btrim(c, F.lit(_SPACE)) if trim else c
+        return F.when(~c.isin(*na), c)
+
+    # texts first, as a projection of their own: a cast reads its text more than once
+    raw = raw.select(*[text(f.name).alias(f.name) for f in schema.fields])
     cols, lost = [], F.lit(0)
     for f in schema.fields:
         c = F.col(f"`{f.name}`")
-        c = F.regexp_replace(c, r"^\s+|\s+$", "") if trim else c
-        c = F.when(~c.isin(*na), c)
         if isinstance(f.dataType, T.StringType):
-            cols.append(c.alias(f.name))
+            cols.append(c)
             continue
         if isinstance(f.dataType, T.DateType):
             value = F.try_to_date(c, date_format)
@@ -89,101 +143,28 @@ def write_csv_star(star: RetailStar, root: str, date_format: str = DAY_FIRST,
         df.write.mode("overwrite").option("header", True).csv(f"{root.rstrip('/')}/{name}")
 
 
-# A quoted text (either way of escaping), a field, a tuple and a statement. Quantifiers are possessive: they never back up.
-_QUOTED = r"'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'"
-_TUPLE = r"\((?:[^()']++|" + _QUOTED + r")*+\)"
-_NAME = r"[`\"]?([^\s(`\"]+)[`\"]?"
-_HEAD = r"INSERT\s+(?:LOW_PRIORITY\s+|DELAYED\s+|HIGH_PRIORITY\s+|IGNORE\s+)*(?:INTO\s+)?" + _NAME + r"\s*(\([^)']*\))?\s*VALUES?\s*"
-_STATEMENT = r"(?is)\b" + _HEAD + r"(" + _TUPLE + r"(?:\s*,\s*" + _TUPLE + r")*+)\s*(?:;|\z)"
-_FIELD = r"(?s)" + _QUOTED + r"|[^,\s'][^,']*"
-#: Escapes of a quoted text besides the character itself (fixed values).
-_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "0": "\x00", "b": "\b", "Z": "\x1a"}
-
-
-def _unquoted(field: Column) -> Column:
-    """The value of a field's text: quoted text with its escapes undone, NULL for an unquoted ``NULL``."""
-    inner = F.substring(field, F.lit(2), F.length(field) - 2)
-    parts = F.regexp_extract_all(inner, F.lit(r"(?s)(\\.|''|[^'\\]++)"), F.lit(1))
-
-    def undo(p: Column) -> Column:
-        out = F.when(p == "''", F.lit("'")).when(~p.startswith("\\"), p)
-        for k, v in _ESCAPES.items():
-            out = out.when(p == "\\" + k, F.lit(v))
-        return out.otherwise(F.substring(p, 2, 1))
-
-    plain = F.trim(field)
-    return F.when(field.startswith("'"), F.array_join(F.transform(parts, undo), "")).when(F.upper(plain) != "NULL", plain)
-
-
-def _typed(tuples: DataFrame, schema: T.StructType) -> DataFrame:
-    """``tuples``: (t: text of one tuple with its parentheses, names: the statement's column list or NULL)."""
-    inner = F.substring(F.col("t"), F.lit(2), F.length("t") - 2)
-    fields = F.regexp_extract_all(inner, F.lit("(" + _FIELD + ")"), F.lit(1))
-    listed = F.transform(F.split(F.regexp_replace("names", r"[()`\"\s]", ""), ","), F.lower)
-    order = F.array(*[F.lit(f.name.lower()) for f in schema.fields])
-    rows = tuples.select("t", fields.alias("fields"), F.coalesce(listed, order).alias("listed"))
-    wrong = (F.size("fields") != F.size("listed")) | (F.regexp_count(F.regexp_replace(inner, _QUOTED, ""), F.lit(",")) + 1 != F.size("fields"))
-    told = F.raise_error(F.concat(F.lit("not a row of the declared columns: "), F.substring("t", 1, 200)))
-    rows = rows.withColumn("fields", F.when(~wrong, F.col("fields")).otherwise(told.cast("array<string>")))
+def read_insert_tuples(spark: SparkSession, path: str, schema: T.StructType, table: str | None = None) -> DataFrame:
+    """Rows of ``table`` (of all tables, if not given) from SQL ``INSERT ... VALUES (..),(..);`` text (S5); columns a
+    statement's list leaves out are NULL.
+
+    Files are read in byte ranges by many tasks, whatever the size of a file or of a statement, and whatever a quoted
+    text holds: parentheses, commas, semicolons, raw line breaks. Only a single row has to fit in memory. If a file is
+    read in more than one range, two short jobs run while the plan is built (``spans``)."""
+    emit = dump.emitter(schema.names, table)
+    rows = spans.cut_records(spark, path, spans.SqlCutter(), emit, "fields array<string>", told=dump.Sum, context=dump.contexts)
     cols = []
-    for f in schema.fields:
-        at = F.array_position("listed", f.name.lower()).cast("int")
-        text = _unquoted(F.get("fields", at - 1))
-        value = text if isinstance(f.dataType, T.StringType) else (
-            _whole_number(F.trim(text)).try_cast(f.dataType) if isinstance(f.dataType, T.IntegralType) else F.trim(text).try_cast(f.dataType))
+    for i, f in enumerate(schema.fields):
+        text = F.get("fields", F.lit(i))
+        if isinstance(f.dataType, T.StringType):
+            cols.append(text.alias(f.name))
+            continue
+        plain = F.trim(text)
+        value = _whole_number(plain).try_cast(f.dataType) if isinstance(f.dataType, T.IntegralType) else plain.try_cast(f.dataType)
         bad = F.raise_error(F.concat(F.lit(f"column {f.name} cannot hold: "), F.substring(text, 1, 100)))
-        cols.append((value if isinstance(f.dataType, T.StringType) else
-                     F.when(text.isNotNull() & value.isNull(), bad.cast(f.dataType)).otherwise(value)).alias(f.name))
+        cols.append(F.when(text.isNotNull() & value.isNull(), bad.cast(f.dataType)).otherwise(value).alias(f.name))
     return rows.select(*cols)
 
 
-def read_insert_tuples(spark: SparkSession, path: str, schema: T.StructType,
-                       table: str | None = None, mode: str = "statements") -> DataFrame:
-    """Rows of ``table`` from SQL ``INSERT ... VALUES (..),(..);`` text (S5); columns a statement's list leaves out
-    are NULL.
-
-    ``mode="statements"`` (default): files are cut after every ``;`` that ends a line, so they are read in parallel
-    whatever their size; a statement (its size bounded by ``net_buffer_length`` in ``mysqldump``) may span lines. A
-    value that itself holds ``;`` and a raw line break makes the cut fall inside it: that raises an error.
-
-    ``mode="files"``: a whole file is one record, for files with such values that fit into a task.
-
-    ``mode="tuples"``: one table's INSERTs only, statements of any length (a single multi-gigabyte statement is
-    fine): the text source itself cuts at ``),(``, so no record holds more than one tuple. A quoted ``),(`` raises."""
-    if mode == "tuples":
-        return _typed(_cut_tuples(spark, path, table), schema)
-    text = spark.read.text(path, wholetext=True) if mode == "files" else spark.read.text(path, lineSep=";\n")
-    name = re.escape(table.lower()) if table else r"[^\s(`\"]+"
-    records = text.where(F.col("value").rlike(r"(?is)\bINSERT\b"))
-    pieces = F.regexp_extract_all("value", F.lit("(" + _STATEMENT + ")"), F.lit(1))
-    # each head must begin a statement that was cut out whole (heads inside quoted text do not count)
-    bare = F.regexp_replace("value", r"(?m)^\s*(?:--|#).*$", "")
-    rest = F.regexp_replace(F.regexp_replace(bare, _STATEMENT, ""), _QUOTED, "")
-    lost = rest.rlike(r"(?is)\bINSERT\s+[\sA-Z_]*[`\"]?" + name + r"[`\"]?\s*(\([^)']*\))?\s*VALUES?\b")
-    told = F.raise_error(F.concat(F.lit("an INSERT does not parse: "), F.substring("value", 1, 300)))
-    statements = records.select(F.explode(F.when(lost, told.cast("array<string>")).otherwise(pieces)).alias("s"))
-    head = lambda g: F.regexp_extract("s", _STATEMENT, g)
-    parts = statements.select(F.lower(head(1)).alias("table"), F.nullif(head(2), F.lit("")).alias("names"), head(3).alias("list"))
-    if table:
-        parts = parts.where(F.regexp_replace("table", r"^.*\.", "") == table.lower())
-    tuples = parts.select("names", F.explode(F.regexp_extract_all("list", F.lit("(?s)(" + _TUPLE + ")"), F.lit(1))).alias("t"))
-    return _typed(tuples, schema)
-
-
-def _cut_tuples(spark: SparkSession, path: str, table: str | None) -> DataFrame:
-    name = r"[`\"]?" + (re.escape(table) if table else r"[^\s(`\"]+") + r"[`\"]?"
-    head = r"(?is)INSERT\s+(?:IGNORE\s+)?INTO\s+" + name + r"\s*(\([^)']*\))?\s*VALUES\s*\("
-    raw = spark.read.option("lineSep", TUPLE_SEP).text(path)
-    pieces = raw.select(F.posexplode(F.split("value", r"\)\s*;")).alias("i", "piece"))
-    has_head = F.col("piece").rlike(head)
-    other = (F.trim("piece") == "") | F.col("piece").rlike(r"(?is)^\s*(--|#|/\*|[A-Z]+\s)")
-    inside = (F.col("i") == 0) & ~F.col("piece").rlike(r"(?is)^\s*(--|#|/\*|CREATE\s|DROP\s|LOCK\s|SET\s|USE\s)")
-    told = F.raise_error(F.concat(F.lit("not a tuple: "), F.substring("piece", 1, 200)))
-    body = (F.when(has_head, F.regexp_extract("piece", head + r"(.*)$", 2)).when(inside, F.col("piece")).when(~other, told.cast("string")))
-    cut = pieces.select(body.alias("b")).where(F.col("b").isNotNull() & (F.trim("b") != ""))
-    return cut.select(F.concat(F.lit("("), F.col("b"), F.lit(")")).alias("t"), F.lit(None).cast("string").alias("names"))
-
-
 def read_sql_dump_star(spark: SparkSession, path: str) -> RetailStar:
     """The four retail tables from one SQL dump (S5 + S4 + S7): each table's
     statements parsed with its declared schema, by their column lists or in the
@@ -198,7 +179,7 @@ def _sql_literal(c: str, dt: T.DataType) -> Column:
     col = F.col(f"`{c}`")
     if isinstance(dt, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)):
         s = F.replace(F.replace(col.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
-        for k, v in _ESCAPES.items():
+        for k, v in dump.ESCAPES.items():
             s = F.replace(s, F.lit(v), F.lit("\\" + k))
         lit = F.concat(F.lit("'"), s, F.lit("'"))
     else:
