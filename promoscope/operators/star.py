@@ -20,11 +20,14 @@ the reports over them), once per DataFrame of a dimension.
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promoscope.sources.star import RetailStar
+if TYPE_CHECKING:           # the sources use this module too
+    from promoscope.sources.star import RetailStar
 
 DIM_KEYS = {
     "dim_campaigns": "campaign_id",
