@@ -54,21 +54,29 @@ def _bin(h: Column) -> Column:
     return F.shiftright(h, _LOW).cast("int") + F.lit(BINS // 2)
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
-    """``docs`` with the text's fingerprint, an array of 16 BIGINTs."""
+def _words(text: Column) -> Column:
+    plain = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(_SPACE))
+    return F.split(plain, r"[\x20\x09-\x0D]+")
+
+
+def _shingles(words: Column, after: Column | int = 0) -> Column:
+    """Hashes of the runs of words that begin ``after`` so many words (an array of one or more)."""
+    after = F.lit(after) if isinstance(after, int) else after
+    runs = F.greatest(F.size(words) - (WORDS - 1), F.lit(1)) - after
+    return F.transform(F.slice(words, after + 1, runs), lambda w, i: F.xxhash64(w, *[F.get(words, i + after + k) for k in range(1, WORDS)]))
+
+
+def _packed(rows: DataFrame, columns: list[Column], hashes: str, name: str) -> DataFrame:
+    """``columns`` of ``rows`` and the fingerprint of the shingles in the column ``hashes``."""
     tag = f"_fp{uuid.uuid4().hex[:8]}_"
-    words, hashes, dense, bits = (F.col(tag + c) for c in ("words", "hashes", "dense", "bits"))
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != name]
-    plain = F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(_SPACE))
-    step = docs.select(*[F.col(f"`{c}`") for c in docs.columns],
-                       F.split(plain, r"[\x20\x09-\x0D]+").alias(tag + "words"))
-    last = F.greatest(F.size(words) - WORDS, F.lit(0))
-    shingles = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WORDS)]))
+    ordered, dense, bits = (F.col(tag + c) for c in ("ordered", "dense", "bits"))
     marks = F.array(*[_long(((b - BINS // 2) % BINS << _LOW) | _MARK) for b in range(BINS)])
-    step = step.withColumn(tag + "hashes", F.sort_array(F.concat(shingles, marks)))
-    # the first entry of each bin; NULL for an empty bin
-    first = F.filter(hashes, lambda h, i: (i == 0) | (F.shiftright(h, _LOW) != F.shiftright(F.get(hashes, i - 1), _LOW)))
-    step = step.withColumn(tag + "dense", F.transform(first, lambda h: F.when(h.bitwiseAND(_long(_MARK)) != _MARK, h)))
+    step = rows.withColumn(tag + "ordered", F.sort_array(F.concat(F.col(hashes), marks)))
+    # the entries that follow a mark, or nothing, are the first of their bins; a mark there is an empty bin
+    mark = _long(_MARK)
+    before = F.concat(F.array(mark), F.slice(ordered, 1, F.size(ordered) - 1))
+    first = F.filter(F.zip_with(ordered, before, lambda h, p: F.when(p.bitwiseAND(mark) == mark, h)), lambda h: h.isNotNull())
+    step = step.withColumn(tag + "dense", F.transform(first, lambda h: F.when(h.bitwiseAND(mark) != mark, h)))
 
     def filled(h: Column, i: Column) -> Column:
         probes = [F.get(dense, F.pmod(F.xxhash64(i, F.lit(k)), F.lit(BINS)).cast("int")) for k in range(ATTEMPTS)]
@@ -83,6 +91,33 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerpri
     return step.select(*columns, packed.alias(name))
 
 
+def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
+    """``docs`` with the text's fingerprint, an array of 16 BIGINTs."""
+    tag = f"_fp{uuid.uuid4().hex[:8]}_"
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != name]
+    step = docs.select("*", _words(F.col(f"`{text}`")).alias(tag + "words"))
+    step = step.withColumn(tag + "hashes", _shingles(F.col(tag + "words")))
+    return _packed(step, columns, tag + "hashes", name)
+
+
+def _with_both(rows: DataFrame, text: str, edited: str) -> DataFrame:
+    """``rows`` with ``fingerprint`` and ``edited_fingerprint`` in place of a text and its edited form: the runs of
+    words that lie within the words both begin with are hashed once."""
+    columns = [F.col(c) for c in rows.columns if c not in (text, edited)]
+    wa, wb, ha = F.col("words_a"), F.col("words_b"), F.col("hashes_a")
+    step = rows.select(*columns, _words(F.col(text)).alias("words_a"), _words(F.col(edited)).alias("words_b"))
+    step = step.withColumn("hashes_a", _shingles(wa))
+    most = F.least(F.size(wa), F.size(wb))
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    begin = F.aggregate(steps, F.lit(0), lambda got, s: F.when(
+        (got <= most - s) & (F.slice(wa, got + 1, s) == F.slice(wb, got + 1, s)), got + s).otherwise(got))
+    # a run must lie within the common words, and one run at least is left to the end of the edited text
+    step = step.withColumn("same", F.greatest(F.least(begin, F.size(wb) - 1) - (WORDS - 1), F.lit(0)))
+    step = step.withColumn("hashes_b", F.concat(F.slice(ha, F.lit(1), F.col("same")), _shingles(wb, F.col("same"))))
+    step = _packed(step, [*columns, F.col("hashes_b")], "hashes_a", "fingerprint")
+    return _packed(step, [*columns, F.col("fingerprint")], "hashes_b", "edited_fingerprint")
+
+
 def as_text(fingerprint: Column) -> Column:
     """The fingerprint as hexadecimal digits, one for each bin."""
     return F.array_join(F.transform(fingerprint, lambda w: F.lpad(F.hex(w), 16, "0")), "")
@@ -130,19 +165,20 @@ def edited_by_next(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     total = ranked.count()
     asks = ranked.select((F.col("place") % F.lit(max(total, 1)) + 1).alias("place"), F.col("h1").alias("to1"), F.col("h2").alias("to2"),
                          F.floor(F.col("n") / 3).cast("int").alias("need"))
-    links = scratch.write(ranked.join(asks, "place").select("h1", "h2", "to1", "to2", "need", F.col("key").alias("next_key")), "links")
+    links = scratch.write(ranked.join(asks, "place").select("h1", "h2", "to1", "to2", "need"), "links")
 
-    # one giver for each asker: equal rows are one document
+    # one giver for each asker: equal rows are one document. Both sides need the same columns, so that the texts are
+    # shuffled once for both
     given = (base.join(links, ["h1", "h2"])
              .withColumn("copy", F.expr("row_number() OVER (PARTITION BY h1, h2 ORDER BY h1)")).filter("copy = 1")
-             .select(F.col("to1").alias("h1"), F.col("to2").alias("h2"), "next_key", F.left("text", F.col("need")).alias("given")))
+             .select(F.col("to1").alias("h1"), F.col("to2").alias("h2"), F.col("key").alias("next_key"),
+                     F.left("text", F.col("need")).alias("given")))
     n = F.char_length("text")
     edited = base.join(given, ["h1", "h2"]).select(
         "key", "h1", "h2", "text", n.cast("long").alias("n_chars"), "next_key",
         F.concat(F.left("text", n - F.floor(n / 3).cast("int")), F.col("given")).alias("edited"))
-    made = with_fingerprint(edited, "text").withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    made = with_fingerprint(made.drop("text"), "edited", "edited_fingerprint").drop("edited")
-    made = scratch.write(made, "made")
+    made = edited.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    made = scratch.write(_with_both(made, "text", "edited"), "made")
     first = made.groupBy("h1", "h2").agg(F.first("fingerprint").alias("next_fingerprint"))
     theirs = links.join(first, ["h1", "h2"]).select(F.col("to1").alias("h1"), F.col("to2").alias("h2"), "next_fingerprint")
     return (made.join(theirs, ["h1", "h2"])
