@@ -140,11 +140,9 @@ def revenue_before_e4(price=PRICE_COL, qty=QTY_BEFORE) -> Column:
     return _times_units(price_cents(price) * F.lit(100), _col(qty))
 
 
-def revenue_after_e4(price=PRICE_COL, qty=QTY_AFTER, promo=PROMO_COL,
-                     convention: str = "sql", collation: str | None = None) -> Column:
-    """K2 in 1/10000 units: (cents x factor% - offset cents x 100) x qty x unit factor."""
+def after_rate(cents: Column, promo=PROMO_COL, convention: str = "sql", collation: str | None = None) -> Column:
+    """1/10000 units a piece after promo: (cents x factor% - offset cents x 100) x unit factor."""
     assert convention in CONVENTIONS
-    cents, qty = price_cents(price), _col(qty)
     expr = None
     for label, factor, offset, unit_factor, _ in PROMO_RULES:
         f100, off100 = int(Decimal(factor) * 100), int(Decimal(offset) * 100)
@@ -155,9 +153,13 @@ def revenue_after_e4(price=PRICE_COL, qty=QTY_AFTER, promo=PROMO_COL,
             value = value * F.lit(unit_factor)
         cond = promo_is(promo, label, collation)
         expr = F.when(cond, value) if expr is None else expr.when(cond, value)
-    if convention == "r":
-        expr = expr.otherwise(F.lit(0).cast("bigint"))
-    return _times_units(expr, qty)
+    return expr.otherwise(F.lit(0).cast("bigint")) if convention == "r" else expr
+
+
+def revenue_after_e4(price=PRICE_COL, qty=QTY_AFTER, promo=PROMO_COL,
+                     convention: str = "sql", collation: str | None = None) -> Column:
+    """K2 in 1/10000 units. Names its rate twice (see ``with_kpi_units`` for a form that computes it once)."""
+    return _times_units(after_rate(price_cents(price), promo, convention, collation), _col(qty))
 
 
 def e4_to_money(units: Column) -> Column:
@@ -212,16 +214,18 @@ def with_kpis(df: DataFrame, convention: str = "r", collation: str | None = None
 
 
 def with_kpi_units(df: DataFrame, convention: str = "r", collation: str | None = None) -> DataFrame:
-    """The aggregation form of K1-K5, K3, K8: money as ``*_e4`` columns."""
-    return df.withColumns({
-        "revenue_before_e4": revenue_before_e4(),
-        "revenue_after_e4": revenue_after_e4(convention=convention, collation=collation),
+    """The aggregation form of K1-K5, K3, K8: money as ``*_e4`` columns. Cents and rate are columns of a projection
+    below, so that neither is computed more than once a row."""
+    rated = df.withColumn("_cents", price_cents()).withColumn("_rate", after_rate(F.col("_cents"), convention=convention, collation=collation))
+    return rated.withColumns({
+        "revenue_before_e4": _times_units(F.col("_cents") * F.lit(100), _col(QTY_BEFORE)),
+        "revenue_after_e4": _times_units(F.col("_rate"), _col(QTY_AFTER)),
         "sold_units_after_promo": sold_units_after(convention=convention, collation=collation),
     }).withColumns({
         "incremental_sold_units": incremental_sold_units("sold_units_after_promo"),
         "incremental_revenue_e4": F.col("revenue_after_e4") - F.col("revenue_before_e4"),
         "margin_per_unit": margin_per_unit(),
-    })
+    }).drop("_cents", "_rate")
 
 
 def with_unit_kpis(df: DataFrame, convention: str = "r", collation: str | None = None) -> DataFrame:
@@ -233,9 +237,10 @@ def with_unit_kpis(df: DataFrame, convention: str = "r", collation: str | None =
 
 def with_metric_evaluation(kpi_df: DataFrame, collation: str | None = None,
                            convention: str = "r") -> DataFrame:
-    """Add K3, K8, K9 to a KPI fact."""
+    """Add K3, K8, K9 to a KPI fact. K8 divides the revenue that the fact already has (an exact DECIMAL, whose
+    nearest double is that of its 1/10000 units), so the pricing rules are not evaluated again."""
     return kpi_df.withColumns({
         "incremental_revenue": incremental_revenue(),
-        "margin_per_unit": margin_per_unit(revenue_after_e4(convention=convention, collation=collation)),
+        "margin_per_unit": F.try_divide(F.col("revenue_after_promo").cast("double"), F.col(QTY_AFTER).cast("double")),
         "discount_depth": discount_depth(collation=collation),
     })

@@ -4,7 +4,9 @@
   partition keeps k rows, one task merges them.
 * ``top_n_per_group``: ``row_number`` per group; Spark inserts a
   WindowGroupLimit before the shuffle.
-* ``global_rank``: rank/row number over the whole frame without a
+* ``global_rank``: rank/row number over the whole frame, in one of two physical
+  forms. Up to ``ONE_TASK_ROWS`` rows, known from a bound that the caller has
+  measured or counted on the written input, one task sorts them. Beyond, no
   single-partition window: range-partition on the order keys, number rows
   inside each range, add the row count of all earlier ranges (a table of one
   row per range); ranks with ties take the first row number of their tie group.
@@ -35,10 +37,19 @@ def _orders(cols: list[str], descending) -> list[Column]:
     return [F.desc_nulls_last(c) if d else F.asc_nulls_last(c) for c, d in zip(cols, desc)]
 
 
+#: Rows that one task may sort and number: narrow rows, some 100 MB.
+ONE_TASK_ROWS = 1_000_000
+
+
 def global_rank(df: DataFrame, cols: list[str], name: str, method: str = "rank",
-                descending=False, num_ranges: int | None = None) -> DataFrame:
-    """Rank over the whole frame by ``cols`` (NULLs last) without a
-    single-partition window. ``descending``: one flag or one per column.
+                descending=False, num_ranges: int | None = None, at_most: int | None = None,
+                one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """Rank over the whole frame by ``cols`` (NULLs last). ``descending``: one flag or one per column.
+
+    ``at_most``: rows that ``df`` has at most, where the caller has measured that (e.g. groups by a dimension's
+    attribute are no more than its rows). Up to ``one_task_rows`` the rank is a plain window and no job runs. Without
+    such a bound the input is written and counted, and the form chosen by the count. Both forms give the same ranks;
+    row numbers too, if ``cols`` are unique.
 
     ``row_number``: ties broken by ``cols`` in order (make them unique).
     ``rank`` (gaps after ties): a row number over ``cols`` plus a per-row id,
@@ -46,13 +57,19 @@ def global_rank(df: DataFrame, cols: list[str], name: str, method: str = "rank",
     number of each tie group (partially aggregated: a hot tie costs one row per
     task) is joined back as the rank.
 
-    The scheme reads its input several times (range totals, numbering, tie
+    The range scheme reads its input several times (range totals, numbering, tie
     groups), so the range-partitioned input is always written to the shared
     checkpoint folder first (a job that runs while the plan is built): the
     branches must see the same ranges, whatever the optimiser reuses, and the
     plan that produced it runs once."""
     assert method in ("rank", "row_number")
     order = _orders(cols, descending)
+    if at_most is None and num_ranges is None and one_task_rows:
+        df = materialize(df, "to-rank")
+        at_most = df.count()
+    if at_most is not None and at_most <= one_task_rows and num_ranges is None:
+        number = F.rank() if method == "rank" else F.row_number()
+        return df.withColumn(name, number.over(Window.orderBy(*order)).cast("bigint"))
     if method == "rank":
         df = df.withColumn("_rid", F.monotonically_increasing_id())
         order = order + [F.asc("_rid")]
@@ -90,8 +107,9 @@ def axis_order(df: DataFrame, label: str, y: str, name: str = "axis_position",
     ``df`` is read twice (means, then the rows the positions attach to), so it
     is written once (while the plan is built) and its plan does not run twice."""
     df = materialize(df, "axis-input")
+    rows = df.count()           # no more labels than rows
     means = df.groupBy(label).agg(F.avg(F.col(y).cast("double")).alias("_mean"))
-    pos = global_rank(means, ["_mean", label], name, method="row_number",
-                      num_ranges=num_ranges).drop("_mean")
+    pos = global_rank(means, ["_mean", label], name, method="row_number", num_ranges=num_ranges,
+                      at_most=rows if rows <= ONE_TASK_ROWS else None).drop("_mean")
     pos = pos.withColumnRenamed(label, "_label_o")
     return df.join(pos, F.col(label).eqNullSafe(F.col("_label_o")), "left").drop("_label_o")

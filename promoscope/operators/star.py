@@ -52,15 +52,20 @@ DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD = 32           # bytes of an in-memory row besides its values
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Size of ``df`` in memory, about: a row's overhead, 8 bytes a column and the text lengths.
+def measured_size(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df`` and its size in memory, about: a row's overhead, 8 bytes a column and the text lengths.
 
     One aggregation with map-side sums: a task sends one row whatever it reads."""
     size = F.lit(ROW_OVERHEAD + 8 * len(df.columns)).cast("long")
     for f in df.schema.fields:
         if not isinstance(f.dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
             size = size + F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0))
-    return int(df.agg(F.sum(size)).first()[0] or 0)
+    got = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+    return got[0], int(got[1] or 0)
+
+
+def measured_bytes(df: DataFrame) -> int:
+    return measured_size(df)[1]
 
 
 def sized_broadcast(df: DataFrame, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
@@ -68,14 +73,19 @@ def sized_broadcast(df: DataFrame, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES)
     return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
 
 
-def dim_is_small(star: RetailStar, name: str, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> bool:
-    """Whether a dimension of ``star`` measures at most ``max_bytes``. Measured once per DataFrame: a star over a
-    re-read dimension measures it anew, even where it shares the memo."""
+def dim_size(star: RetailStar, name: str) -> tuple[int, int]:
+    """Rows and bytes of a dimension of ``star``. Measured once per DataFrame: a star over a re-read dimension
+    measures it anew, even where it shares the memo."""
     df = getattr(star, name)
-    known = star.memo.get(("bytes", name))
+    known = star.memo.get(("size", name))
     if known is None or known[0] is not df:
-        known = star.memo[("bytes", name)] = (df, measured_bytes(df))
-    return known[1] <= max_bytes
+        known = star.memo[("size", name)] = (df, measured_size(df))
+    return known[1]
+
+
+def dim_is_small(star: RetailStar, name: str, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> bool:
+    """Whether a dimension of ``star`` measures at most ``max_bytes``."""
+    return dim_size(star, name)[1] <= max_bytes
 
 
 def star_dim(star: RetailStar, name: str, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:

@@ -30,7 +30,7 @@ from promoscope.functions import kpi
 from promoscope.functions.labels import millions_label, thousands_label
 from promoscope.operators import ranking, reshape, stats
 from promoscope.operators.star import (
-    attach_scalar, dim_is_small, enrich, inner_join, left_join_null_safe, star_dim,
+    attach_scalar, dim_is_small, dim_size, enrich, inner_join, left_join_null_safe, star_dim,
 )
 from promoscope.sources.star import RetailStar
 
@@ -121,7 +121,7 @@ def _pct_of(num: Column, den: Column) -> Column:
 
 
 def q1_high_value_bogof(star: RetailStar, min_price: int = 500, promo: str = "BOGOF") -> DataFrame:
-    f = star.fact_events.where((F.col("promo_type") == promo) & (F.col("base_price") > F.lit(min_price)))
+    f = star.fact_events.where(star.text_is("promo_type", promo) & (F.col("base_price") > F.lit(min_price)))
     pairs = f.select("product_code", "base_price").distinct()
     j = inner_join(pairs, star.dim_products.select("product_code", "product_name"), "product_code")
     return j.select("product_name", "base_price").distinct()
@@ -142,14 +142,15 @@ def q3_campaign_revenue(star: RetailStar) -> DataFrame:
 
 
 def q4_campaign_isu_rank(star: RetailStar, campaign_name: str) -> DataFrame:
-    camp = star.dim_campaigns.where(F.col("campaign_name") == campaign_name).select("campaign_id")
+    camp = star.dim_campaigns.where(star.text_is("campaign_name", campaign_name)).select("campaign_id")
     if dim_is_small(star, "dim_campaigns"):
         camp = F.broadcast(camp)
     f = inner_join(unit_kpis(star, "sql"), camp, "campaign_id")
     t = _by_attribute(star, f, "dim_products", "product_code", [], ["category"],
                       ["_isu_sum", "_qb"], "inner")
     t = t.select("category", pct2(F.col("_isu_sum"), F.col("_qb")).alias("ISU_Percent"))
-    return ranking.global_rank(t, ["ISU_Percent"], "rank_order", method="rank", descending=True)
+    return ranking.global_rank(t, ["ISU_Percent"], "rank_order", method="rank", descending=True,
+                               at_most=dim_size(star, "dim_products")[0])       # no more categories than products
 
 
 def q5_top5_products_ir(star: RetailStar, k: int = 5) -> DataFrame:

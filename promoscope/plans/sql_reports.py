@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from promoscope.functions.kpi import PROMO_RULES
-from promoscope.operators.star import star_dim
+from promoscope.operators.ranking import ONE_TASK_ROWS, global_rank
+from promoscope.operators.star import dim_size, star_dim
 from promoscope.sources.star import RetailStar
 
 
@@ -59,7 +60,7 @@ SELECT c.campaign_name,
 FROM {{campaigns}} c JOIN totals x ON x.campaign_id = c.campaign_id
 GROUP BY 1"""
 
-Q4 = f"""WITH by_product AS (
+Q4_CATEGORIES = f"""WITH by_product AS (
   SELECT f.product_code, SUM(f.quantity_sold_before_promo) AS before,
          SUM(IF(f.promo_type = 'BOGOF', f.quantity_sold_after_promo * 2, f.quantity_sold_after_promo)
              - f.quantity_sold_before_promo) AS isu
@@ -70,8 +71,8 @@ by_category AS (
   SELECT p.category, {_pct2("SUM(x.isu)", "SUM(x.before)")} AS ISU_Percent
   FROM {{products}} p JOIN by_product x ON x.product_code = p.product_code
   GROUP BY 1)
-SELECT category, ISU_Percent, CAST(RANK() OVER (ORDER BY ISU_Percent DESC NULLS LAST) AS BIGINT) AS rank_order
-FROM by_category"""
+SELECT category, ISU_Percent{{rank}} FROM by_category"""
+Q4 = Q4_CATEGORIES.replace("{rank}", ", CAST(RANK() OVER (ORDER BY ISU_Percent DESC NULLS LAST) AS BIGINT) AS rank_order")
 
 Q5 = f"""WITH {_totals_cte("product_code")}
 SELECT p.product_name, p.category,
@@ -103,11 +104,14 @@ def q3_sql(star: RetailStar) -> DataFrame:
     return _run(star, Q3)
 
 
-def q4_sql(star: RetailStar, campaign_name: str) -> DataFrame:
-    """W1 here is SQL's ``RANK() OVER (ORDER BY ..)``: one task over the
-    aggregated categories (bounded by the category count); the DataFrame
-    version uses the distributed ``ranking.global_rank``."""
-    return _run(star, Q4, {"campaign": campaign_name})
+def q4_sql(star: RetailStar, campaign_name: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """W1 here is SQL's ``RANK() OVER (ORDER BY ..)``, one task over the aggregated categories, as long as the product
+    dimension measures at most ``one_task_rows`` rows (there are no more categories); beyond, the categories of the
+    SQL text are ranked by ``ranking.global_rank``."""
+    if dim_size(star, "dim_products")[0] <= one_task_rows:
+        return _run(star, Q4, {"campaign": campaign_name})
+    groups = _run(star, Q4_CATEGORIES.replace("{rank}", ""), {"campaign": campaign_name})
+    return global_rank(groups, ["ISU_Percent"], "rank_order", method="rank", descending=True, one_task_rows=one_task_rows)
 
 
 def q5_sql(star: RetailStar, k: int = 5) -> DataFrame:

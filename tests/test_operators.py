@@ -1,11 +1,16 @@
 """Distributed operators against brute force (numpy/pandas) on skewed data."""
 
+import random
+
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from promoscope.operators import ranking, stats
+from promoscope.plans import reports as R
+from tests.conftest import make_star
 
 
 def _skewed(n=3000, seed=1):
@@ -104,3 +109,49 @@ def test_rank_with_a_hot_tie_and_nulls(spark):
     got = ranking.global_rank(df, ["v"], "r", "rank", descending=True, num_ranges=5).toPandas()
     exp = pdf.v.rank(method="min", ascending=False, na_option="bottom").astype(int)
     assert (got.set_index("k").r.sort_index().values == exp.values).all()
+
+
+@pytest.mark.parametrize("method", ["rank", "row_number"])
+def test_both_forms_of_the_global_rank_agree(spark, method):
+    """One task up to the bound, ranges beyond; the bound may be given or counted."""
+    from promoscope.operators.ranking import global_rank
+    rng = random.Random(7)
+    rows = [(i, rng.choice([None, 1.5, 2.5, float(rng.randint(0, 30))])) for i in range(400)] + [(1000 + i, 9.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, v double").repartition(5)
+    cols = ["v"] if method == "rank" else ["v", "id"]
+    rank = lambda **how: sorted(map(tuple, global_rank(df, cols, "r", method, descending=True, **how).collect()), key=str)
+    forms = [rank(), rank(at_most=600), rank(at_most=600, one_task_rows=599), rank(one_task_rows=10), rank(one_task_rows=0)]
+    assert all(f == forms[0] for f in forms) and len(forms[0]) == 600
+    plans = [global_rank(df, cols, "r", method, at_most=600, one_task_rows=n)._jdf.queryExecution().executedPlan().toString() for n in (600, 599)]
+    assert "rangepartitioning" not in plans[0] and "SinglePartition" in plans[0]
+    assert "Window [row_number() windowspecdefinition(v" not in plans[1]
+
+
+def test_sql_rank_beyond_its_bound(spark):
+    """The SQL form of Q4 gives its ranks to the range scheme when the categories may be many."""
+    from promoscope.plans.sql_reports import q4_sql
+    star = make_star(spark, [(f"e{i}", "S1", "C1", f"P{i % 3 + 1}", 10, "BOGOF", 5 + i, 7) for i in range(9)])
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(q4_sql(star, "Tulip Week")) == rows(q4_sql(star, "Tulip Week", one_task_rows=2)) == rows(R.q4_campaign_isu_rank(star, "Tulip Week"))
+
+
+def _ordered(rows, *keys):
+    """Rows stand in the order of the keys; ``-`` before a name: descending, NULL last either way."""
+    def place(r):
+        out = []
+        for k in keys:
+            v = r[k.lstrip("-")]
+            out += [v is None, 0 if v is None else -v if k.startswith("-") else v]
+        return out
+    return [place(r) for r in rows] == sorted(place(r) for r in rows)
+
+
+@pytest.mark.parametrize("report,keys", [
+    ("q2_stores_by_city", ("-no_of_stores", "city")), ("q5_top5_products_ir", ("-IR_Percent", "product_name")),
+    ("top10_stores_ir", ("-total_incremental_revenue", "store_id")), ("bottom10_stores_ir", ("total_incremental_revenue", "store_id")),
+    ("bottom10_stores_isu", ("total_incremental_sold_units", "store_id")), ("top10_stores_isu", ("-total_incremental_sold_units", "store_id")),
+    ("campaign_promo_analysis", ("campaign_name", "-Quantity_before_promo"))])
+def test_reports_come_in_their_order(spark, sf_small, report, keys):
+    from promoscope.plans.catalog import star_for
+    rows = getattr(R, report)(star_for(spark, sf_small)).collect()
+    assert len(rows) > 1 and _ordered(rows, *keys)
