@@ -161,7 +161,7 @@ def edited_by_next(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     base = base.select("key", "text", *[F.xxhash64(F.lit(k), F.col("key").isNull(), F.col("key").cast("string"), F.col("text")).alias(f"h{k}")
                                         for k in (1, 2)])
     ids = base.select("key", "h1", "h2", F.char_length("text").cast("long").alias("n")).distinct()
-    ranked = scratch.write(global_rank(ids, ["key", "h1", "h2"], "place", "row_number", descending=[True, False, False]), "places")
+    ranked = scratch.write(global_rank(ids, ["key", "h1", "h2"], "place", "row_number", descending=[True, False, False], one_task_rows=0), "places")
     total = ranked.count()
     asks = ranked.select((F.col("place") % F.lit(max(total, 1)) + 1).alias("place"), F.col("h1").alias("to1"), F.col("h2").alias("to2"),
                          F.floor(F.col("n") / 3).cast("int").alias("need"))
