@@ -18,9 +18,16 @@ by the rarest shingles among themselves.
 all members against it: those within the radius are linked to it. By the
 triangle inequality only members in the window ``distance - radius`` of the
 nearest outsider can link to an outsider; each outsider looks for one partner
-among them. Outsiders without a partner are the next round's region. Small
-regions are compared pair by pair; a pair must share as many regions as the
-slack asks before its sets are fetched.
+among them. Outsiders without a partner are the next round's region, for
+``ROUNDS`` rounds; what is left then, and every small cell, is cut into rings by the
+distance to its last pivot, a radius wide. Texts of one ring can only be similar to
+texts of the same and the next ring, so each ring is compared with those two, in
+blocks of ``BLOCK`` texts.
+
+*Comparison*: sets travel to blocks, never with pairs. Pairs of texts that share
+enough regions are dealt out by their neighbourhoods (a text's least candidate), so
+that the members of a group meet in one block or a grid of blocks; a task compares
+what is not connected yet and returns a spanning forest.
 
 Equal sets are one node from the start, and regions with the same members are
 one region. What is returned is the class of every document, never its pairs.
@@ -37,6 +44,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -50,7 +58,10 @@ WORDS, SIMILARITY = 5, 80         # words in a shingle; per cent
 HOT = 64                          # texts in a region from which it counts as hot
 LEAF = 8                          # members up to which a region among the heavy texts is compared pair by pair
 SLICE = 32                        # outsiders of a cell that one task compares with the members on its border
-BLOCK = 512                       # members without a partner up to which a cell is compared pair by pair
+BLOCK = 512                       # texts on either side of a block comparison
+ROUNDS = 2                        # pivots that a region has in turn
+_SETS_A_TASK = 2_000              # sets that small cells bring to a task
+_COLUMNS = 8_192                  # shingles that a block comparison counts at a time
 
 
 @dataclass(frozen=True)
@@ -149,11 +160,11 @@ def _inner_regions(rows: DataFrame, sets: DataFrame, spec: Spec, scratch: Scratc
     A round gives every region a pivot; regions with the same pivot become one cell. Members near the pivot are
     linked to it and so to each other. Of the others, each needs one partner among them, found by a semi-join in
     which only members within a radius of the nearest outsider take part; what then has no partner is compared
-    with the outsiders that have one, and with itself in the next round."""
-    links = [_leaf(rows.filter(F.col("members") <= LEAF), sets, spec)]
-    radius, k = 1 - spec.percent / 100 + 1e-9, 0
+    with the outsiders that have one, and with itself in the next round, or in rings after the last one."""
+    links = [_forest(_pairs(rows.filter(F.col("members") <= LEAF), spec).select("a", "b"), sets, spec, scratch, "leaf")]
+    radius = 1 - spec.percent / 100 + 1e-9
     large = rows.filter(F.col("members") > LEAF).select("key", "cid")
-    while True:
+    for k in range(ROUNDS):
         large = scratch.write(large, f"inner-{k}")
         rows_now = large.count()
         if not rows_now:
@@ -174,9 +185,10 @@ def _inner_regions(rows: DataFrame, sets: DataFrame, spec: Spec, scratch: Scratc
         links += [tied.select("a", "b"), _partnered(alone, tied, sets, spec, radius).select("a", "b")]
         size = alone.groupBy("b").agg(F.count("*").alias("members"))
         rest = alone.join(size, "b").select(F.col("b").alias("key"), F.col("a").alias("cid"), "far", "members")
-        links.append(_window_leaf(rest.filter(F.col("members") <= BLOCK), sets, spec, radius))
+        last = k == ROUNDS - 1
+        links.append(_rings(rest if last else rest.filter(F.col("members") <= BLOCK), sets, spec, scratch, radius, f"rings-{k}"))
         large = rest.filter(F.col("members") > BLOCK).select("key", "cid")
-        k += 1
+    return links
 
 
 def _partnered(some: DataFrame, others: DataFrame, sets: DataFrame, spec: Spec, radius: float) -> DataFrame:
@@ -196,35 +208,118 @@ def _partnered(some: DataFrame, others: DataFrame, sets: DataFrame, spec: Spec,
     return mine.join(theirs, fits, "left_semi").select("a", "b", "far")
 
 
-def _pair_links(pairs: DataFrame, sets: DataFrame, spec: Spec, scratch: Scratch) -> list[DataFrame]:
-    """Links that connect the similar ones of the pairs (a, b, shared). First every text is compared with the one it
-    shares most regions with; pairs of texts that are then linked to the same one, or to each other, are connected
-    already and are not compared again."""
-    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("p"), "shared").union(pairs.select("b", "a", "shared"))
-    best = both.groupBy("x").agg(F.max_by("p", F.struct("shared", -F.col("p"))).alias("p"))
-    found = _measure(best.select(F.col("x").alias("a"), F.col("p").alias("b")), sets)
-    near = scratch.write(found.filter(spec.similar(F.col("na"), F.col("nb"), F.col("common"))).select("a", "b"), "best")
-    to = lambda c: near.select(F.col("a").alias(c), F.col("b").alias(f"to_{c}"))
-    pa, pb = F.coalesce("to_a", F.col("a")), F.coalesce("to_b", F.col("b"))
-    rest = (pairs.select("a", "b").join(to("a"), "a", "left").join(to("b"), "b", "left")
-            .filter((pa != pb) & (pa != F.col("b")) & (pb != F.col("a"))).select("a", "b"))
-    found = _measure(rest, sets)
-    return [near, found.filter(spec.similar(F.col("na"), F.col("nb"), F.col("common"))).select("a", "b")]
-
-
-def _leaf(rows: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
-    found = _measure(_pairs(rows, spec).select("a", "b"), sets)
-    return found.filter(spec.similar(F.col("na"), F.col("nb"), F.col("common"))).select("a", "b")
-
-
-def _window_leaf(rows: DataFrame, sets: DataFrame, spec: Spec, radius: float) -> DataFrame:
-    """Pairs of a small cell's members whose distances to the pivot differ by the radius at most."""
-    a = rows.select("key", F.col("cid").alias("a"), F.col("far").alias("fa"))
-    b = rows.select("key", F.col("cid").alias("b"), F.col("far").alias("fb"))
-    pairs = (a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.abs(F.col("fa") - F.col("fb")) <= radius))
-             .select("a", "b").distinct())
-    found = _measure(pairs, sets)
-    return found.filter(spec.similar(F.col("na"), F.col("nb"), F.col("common"))).select("a", "b")
+class _Union:
+    """Connected numbers."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.root(y)] = self.root(x)
+
+
+def _compare_listed(g: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links that connect the similar ones of the listed pairs: rows (cid, n, keys, partners)."""
+    sets, size = dict(zip(g["cid"], g["keys"])), dict(zip(g["cid"], g["n"]))
+    united, out = _Union(), []
+    for a, partners in zip(g["cid"], g["partners"]):
+        for b in partners:
+            if united.root(a) == united.root(b):
+                continue
+            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if common * 100 >= (size[a] + size[b] - common) * percent:
+                united.join(a, b)
+                out.append((a, b))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _forest(pairs: DataFrame, sets: DataFrame, spec: Spec, scratch: Scratch, name: str) -> DataFrame:
+    """Links that connect the similar ones of the pairs (a, b). A pair goes to the cell of its texts' least candidates:
+    the pairs of a group of alike texts so fall into one cell, which is a grid of blocks if it is large, and a set is
+    sent to a block once for all its pairs there."""
+    pairs = scratch.write(pairs, f"{name}-pairs")
+    both = pairs.union(pairs.select("b", "a"))
+    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
+    placed = (pairs.join(least.withColumnRenamed("least", "x"), "a")
+              .join(least.select(F.col("a").alias("b"), F.col("least").alias("y")), "b"))
+    # how many blocks a cell needs may be estimated: it decides where pairs meet, not which
+    size = placed.groupBy("x", "y").agg(F.ceil(F.approx_count_distinct("a") / BLOCK).cast("int").alias("rows"),
+                                        F.ceil(F.approx_count_distinct("b") / BLOCK).cast("int").alias("cols"))
+    tasks = max(1, pairs.count() // _SETS_A_TASK)
+    spread = lambda c, n: F.pmod(F.xxhash64(F.lit(5), c), F.greatest(F.col(n), F.lit(1))).cast("int")
+    cell = F.xxhash64("x", "y")
+    placed = placed.join(size, ["x", "y"]).select(
+        "a", "b", spread("a", "rows").alias("i"), spread("b", "cols").alias("j"),
+        F.when((F.col("rows") > 1) | (F.col("cols") > 1), cell).otherwise(F.pmod(cell, F.lit(tasks))).alias("cell"))
+    members = (placed.select("cell", "i", "j", F.col("a").alias("cid"), F.col("b").alias("partner"))
+               .union(placed.select("cell", "i", "j", "b", F.lit(None).cast("long")))
+               .groupBy("cell", "i", "j", "cid").agg(F.collect_list("partner").alias("partners")))
+    percent = spec.percent
+    return (members.join(sets, "cid").groupBy("cell", "i", "j")
+            .applyInPandas(lambda g: _compare_listed(g, percent), "a long, b long"))
+
+
+def _common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common elements of every two sets of two lists."""
+    everything = np.concatenate([*left, *right])
+    names, code = np.unique(everything, return_inverse=True)
+    row = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    often = np.flatnonzero(np.bincount(code, minlength=len(names)) > 1)
+    place = np.full(len(names), -1)
+    place[often] = np.arange(len(often))
+    code = place[code]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)       # counts under 2^24 are exact
+    for low in range(0, len(often), _COLUMNS):
+        some = (code >= low) & (code < low + _COLUMNS)
+        table = np.zeros((len(left) + len(right), min(_COLUMNS, len(often) - low)), dtype=np.float32)
+        table[row[some], code[some] - low] = 1
+        out += table[: len(left)] @ table[len(left):].T
+    return out
+
+
+def _compare_rings(g: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links that connect all similar texts of the blocks in ``g``: rows (key, ring, own, cid, n, keys)."""
+    out = []
+    for _, block in g.groupby(["key", "ring"], sort=False):
+        left, right = block[block["own"]], block[~block["own"]]
+        if not len(left) or not len(right):
+            continue
+        common = _common_counts(list(left["keys"]), list(right["keys"]))
+        na, nb = left["n"].to_numpy(np.int64)[:, None], right["n"].to_numpy(np.int64)[None, :]
+        a, b = left["cid"].to_numpy(), right["cid"].to_numpy()
+        near = common.astype(np.int64) * 100 >= (na + nb - common.astype(np.int64)) * percent
+        united = _Union()
+        for x, y in zip(*np.nonzero(near)):
+            if united.root(int(a[x])) != united.root(int(b[y])):
+                united.join(int(a[x]), int(b[y]))
+                out.append((a[x], b[y]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _rings(rows: DataFrame, sets: DataFrame, spec: Spec, scratch: Scratch, radius: float, name: str) -> DataFrame:
+    """Links that connect all similar texts of each cell. ``rows``: (key, cid, far), ``far`` the distance to the cell's
+    pivot. Two texts are only similar if their distances differ by the radius at most, so a text meets those of its own
+    ring and of the next; rings of any size are cut into a grid of blocks."""
+    ring = F.floor(F.col("far") / radius).cast("int")
+    own = scratch.write(rows.select("key", "cid", ring.alias("ring")), f"{name}-texts")
+    guests = own.union(own.select("key", "cid", F.col("ring") - 1))        # whom a ring's texts are compared with
+    number = lambda df, c: df.groupBy("key", "ring").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(c))
+    size = number(own, "rows").join(number(guests, "cols"), ["key", "ring"])
+    tasks = max(1, own.count() // _SETS_A_TASK)
+    spread = lambda n: F.pmod(F.xxhash64(F.lit(6), "cid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = own.join(size, ["key", "ring"]).select("key", "ring", "cid", "rows", "cols", F.lit(True).alias("own"), spread("rows").alias("i"), every("cols").alias("j"))
+    right = guests.join(size, ["key", "ring"]).select("key", "ring", "cid", "rows", "cols", F.lit(False).alias("own"), every("rows").alias("i"), spread("cols").alias("j"))
+    cell = F.xxhash64("key", "ring")
+    both = left.unionByName(right).withColumn("cell", F.when((F.col("rows") > 1) | (F.col("cols") > 1), cell).otherwise(F.pmod(cell, F.lit(tasks))))
+    percent = spec.percent
+    return (both.select("cell", "i", "j", "key", "ring", "own", "cid").join(sets, "cid").groupBy("cell", "i", "j")
+            .applyInPandas(lambda g: _compare_rings(g, percent), "a long, b long"))
 
 
 def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
@@ -233,12 +328,16 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", words
     spark, spec = docs.sparkSession, Spec(words, percent)
     scratch = Scratch(spark, "ngram-join")
     base = docs.select(F.col(key).alias("key_"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text_"))
-    every = scratch.write(_sets(base, "text_", spec, whole=False), "windows")
-    classes = (every.filter("n > 0").groupBy("k1", "k2", "n")
+    windows = scratch.write(_sets(base, "text_", spec, whole=False), "windows")
+    every = scratch.write(windows.drop("keys"), "rows")
+    classes = (windows.filter("n > 0").groupBy("k1", "k2", "n")
                .agg(F.min("key_").alias("rep"), F.min_by("text_hash", F.struct(F.col("key_").isNull(), "key_")).alias("rep_hash"),
                     F.count("*").alias("copies"), F.first("keys").alias("keys")))
-    classes = scratch.write(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    rows = _regions(classes.select(F.explode("keys").alias("key"), "cid", "n"), scratch, "outer")
+    named = scratch.write(classes.withColumn("cid", F.monotonically_increasing_id()), "named")
+    scratch.drop("windows")
+    classes = scratch.write(named.drop("keys"), "classes")
+    rows = _regions(named.select(F.explode("keys").alias("key"), "cid", "n"), scratch, "outer")
+    scratch.drop("named", "outer-keys")
 
     # what a text's slack covers, against the hot regions it is in; the smallest similar text has the least slack
     hot = (rows.groupBy("cid", "n").agg(F.sum(F.when(F.col("members") > HOT, F.col("weight")).otherwise(0)).alias("hot")))
@@ -251,8 +350,9 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", words
     # similar texts share 1 + slack regions, of which at most the smaller hot count is missing here
     enough = (F.least(spec.slack(F.col("n_a")), spec.slack(F.col("n_b"))) + 1 - F.least("hot_a", "hot_b"))
     pairs = (pairs.join(size("a"), "a").join(size("b"), "b").join(of("a"), "a").join(of("b"), "b")
-             .filter(F.col("shared") >= enough).select("a", "b", "shared"))
+             .filter(F.col("shared") >= enough).select("a", "b"))
     pairs = scratch.write(pairs, "pairs")
+    scratch.drop("outer-rows")
     heavy = state.filter("heavy").select("cid")
 
     # whole sets, only of the texts that are compared
@@ -266,7 +366,7 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", words
             .dropDuplicates(["cid"]).select("cid", "n", "keys"))
     sets = scratch.write(sets, "sets")
 
-    links = _pair_links(pairs, sets, spec, scratch)
+    links = [scratch.write(_forest(pairs, sets, spec, scratch, "outer"), "outer-links")]
     if not heavy.isEmpty():
         # recursion: among the heavy texts, regions by their rarest shingles
         full = sets.join(heavy, "cid", "left_semi")
@@ -282,6 +382,7 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", words
     for more in links[1:]:
         all_links = all_links.union(more)
     parts = connected_components(all_links, scratch)
+    scratch.drop("sets", "asked", "pairs", "outer-pairs", "outer-links")
 
     known = (classes.select("cid", "k1", "k2", "rep", "copies").join(parts.withColumnRenamed("id", "cid"), "cid", "left")
              .withColumn("component", F.coalesce("component", "cid")))

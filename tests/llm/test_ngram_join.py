@@ -75,6 +75,7 @@ def test_dense_group_of_variants(spark, monkeypatch):
     """Many variants of one text: a large inner region with members beyond the radius of the first pivot."""
     monkeypatch.setattr(J, "HOT", 8)
     monkeypatch.setattr(J, "BLOCK", 8)
+    monkeypatch.setattr(J, "_SETS_A_TASK", 5)
     rnd = random.Random(9)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -88,6 +89,27 @@ def test_dense_group_of_variants(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute(rows, 4, 85)
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_filled_in_templates(spark, percent):
+    """More texts of one template than a block holds, each two of likeness 0.83: pivots tell nothing apart, so the
+    rounds are few and the rings compare in blocks. No links at 85 per cent, one class at 80."""
+    shared = [f"w{i}" for i in range(270)]
+    rows = [(i, " ".join(shared[:135] + [f"x{i}_{k}" for k in range(28)] + shared[135:])) for i in range(J.BLOCK + 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = {r.doc_id: r.component_id for r in J.near_classes(df, words=4, percent=percent).collect()}
+    sets = [set(t.split()[i:i + 4][0] + "".join(t.split()[i:i + 4]) for i in range(295)) for _, t in rows[:2]]
+    assert 0.80 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85
+    assert got == {i: i if percent == 85 else 0 for i, _ in rows}
+
+
+def test_counts_of_common_elements():
+    rnd = random.Random(2)
+    import numpy as np
+    sets = [np.unique(np.array([rnd.randrange(300) for _ in range(rnd.randrange(1, 90))])) for _ in range(40)]
+    got = J._common_counts(sets[:25], sets[10:])
+    assert [[len(np.intersect1d(a, b)) for b in sets[10:]] for a in sets[:25]] == got.astype(int).tolist()
+
+
 def test_one_of_each(spark):
     rows = [(1, "a b c d e f g", "x"), (2, "a b c d e f g", "y"), (3, None, "z"), (4, " ", "z"), (1, "a b c d e f g", "x"), (5, "q r s t u v w", "p")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n string")
