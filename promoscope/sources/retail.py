@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promoscope import schemas
-from promoscope.sources import dump, spans
+from promoscope.sources import dump, layout, spans
+from promoscope.sources.layout import read_parquet_star  # noqa: F401
 from promoscope.sources.star import RetailStar
 
 DAY_FIRST = "dd-MM-yyyy"
@@ -118,18 +119,6 @@ def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType, renames
     return raw.select(*cols, *([lost.alias(unparsed)] if unparsed else []))
 
 
-def read_parquet_star(spark: SparkSession, root: str) -> RetailStar:
-    """S3: four Parquet folders under ``root``, named like the tables."""
-    def load(name, schema):
-        df = spark.read.parquet(f"{root.rstrip('/')}/{name}")
-        df = df.withColumnsRenamed({k: v for k, v in schemas.RAW_QTY_RENAMES.items() if k in df.columns})
-        return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-    return RetailStar(load("fact_events", schemas.FACT_EVENTS),
-                      load("dim_campaigns", schemas.DIM_CAMPAIGNS),
-                      load("dim_products", schemas.DIM_PRODUCTS),
-                      load("dim_stores", schemas.DIM_STORES))
-
-
 def write_csv_star(star: RetailStar, root: str, date_format: str = DAY_FIRST,
                    tables=("fact_events", "dim_campaigns", "dim_products", "dim_stores")) -> None:
     """CSV copy of the star in the shipped layout: day-first dates and the raw
@@ -197,8 +186,8 @@ def write_insert_tuples(df: DataFrame, path: str, table: str) -> None:
 def write_report(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None) -> None:
     """A report's sink. Reports are DataFrames; writing one is a parallel
     job (one file per task), never a collect. ``partition_by`` lays the output
-    out by a column (e.g. ``campaign_id`` for a fact) so later filters prune."""
-    w = df.write.mode("overwrite").format(fmt)
-    if partition_by:
-        w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
-    w.save(path)
+    out by a column (e.g. ``campaign_id`` for a fact) so later filters prune.
+    The report takes the place of an older one only when it is complete: a job
+    that fails midway leaves the old one as it was."""
+    by = [partition_by] if isinstance(partition_by, str) else partition_by
+    layout.replace_folder(df, path, fmt, list(by) if by else None)

@@ -8,9 +8,9 @@ sys.path.insert(0, ROOT)
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from promoscope.session import get_session, release
-    s = get_session(master="local[*]", shuffle_partitions=8)
+    s = get_session(master="local[*]", shuffle_partitions=8, extra={"spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
     yield s
     release(s)
     s.stop()
