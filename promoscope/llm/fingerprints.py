@@ -86,8 +86,9 @@ def _packed(rows: DataFrame, columns: list[Column], hashes: str, name: str) -> D
 
     mixed = F.transform(dense, lambda h, i: F.xxhash64(filled(h, i), i).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")))
     step = step.withColumn(tag + "bits", mixed)
-    packed = F.transform(F.sequence(F.lit(0), F.lit(BINS // _A_WORD - 1)), lambda w: F.aggregate(
-        F.slice(bits, w * _A_WORD + 1, F.lit(_A_WORD)), F.lit(0).cast("long"), lambda got, x: F.shiftleft(got, BITS).bitwiseOR(x)))
+    # word by word, not in one lambda: the optimiser would move ``bits`` into it and compute it for every word
+    packed = F.array(*[F.aggregate(F.slice(bits, w + 1, _A_WORD), F.lit(0).cast("long"), lambda got, x: F.shiftleft(got, BITS).bitwiseOR(x))
+                       for w in range(0, BINS, _A_WORD)])
     return step.select(*columns, packed.alias(name))
 
 
