@@ -17,8 +17,11 @@ item position) that differ by ``e`` at most. So:
 
 Texts are compared lower-cased, with runs of white space as one space; spans
 refer to the original characters. The items travel in blocks of at most
-``block_chars`` characters; each block is one narrow pass over the documents,
-so what is broadcast has a fixed bound and nothing is shuffled.
+``block_chars`` characters, one at a time, so what is broadcast has a fixed bound. One
+block is one narrow pass over the documents and nothing is shuffled; with more, each
+pass leaves the matches of the texts that have any, and these are joined to the
+documents by the text's hash at the end. A task goes through the hits of common
+q-grams ``HITS`` at a time, so repetitive texts need no more memory than others.
 
 Defined cases: NULL or empty text -> no match; NULL items and items shorter
 than ``min_chars`` are evidence of nothing and never match; repeated item ids
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +42,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promoscope.llm.common import row_pieces
+from promoscope.llm.common import Scratch, row_pieces
+from promoscope.operators.star import sized_broadcast
 
 WINDOW, RATE, Q, MIN_CHARS, BLOCK_CHARS = 100, 0.08, 10, 24, 4_000_000
+HITS = 500_000              # equal q-grams of texts and items that a task looks at together
 _SLICE = 1 << 20        # characters hashed at once
 _FILTER_BITS = 22
 
@@ -136,9 +142,9 @@ class ItemIndex:
     def longest(self) -> int:
         return max(len(t) for t in self.texts)
 
-    def hits(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Every (position in ``cp``, item, position in the item) with equal q-grams."""
-        where, which = [], []
+    def found(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The positions in ``cp`` whose q-gram the items hold, and the q-grams' numbers."""
+        where, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo in range(0, max(0, len(cp) - self.q + 1), _SLICE):
             h = _grams(cp[lo: lo + _SLICE + self.q - 1], self.q)
             p = np.flatnonzero(self.filter[h >> np.uint64(64 - _FILTER_BITS)])
@@ -146,13 +152,58 @@ class ItemIndex:
             ok = self.grams[np.minimum(k, len(self.grams) - 1)] == h[p]
             where.append(p[ok] + lo)
             which.append(k[ok])
-        if not where:
-            return (np.zeros(0, np.int64),) * 3
-        p, k = np.concatenate(where), np.concatenate(which)
+        return np.concatenate(where), np.concatenate(which)
+
+    def hits(self, p: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every (position, item, position in the item) with equal q-grams."""
         n = self.first[k + 1] - self.first[k]
         place = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return np.repeat(p, n), self.item[place], self.at[place]
 
+    def _regions(self, p: np.ndarray, k: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+        """(document, item, band, places in the item, diagonals) of every region that holds enough q-grams. Hits are
+        gone through some at a time and only counted; a region's own are looked up again."""
+        n = self.first[k + 1] - self.first[k]
+        ends = np.cumsum(n)
+        keys, counts, done = [], [], 0
+        bands = (int(starts[-1]) + 2 * self.longest) + 2
+        while done < len(p):
+            stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + HITS, "right")))
+            pos, item, at = self.hits(p[done:stop], k[done:stop])
+            doc = np.searchsorted(starts, pos, side="right") - 1
+            # each hit lies in band ``band`` and in the one before, which overlaps it (numbered from 0 on)
+            band = (pos - starts[doc] - at + self.longest) // (self.edits[item] + 1) + 1
+            key = (doc * len(self.ids) + item) * bands + band
+            u, c = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+            keys.append(u)
+            counts.append(c)
+            done = stop
+        if not keys:
+            return
+        u, back = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.zeros(len(u), dtype=np.int64)
+        np.add.at(count, back, np.concatenate(counts))
+        of = u // bands % len(self.ids)
+        enough = count >= self.need[of]
+        for key in u[enough].tolist():
+            d, i, band = key // bands // len(self.ids), key // bands % len(self.ids), key % bands - 1
+            width = int(self.edits[i]) + 1
+            low = band * width - self.longest                    # diagonals low .. low + 2 * width - 1
+            a, b = np.searchsorted(p, [starts[d] + low, starts[d] + low + 2 * width + len(self.texts[i])])
+            a = max(a, int(np.searchsorted(p, starts[d])))
+            b = min(b, int(np.searchsorted(p, starts[d + 1])))
+            at, diagonal = [], []
+            some = k[a:b]
+            for gram in np.unique(some).tolist():
+                x, y = self.first[gram], self.first[gram + 1]
+                x, y = x + np.searchsorted(self.item[x:y], [i, i + 1])
+                here = p[a:b][some == gram] - starts[d]
+                g = (here[:, None] - self.at[x:y][None, :]).ravel()
+                inside = (g >= low) & (g < low + 2 * width)
+                diagonal.append(g[inside])
+                at.append(np.broadcast_to(self.at[x:y], (len(here), y - x)).ravel()[inside])
+            yield d, i, band, np.concatenate(at), np.concatenate(diagonal)
+
     def matches(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each text its (item id, start, end, fewest edits), overlapping windows of an item joined."""
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
@@ -162,37 +213,25 @@ class ItemIndex:
         gap = np.zeros(1, dtype=np.uint32)          # a character that no folded text holds
         starts = np.cumsum([0] + [len(cp) + 1 for cp, _ in norm])
         cp = np.concatenate([x for c, _ in norm for x in (c, gap)]) if norm else gap
-        pos, item, at = self.hits(cp)
-        doc = np.searchsorted(starts, pos, side="right") - 1
-        step = self.edits[item] + 1
-        diagonal = pos - starts[doc] - at + self.longest       # never negative
-        band = diagonal // step
-        if not len(pos):
-            return out
-        # each hit lies in band ``band`` and in the one before, which overlaps it
-        pair = np.stack([doc, item, band], axis=1)
-        both = np.concatenate([pair, pair - [0, 0, 1]])
-        order = np.lexsort((both[:, 2], both[:, 1], both[:, 0]))
-        both, source = both[order], order % len(pos)
-        new = np.flatnonzero(np.r_[True, (both[1:] != both[:-1]).any(axis=1)])
-        count = np.diff(np.r_[new, len(both)])
-        enough = np.flatnonzero(count >= self.need[both[new, 1]])
         spans: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        jobs = []
-        for first, n in zip(new[enough].tolist(), count[enough].tolist()):
-            d, i, b = both[first].tolist()
+        jobs: list[tuple] = []
+
+        def align() -> None:
+            for (d, i, *_), got in zip(jobs, self._align(jobs, norm) if jobs else []):
+                if got is not None:
+                    spans.setdefault((d, i), []).append(got)
+            jobs.clear()
+
+        for d, i, b, at, diagonal in self._regions(*self.found(cp), starts):
             width = int(self.edits[i]) + 1
-            low = b * width - self.longest                       # diagonals low .. low + 2 * width - 1
             m = min(len(self.texts[i]), self.window)
-            hit = source[first: first + n]
-            same, offs = self._windows(i, m, at[hit], diagonal[hit] - self.longest, norm[d][0])
+            same, offs = self._windows(i, m, at, diagonal, norm[d][0])
             spans.setdefault((d, i), []).extend(same)
-            jobs += [(d, i, o, m, low, 2 * width) for o in offs]
-        for k in range(0, len(jobs), 2000):
-            part = jobs[k: k + 2000]
-            for (d, i, *_), got in zip(part, self._align(part, norm)):
-                if got is not None:
-                    spans.setdefault((d, i), []).append(got)
+            for o in offs:
+                jobs.append((d, i, o, m, b * width - self.longest, 2 * width))
+                if len(jobs) == 2000:
+                    align()
+        align()
         for (d, i), found_spans in sorted(spans.items()):
             if not found_spans:
                 continue
@@ -222,10 +261,19 @@ class ItemIndex:
         spans = []
         each, n = np.unique(diagonal, return_counts=True)
         for g in each[n >= grams].tolist():
-            for o in np.flatnonzero(todo & (held(at[diagonal == g]) == grams)).tolist():
-                if (text[o: o + m] == doc[o + g: o + g + m]).all():      # equal hashes may still differ
-                    todo[o] = False
-                    spans.append((o + g, o + g + m, 0))
+            if not todo.any():
+                break
+            ok = np.flatnonzero(todo & (held(at[diagonal == g]) == grams))
+            for run in np.split(ok, np.flatnonzero(np.diff(ok) > 1) + 1) if len(ok) else []:
+                a, b = int(run[0]), int(run[-1]) + m                         # windows at neighbouring offsets overlap
+                if (text[a:b] == doc[a + g: b + g]).all():                   # equal hashes may still differ
+                    todo[run] = False
+                    spans.append((a + g, b + g, 0))
+                    continue
+                for o in run.tolist():
+                    if (text[o: o + m] == doc[o + g: o + g + m]).all():
+                        todo[o] = False
+                        spans.append((o + g, o + g + m, 0))
         return spans, np.flatnonzero(todo).tolist()
 
     def _align(self, jobs: list[tuple], norm: list) -> list[tuple[int, int, int] | None]:
@@ -285,12 +333,28 @@ def annotate(docs: DataFrame, items: DataFrame, text: str = "text", item_key: st
     known = items.select(F.col(item_key).cast("long").alias("k"), F.col(item_text).alias("t")).dropna()
     total = known.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_chars))
-    out = docs.drop("matches").withColumn("matches", F.array().cast(T.ArrayType(MATCH)))
-    for b in range(blocks):
+    none = F.array().cast(T.ArrayType(MATCH))
+
+    def block(b: int):
         part = known.filter(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b).distinct()
-        index = ItemIndex.build([(r[0], r[1]) for r in part.collect()], q, window, rate, min_chars)
-        out = _pass(out, spark.sparkContext.broadcast(index), text)
-    return out
+        return spark.sparkContext.broadcast(ItemIndex.build([(r[0], r[1]) for r in part.collect()], q, window, rate, min_chars))
+
+    docs = docs.drop("matches")
+    if blocks == 1:
+        return _pass(docs.withColumn("matches", none), block(0), text)
+    # what a text matches depends on the text alone: one block after the other leaves its matches, and is gone
+    scratch = Scratch(spark, "decontam")
+    name = [F.xxhash64(F.lit(k), F.col(text)).alias(f"_h{k}") for k in (1, 2)]
+    parts = []
+    for b in range(blocks):
+        shared = block(b)
+        hit = _pass(docs.select(*name, F.col(text).alias("_text"), none.alias("matches")), shared, "_text").filter(F.size("matches") > 0)
+        parts.append(scratch.write(hit.select("_h1", "_h2", "matches").dropDuplicates(["_h1", "_h2"]), f"block-{b}"))
+        shared.destroy()
+    every = reduce(DataFrame.union, parts).groupBy("_h1", "_h2").agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
+    every = scratch.write(every, "matches")
+    met = docs.select("*", *name).join(sized_broadcast(every), ["_h1", "_h2"], "left")
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("matches", none).alias("matches"))
 
 
 def _pass(docs: DataFrame, shared, text: str) -> DataFrame:

@@ -78,3 +78,46 @@ def test_annotate_edges(spark):
         assert got[3] == [] and got[6][0].edits == 0
     assert D.annotate(docs.limit(0), items).collect() == []
     assert all(r.matches == [] for r in D.annotate(docs, items.limit(0)).collect())
+
+
+def test_repetitive_texts_in_little_memory():
+    """Runs of one character on both sides: every place of the one meets every place of the other."""
+    import tracemalloc
+    index = D.ItemIndex.build([(1, "a" * 400), (2, "_-" * 200), (3, "plain words of an item that repeats nothing at all")], D.Q, D.WINDOW, D.RATE, D.MIN_CHARS)
+    texts = ["a" * 300_000, "x" * 50 + "-_" * 300 + "y" * 40, "a" * 60, "b" * 30 + "a" * 150 + "c" * 30]
+    tracemalloc.start()
+    got = index.matches(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+    assert [m[0] for m in got[0]] == [1] and got[0][0][1] == 0 and got[0][0][2] >= 299_900 and got[0][0][3] == 0
+    assert [m[0] for m in got[1]] == [2] and got[2] == []
+    assert [m[0] for m in got[3]] == [1] and got[3][0][1] <= 32 and got[3][0][2] >= 178
+
+
+def test_hits_some_at_a_time(monkeypatch):
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choice("ab ") for _ in range(n))
+    items = [(i, text(n)) for i, n in enumerate([40, 90, 150, 260])] + [(9, "ab" * 80)]
+    docs = [text(rnd.randrange(0, 60)) + items[i % 5][1][rnd.randrange(0, 30):] + text(rnd.randrange(0, 60)) for i in range(25)]
+    index = D.ItemIndex.build(items, D.Q, D.WINDOW, D.RATE, D.MIN_CHARS)
+    whole = index.matches(docs)
+    monkeypatch.setattr(D, "HITS", 7)
+    assert index.matches(docs) == whole and sum(map(len, whole)) > 10
+
+
+def test_many_blocks_equal_one(spark):
+    rnd = random.Random(6)
+    text = lambda n: "".join(rnd.choice("abcdefgh  ") for _ in range(n))
+    items = [(i, text(120)) for i in range(20)] + [(50, None)]
+    docs = [(i, text(40) + items[i % 20][1][:110] + text(20) + items[(i * 7) % 20][1], "x") for i in range(30)] + [(90, None, "x"), (91, "", "x"), (3, "dup", "y"), (3, "dup", "y")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, matches string").coalesce(2)
+    known = spark.createDataFrame(items, "item_id long, text string")
+    one = D.annotate(df, known)
+    many = D.annotate(df, known, block_chars=130)
+    rows = lambda d: sorted(((r.doc_id, r.text or "", sorted(map(tuple, r.matches))) for r in d.collect()))
+    got, want = rows(many), rows(one)
+    assert many.columns == one.columns and [r[:2] for r in got] == [r[:2] for r in want] and sum(len(r[2]) for r in want) >= 40
+    for g, w in zip(got, want):         # a span's ends may differ by edits: bands lie elsewhere in another block
+        assert [m[0] for m in g[2]] == [m[0] for m in w[2]]
+        assert all(abs(x[1] - y[1]) <= 9 and abs(x[2] - y[2]) <= 9 for x, y in zip(g[2], w[2]))
