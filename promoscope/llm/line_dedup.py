@@ -2,20 +2,22 @@
 
 Main path: DataFrame functions only.
 
-A line goes when an equal line, or one within ``TAU`` edits, occurs earlier (by
-key, then line number). Blank lines always stay; lines under ``MIN_CHARS``
-characters are compared for equality only.
+A line goes when an equal line, or one within the pair's edit budget, occurs earlier
+(by key, then line number). The budget of two lines is that of the longer one: 2 edits
+from 20 characters on, 1 edit from 10 on, none below (``BUDGETS``), whichever of the
+two came first. Blank lines always stay.
 
 1. *Equal lines* are grouped by a 128-bit hash; each group's first place is kept.
-2. *Segments*: a line of length l is cut into ``TAU + 1`` = 3 segments; two edits
-   leave one of them untouched, so a similar line holds it. Each line looks up, for
-   every length from its own down to ``TAU`` less, the substrings that can be a
-   segment there: with s edits to the left of a segment it is shifted by s at most,
-   and the length difference bounds the shift from the right (12 look-ups a line).
-   A key is the hash of segment number, length and substring.
+2. *Segments*: for a budget of k a line is cut into k + 1 segments; k edits leave one
+   of them untouched, so a similar line holds it. Each line looks up, for every length
+   from its own down to k less, the substrings that can be a segment there: with s
+   edits to the left of a segment it is shifted by s at most, and the length difference
+   bounds the shift from the right (12 look-ups for two edits, 5 for one). A line a
+   little too short for a budget is also found by the segments of that budget. A key is
+   the hash of budget, segment number, length and substring.
 3. Only keys met by two different lines go on; their lines' texts are fetched, and
-   a semi-join asks whether an earlier line under the same key is within ``TAU``
-   edits. No pair is ever written out: a row stops at its first partner.
+   a semi-join asks whether an earlier line under the same key is within the
+   budget. No pair is ever written out: a row stops at its first partner.
 4. *Verification*: common prefix and suffix are trimmed, then a band of
    2 * TAU + 1 diagonals runs through the rest in one machine word per character.
 
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from promoscope.llm.common import Scratch
 
 TAU = 2
-MIN_CHARS = 20
+BUDGETS = {1: 10, 2: 20}    # edits: characters of the longer line from which they are allowed
 HOT_BITS = 16           # lines of at least this share (2 ** -16) are looked up once
 RESIDUES = 1 << 20      # bound of the broadcast that thins out the texts to fetch
 
@@ -53,21 +55,30 @@ def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
             .withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line")))
 
 
+def _segment(line: Column, n: Column, k: int, i: int, shift: int, own: bool) -> Column:
+    """Look-up of segment ``i`` of a line of length ``n`` cut into ``k + 1`` segments, ``shift`` places to the right."""
+    part = F.floor(n / (k + 1)).cast("int")
+    # the odd characters go to the middle one of three segments, or to the last of two
+    start, length = {2: [(F.lit(0), part), (part, n - 2 * part), (n - part, part)], 1: [(F.lit(0), part), (part, n - part)]}[k][i]
+    return F.struct(F.xxhash64(F.lit(k), F.lit(i), n, F.substring(line, start + (1 + shift), length)).alias("segment"), F.lit(own).alias("own"))
+
+
+def _asks(line: Column, size: Column, k: int) -> list[Column]:
+    """A line's look-ups with a budget of ``k``, its own segments among them."""
+    return [_segment(line, size - less, k, i, shift, less == 0 and shift == 0)
+            for less in range(k + 1) for i in range(k + 1)
+            for shift in range(max(-i, less - (k - i)), min(i, less + (k - i)) + 1)]
+
+
 def _lookups(line: Column, size: Column) -> Column:
     """Array of (segment key, is it one of the line's own segments)."""
-    out = []
-    for less in range(TAU + 1):
-        n = size - less
-        third = F.floor(n / 3).cast("int")
-        starts = [F.lit(0), third, n - third]
-        lengths = [third, n - 2 * third, third]
-        for i in range(TAU + 1):
-            low = max(-i, less - (TAU - i))
-            high = min(i, less + (TAU - i))
-            for shift in range(low, high + 1):
-                part = F.substring(line, starts[i] + (1 + shift), lengths[i])
-                out.append(F.struct(F.xxhash64(F.lit(i), n, part).alias("segment"), F.lit(less == 0 and shift == 0).alias("own")))
-    return F.array(*out)
+    own = lambda k: [_segment(line, size, k, i, 0, True) for i in range(k + 1)]
+    two, one = BUDGETS[2], BUDGETS[1]
+    return (F.when(size >= two, F.array(*_asks(line, size, 2)))
+            .when(size >= two - 2, F.array(*_asks(line, size, 1), *own(2)))       # found by lines of two edits
+            .when(size >= one, F.array(*_asks(line, size, 1)))
+            .when(size >= one - 1, F.array(*own(1)))
+            .otherwise(F.array(*own(1)[:0]).cast("array<struct<segment:bigint,own:boolean>>")))
 
 
 def _common(a: Column, b: Column, side) -> Column:
@@ -133,10 +144,16 @@ def within_edits(a: Column, b: Column, k: int = TAU) -> Column:
     return (F.abs(la - lb) <= k) & (F.get(far, F.lit(0)) <= k)
 
 
+def within_budget(a: Column, b: Column) -> Column:
+    """Are two lines within the edits that the longer one allows? The band is as wide as the budget."""
+    size = F.greatest(F.char_length(a), F.char_length(b))
+    return F.when(size >= BUDGETS[2], within_edits(a, b, 2)).when(size >= BUDGETS[1], within_edits(a, b, 1)).otherwise(F.lit(False))
+
+
 def near_repeats(docs: DataFrame, firsts: DataFrame, scratch: Scratch, text: str, key: str) -> DataFrame:
-    """(h1, h2) of the distinct lines that have an earlier, different line within ``TAU`` edits. ``firsts``:
+    """(h1, h2) of the distinct lines that have an earlier, different line within the budget. ``firsts``:
     (h1, h2, first, n), a row per distinct line."""
-    lines = _lines(docs, text, key).withColumn("size", F.char_length("line")).filter(F.col("size") >= MIN_CHARS)
+    lines = _lines(docs, text, key).withColumn("size", F.char_length("line")).filter(F.col("size") >= BUDGETS[1] - 1)
     total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     common = (firsts.filter((F.col("n") > 1) & (F.col("n") * (1 << HOT_BITS) >= total))
               .select("h1", "h2", F.col("first.doc").alias("at_doc"), F.col("first.pos").alias("at_pos")))
@@ -173,7 +190,7 @@ def near_repeats(docs: DataFrame, firsts: DataFrame, scratch: Scratch, text: str
         hit = left.join(right.withColumnRenamed("segment", "s2"), (F.col("segment") == F.col("s2"))
                         & (F.col(f"{has}_first") < F.col(f"{asks}_first"))
                         & (F.abs(F.char_length("a_line") - F.char_length("b_line")) <= TAU)
-                        & within_edits(F.col("a_line"), F.col("b_line")), "left_semi")
+                        & within_budget(F.col("a_line"), F.col("b_line")), "left_semi")
         removed.append(hit.select(F.col(f"{asks}_h1").alias("h1"), F.col(f"{asks}_h2").alias("h2")))
     return scratch.write(removed[0].union(removed[1]).distinct(), "near")
 

@@ -5,6 +5,10 @@ from pyspark.sql import functions as F
 
 
 def edits(a, b):
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:          # what both begin with costs nothing
+        k += 1
+    a, b = a[k:], b[k:]
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
@@ -15,15 +19,15 @@ def edits(a, b):
 
 
 def brute(rows):
-    """Expected texts: a line goes when it, or one within two edits, came before."""
+    """Expected texts: a line goes when it, or one within the longer one's budget, came before."""
+    budget = lambda n: 2 if n >= 20 else 1 if n >= 10 else 0
     first, seen, out = {}, [], {}
     for key, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
         for p, line in enumerate((text or "").split("\n")):
             if line.strip(" ") and line not in first:
-                near = len(line) >= L.MIN_CHARS and any(abs(len(o) - len(line)) <= 2 and edits(o, line) <= 2 for o in seen)
+                near = any(abs(len(o) - len(line)) <= (k := budget(max(len(o), len(line)))) and edits(o, line) <= k for o in seen)
                 first[line] = None if near else (key, p)
-                if len(line) >= L.MIN_CHARS:
-                    seen.append(line)
+                seen.append(line)
         out[key] = None if text is None else "\n".join(
             x for p, x in enumerate(text.split("\n")) if not x.strip(" ") or first[x] == (key, p))
     return out
@@ -38,8 +42,9 @@ def test_banded_distance_against_brute_force(spark):
             p = rnd.randrange(len(b) + 1)
             b[p:p + rnd.randrange(0, 2)] = rnd.choice(["", "x", "é"])
         pairs.append(("".join(a), "".join(b)))
-    got = spark.createDataFrame(pairs, "a string, b string").coalesce(4).withColumn("w", L.within_edits(F.col("a"), F.col("b"))).collect()
-    assert [r.w for r in got] == [edits(r.a, r.b) <= 2 for r in got]
+    got = spark.createDataFrame(pairs, "a string, b string").coalesce(4).withColumns(
+        {f"w{k}": L.within_edits(F.col("a"), F.col("b"), k) for k in (1, 2)}).collect()
+    assert [(r.w1, r.w2) for r in got] == [(edits(r.a, r.b) <= 1, edits(r.a, r.b) <= 2) for r in got]
 
 
 def test_texts_equal_brute_force(spark):
@@ -67,6 +72,24 @@ def test_texts_equal_brute_force(spark):
     assert (by[103].n_lines, by[103].n_removed) == (2, 1) and by[100].n_lines == 0 and by[101].n_lines == 0
 
 
+def test_short_lines_equal_brute_force(spark):
+    """Lines of 1 to 30 characters, many about the lengths where the budget changes."""
+    rnd = random.Random(6)
+    pool = ["".join(rnd.choice("abcdefg ") for _ in range(n)).strip() or "x" for n in [*range(1, 31), *range(7, 24), 9, 10, 18, 19, 20, 21]]
+    rows = []
+    for i in range(70):
+        s = list(rnd.choice(pool))
+        for _ in range(rnd.choice([0, 1, 1, 2, 2, 3])):
+            p = rnd.randrange(len(s) + 1)
+            s[p:p + rnd.randrange(0, 2)] = rnd.choice(["", "z", "y"])
+        rows.append((i, "".join(s) + "\n" + rnd.choice(pool)))
+    rows += [(200, "Share this page!!!!"), (201, "Share this page!!!?"), (202, "Share this page now ab"), (203, "Share this page now ac"),
+             (204, "a line of nineteen!"), (205, "a line of nineteen!ab"), (206, "Page 1"), (207, "Page 2")]
+    got = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).collect()}
+    assert got == brute(rows)
+    assert got[201] == got[203] == got[205] == "" and got[207] == "Page 2"
+
+
 def test_empty_table_and_null_key(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert L.dedup_lines(df).collect() == []
