@@ -7,8 +7,10 @@ A record has ``record_id``, ``url``, ``ts`` (seconds), ``status``, ``headers``
 2. As-of join: each revisit takes the latest full response of its canonical URL
    that is earlier by (ts, record_id). Times are cut into spans of
    ``span_seconds``: within a span a window finds the response; across spans
-   one row per URL and span carries the last response on. So a URL with a third
-   of all records is spread over its spans, and no task holds a whole URL.
+   one row per URL and span carries the last response on. Spans with more than
+   ``span_rows`` records of a URL are cut between seconds, by count. So a URL with
+   a third of all records is spread, also if they fall into one day, and no task
+   holds a whole URL (records of one URL and second stay together).
 3. The revisit's validators are checked against the response: entity tags by
    weak comparison when both sides have one, else Last-Modified, else none.
 4. Headers of the 304 that may update a stored response replace its headers;
@@ -30,6 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from promoscope.llm.common import Scratch
+from promoscope.operators.star import sized_broadcast
+
+SPAN_ROWS = 100_000         # records of a URL in a span from which it is cut into parts
 SPAN_SECONDS = 86_400
 #: Query parameters that say where a visitor came from (fixed values, a parameter of ``canonical_url``).
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
@@ -68,22 +74,39 @@ def merged_headers(stored: Column, update: Column, fixed: tuple[str, ...] = FIXE
     return F.map_concat(rest, allowed)
 
 
-def resolve(records: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
+def _counted_spans(base: DataFrame, most: int) -> DataFrame:
+    """``base`` with ``part``: spans in which a URL has more than ``most`` records are cut, between seconds, into parts of
+    about so many. Counts the records of every URL and span (a job); only where some have too many are their seconds
+    counted."""
+    scratch = Scratch(base.sparkSession, "warc")
+    counted = base.groupBy("canonical_url", "span").agg(F.count("*").alias("n")).filter(F.col("n") > most).drop("n")
+    full = scratch.write(counted.filter((F.col("canonical_url") != "") & F.col("span").isNotNull()), "full-spans")
+    if full.isEmpty():
+        return base.withColumn("part", F.lit(0).cast("long"))
+    seconds = base.join(sized_broadcast(full), ["canonical_url", "span"], "left_semi").groupBy("canonical_url", "span", "ts").agg(F.count("*").alias("n"))
+    before = W.partitionBy("canonical_url", "span").orderBy("ts").rowsBetween(W.unboundedPreceding, -1)
+    parts = seconds.withColumn("part", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / most)).drop("n")
+    parts = sized_broadcast(scratch.write(parts, "parts"))
+    return base.join(parts, ["canonical_url", "span", "ts"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
+
+
+def resolve(records: DataFrame, span_seconds: int = SPAN_SECONDS, span_rows: int = SPAN_ROWS) -> DataFrame:
     """One row per revisit: record_id, canonical_url, outcome, checked_by, response_id, headers, payload."""
     base = (records.filter(F.col("status").isin(200, 304))
             .select("record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"),
                     (F.col("status") == 200).alias("full"), F.when(F.col("status") == 304, _lower_keys(F.col("headers"))).alias("h1")))
     base = base.withColumn("span", F.floor(F.col("ts") / span_seconds))
+    base = _counted_spans(base, span_rows)
     usable = (F.col("canonical_url") != "") & F.col("ts").isNotNull()
     place = F.struct("ts", "record_id")
     # within a span
-    inside = W.partitionBy("canonical_url", "span").orderBy("ts", "record_id").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("canonical_url", "span", "part").orderBy("ts", "record_id").rowsBetween(W.unboundedPreceding, -1)
     seen = base.filter(usable).withColumn("near", F.last(F.when(F.col("full"), place), ignorenulls=True).over(inside))
     # across spans: the last response before each span, from one row per URL and span
-    across = W.partitionBy("canonical_url").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
-    carried = (base.filter(usable).groupBy("canonical_url", "span").agg(F.max(F.when(F.col("full"), place)).alias("at"))
+    across = W.partitionBy("canonical_url").orderBy("span", "part").rowsBetween(W.unboundedPreceding, -1)
+    carried = (base.filter(usable).groupBy("canonical_url", "span", "part").agg(F.max(F.when(F.col("full"), place)).alias("at"))
                .withColumn("far", F.last("at", ignorenulls=True).over(across)).drop("at"))
-    found = (seen.filter(~F.col("full")).join(carried, ["canonical_url", "span"], "left")
+    found = (seen.filter(~F.col("full")).join(carried, ["canonical_url", "span", "part"], "left")
              .select("record_id", "canonical_url", "h1", F.coalesce(F.col("near")["record_id"], F.col("far")["record_id"]).alias("response_id")))
     lost = base.filter(~F.col("full") & ~F.coalesce(usable, F.lit(False))).select(
         "record_id", "canonical_url", "h1", F.lit(None).cast(base.schema["record_id"].dataType).alias("response_id"))
@@ -92,7 +115,11 @@ def resolve(records: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
               .select(F.col("record_id").alias("response_id"), _lower_keys(F.col("headers")).alias("h0"), F.col("payload").alias("p0")))
     twice = W.partitionBy("response_id").orderBy("p0", F.map_entries("h0").cast("string"))
     stored = stored.withColumn("_n", F.row_number().over(twice)).filter("_n = 1").drop("_n")
-    got = found.unionByName(lost).join(stored, "response_id", "left")
+    # revisits without a response have no key to meet in: they are spread by their own
+    spread = lambda *c: F.xxhash64(*c)
+    asked = found.unionByName(lost).withColumn("_k", F.when(F.col("response_id").isNotNull(), spread("response_id")).otherwise(
+        spread("canonical_url", "record_id")))
+    got = asked.join(stored.withColumn("_k", spread("response_id")), ["response_id", "_k"], "left")
     tag = lambda h: F.regexp_replace(F.trim(F.element_at(h, F.lit("etag"))), r"^W/", "")
     date = lambda h: F.trim(F.element_at(h, F.lit("last-modified")))
     by_tag, by_date = tag(F.col("h0")).isNotNull() & tag(F.col("h1")).isNotNull(), date(F.col("h0")).isNotNull() & date(F.col("h1")).isNotNull()
