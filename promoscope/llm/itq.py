@@ -8,10 +8,15 @@
 2. *Tables*: a code is cut into four chunks, each the key of one table. Two codes
    that differ in 7 bits or fewer agree in some chunk but for one bit, so a vector
    has a home in every table and probes its chunk and those one bit away. Vectors
-   at cosine 0.95 differ in a tenth of the bits, about 6 of 64.
-3. *Rerank*: pairs that meet (each in the first table where it can) and whose codes
-   differ in ``MAX_BITS`` or fewer are compared by the cosine of the original
-   vectors in double precision.
+   at cosine 0.95 differ in a tenth of the bits, about 6 of 64, if the vectors point
+   everywhere. If they share a direction, the centred vectors of such a pair
+   differ in more: the sample tells in how many. Partners at the very cosine
+   threshold are made for sampled vectors, and as many further codes (four tables
+   each, by other rotations that are learnt from other starts) are added as
+   it takes for ``RECALL`` of these pairs to meet, up to ``MOST_CODES``.
+3. *Rerank*: pairs that meet (each in the first table where it can) and whose first
+   codes differ by no more than nearly all of the made pairs do are compared by the
+   cosine of the original vectors in double precision.
 
 No pair leaves a task: a task gets blocks of at most ``BLOCK`` homes and probes
 of a bucket (small buckets share a task, a large bucket is cut into a grid), first
@@ -43,7 +48,8 @@ from promoscope.llm.common import Scratch
 from promoscope.llm.components import connected_components
 
 SAMPLE_ROWS = 8192
-BITS, TABLES, MAX_BITS = 64, 4, 16
+BITS, TABLES = 64, 4                 # of a code
+RECALL, MOST_CODES = 0.97, 24        # of pairs at the threshold, made from the sample; codes at most (96 tables)
 BLOCK = 1024
 _ROWS_A_TASK = 20_000
 
@@ -52,35 +58,68 @@ _ROWS_A_TASK = 20_000
 class Quantiser:
     dim: int
     mean: np.ndarray
-    axes: np.ndarray            # [dim, bits], principal axes times the rotation
+    axes: list[np.ndarray]      # per code [dim, bits], principal axes times a rotation
+    most: int = BITS            # bits by which the first codes of a pair may differ
 
     @property
     def bits(self) -> int:
-        return self.axes.shape[1]
+        return self.axes[0].shape[1]
 
-    def chunks(self) -> list[tuple[int, int]]:
-        """(first bit, number of bits) of each table's chunk."""
+    def chunks(self) -> list[tuple[int, int, int]]:
+        """(code, first bit, number of bits) of each table's chunk."""
         edges = np.linspace(0, self.bits, TABLES + 1).astype(int)
-        return [(int(a), int(b - a)) for a, b in zip(edges[:-1], edges[1:])]
+        return [(c, int(a), int(b - a)) for c in range(len(self.axes)) for a, b in zip(edges[:-1], edges[1:])]
 
     def codes(self, unit: np.ndarray) -> np.ndarray:
-        on = (unit - self.mean) @ self.axes > 0
-        return (on.astype(np.uint64) << np.arange(self.bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        """[vectors, codes]"""
+        at = np.arange(self.bits, dtype=np.uint64)
+        return np.stack([((((unit - self.mean) @ axes) > 0).astype(np.uint64) << at).sum(axis=1, dtype=np.uint64) for axes in self.axes], axis=1)
+
+    def meet(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Do the vectors of two lists of codes meet, pair by pair, in any table?"""
+        x = a ^ b
+        near = np.zeros(len(x), dtype=bool)
+        for c, low, n in self.chunks():
+            near |= np.bitwise_count((x[:, c] >> np.uint64(low)) & np.uint64((1 << n) - 1)) <= 1
+        return near & (np.bitwise_count(x[:, 0]) <= self.most)
 
     @classmethod
-    def fit(cls, unit: np.ndarray, bits: int = BITS, rounds: int = 50, seed: int = 11) -> Quantiser:
+    def fit(cls, unit: np.ndarray, cosine: float = 0.95, bits: int = BITS, rounds: int = 50, seed: int = 11) -> Quantiser:
         dim = unit.shape[1]
         mean = unit.mean(axis=0)
         x = unit - mean
-        _, axes = np.linalg.eigh(x.T @ x)
-        axes = axes[:, ::-1][:, : min(bits, dim)]
-        v = x @ axes
-        r = np.linalg.qr(np.random.default_rng(seed).standard_normal((v.shape[1], v.shape[1])))[0]
-        for _ in range(rounds):
-            b = np.where(v @ r > 0, 1.0, -1.0)
-            u, _, w = np.linalg.svd(b.T @ v)
-            r = (u @ w).T
-        return cls(dim, mean, axes @ r)
+        _, main = np.linalg.eigh(x.T @ x)
+        main = main[:, ::-1][:, : min(bits, dim)]
+        v = x @ main
+        rng = np.random.default_rng(seed)
+        a = unit[rng.permutation(len(unit))[:2000]]
+        b = threshold_partners(a, cosine, rng)
+        model = cls(dim, mean, [])
+        while len(model.axes) < MOST_CODES:
+            r = np.linalg.qr(np.random.default_rng(seed + len(model.axes)).standard_normal((v.shape[1], v.shape[1])))[0]
+            of = v if not model.axes else v[:2000]      # further rotations need less: they only have to differ
+            for _ in range(rounds):
+                corners = np.where(of @ r > 0, 1.0, -1.0)
+                u, _, w = np.linalg.svd(corners.T @ of)
+                r = (u @ w).T
+            if model.axes:
+                rounds = min(rounds, 15)
+            model.axes.append(main @ r)
+            ca, cb = model.codes(a), model.codes(b)
+            if len(model.axes) == 1:
+                apart = np.bitwise_count(ca[:, 0] ^ cb[:, 0])
+                model.most = int(np.quantile(apart, 0.999)) + 2
+            if dim == 1 or model.meet(ca, cb).mean() >= RECALL:
+                break
+        return model
+
+
+def threshold_partners(unit: np.ndarray, cosine: float, rng: np.random.Generator) -> np.ndarray:
+    """For each unit vector another one at exactly that cosine, in a random direction."""
+    away = rng.standard_normal(unit.shape)
+    away -= (away * unit).sum(axis=1, keepdims=True) * unit
+    norm = np.linalg.norm(away, axis=1, keepdims=True)
+    return cosine * unit + np.sqrt(1 - cosine**2) * away / np.where(norm > 0, norm, 1)
 
 
 def _unit(rows: list, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +137,8 @@ def _unit(rows: list, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     return (np.stack(good) if good else np.zeros((0, dim or 0))), np.array(where, dtype=np.int64)
 
 
-def fit(vectors: DataFrame, column: str = "embedding", key: str = "vec_id", sample_rows: int = SAMPLE_ROWS) -> Quantiser | None:
+def fit(vectors: DataFrame, column: str = "embedding", key: str = "vec_id", cosine: float = 0.95,
+        sample_rows: int = SAMPLE_ROWS) -> Quantiser | None:
     """A quantiser from the first ``sample_rows`` usable vectors by a hash of their key; None if there is none."""
     order = F.xxhash64(F.lit("itq"), F.col(key).cast("string"))
     rows = [r[0] for r in vectors.filter(F.col(column).isNotNull() & (F.size(column) > 0)).orderBy(order, key).select(column)
@@ -107,14 +147,15 @@ def fit(vectors: DataFrame, column: str = "embedding", key: str = "vec_id", samp
     if not len(sizes):
         return None
     unit, _ = _unit(rows, int(min(sizes.index[sizes == sizes.max()])))
-    return Quantiser.fit(unit) if len(unit) else None
+    return Quantiser.fit(unit, cosine) if len(unit) else None
 
 
 def _coded(vectors: DataFrame, model: Quantiser, column: str) -> DataFrame:
-    """(key_, k1, k2, code, unit): the vector's name by its components, its code and its unit vector (NULL: unusable)."""
+    """(key_, k1, k2, codes, unit): the vector's name by its components, its codes and its unit vector (NULL: unusable)."""
     shared = vectors.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField("key_", vectors.schema["key_"].dataType)]
-                          + [T.StructField(c, T.LongType()) for c in ("k1", "k2", "code")] + [T.StructField("unit", T.BinaryType())])
+                          + [T.StructField(c, T.LongType()) for c in ("k1", "k2")]
+                          + [T.StructField("codes", T.ArrayType(T.LongType())), T.StructField("unit", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -124,33 +165,37 @@ def _coded(vectors: DataFrame, model: Quantiser, column: str) -> DataFrame:
                 unit, where = _unit(batch.column(column).to_pylist(), m.dim)
                 raw = [u.tobytes() for u in unit]
                 name = np.frombuffer(b"".join(xxhash.xxh3_128_digest(r) for r in raw), dtype="<i8").reshape(-1, 2)
-                out = np.zeros((batch.num_rows, 3), dtype=np.int64)
-                out[where, :2] = name
-                out[where, 2] = m.codes(unit).view(np.int64) if len(unit) else 0
+                out = np.zeros((batch.num_rows, 2), dtype=np.int64)
+                out[where] = name
+                codes = np.zeros((batch.num_rows, len(m.axes)), dtype=np.int64)
+                if len(unit):
+                    codes[where] = m.codes(unit).view(np.int64)
+                ends = np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32)
                 kept: list = [None] * batch.num_rows
                 for i, r in zip(where, raw):
                     kept[i] = r
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key_"), *(pa.array(out[:, k].copy()) for k in range(3)), pa.array(kept, pa.binary())],
+                    [batch.column("key_"), *(pa.array(out[:, k].copy()) for k in range(2)),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(codes.ravel())), pa.array(kept, pa.binary())],
                     names=[f.name for f in schema.fields])
 
     return vectors.mapInArrow(run, schema)
 
 
 def _cells(nodes: DataFrame, model: Quantiser, scratch: Scratch) -> DataFrame:
-    """(tab, chunk, home, uid, code, cell, i, j): the homes and probes of all tables, dealt into blocks."""
+    """(tab, chunk, home, uid, codes, cell, i, j): the homes and probes of all tables, dealt into blocks."""
     homes, probes = [], []
-    for t, (low, n) in enumerate(model.chunks()):
-        own = F.shiftrightunsigned("code", low).bitwiseAND((1 << n) - 1)
+    for t, (c, low, n) in enumerate(model.chunks()):
+        own = F.shiftrightunsigned(F.get("codes", F.lit(c)), low).bitwiseAND((1 << n) - 1)
         homes.append(F.struct(F.lit(t).alias("tab"), own.alias("chunk"), F.lit(True).alias("home")))
         near = [own] + [own.bitwiseXOR(F.lit(1 << k).cast("long")) for k in range(n)]
         probes += [F.struct(F.lit(t).alias("tab"), c.alias("chunk"), F.lit(False).alias("home")) for c in near]
-    rows = nodes.select("uid", "code", F.explode(F.array(*homes, *probes)).alias("r")).select("r.*", "uid", "code")
+    rows = nodes.select("uid", F.explode(F.array(*homes, *probes)).alias("r")).select("r.*", "uid")
     count = (rows.groupBy("tab", "chunk").agg(F.sum(F.col("home").cast("long")).alias("h"), F.sum((~F.col("home")).cast("long")).alias("p"))
              .filter("h > 0 AND p > 1"))
     grid = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     count = scratch.write(count.select("tab", "chunk", grid("h").alias("hs"), grid("p").alias("ps")), "buckets")
-    n_rows = nodes.count() * (model.bits + 2 * TABLES)
+    n_rows = nodes.count() * (model.bits + 2 * TABLES) * len(model.axes)
     tasks = max(1, n_rows // _ROWS_A_TASK)
     spread = lambda c: F.pmod(F.xxhash64(F.lit(3), "uid"), F.col(c)).cast("int")
     large = (F.col("hs") > 1) | (F.col("ps") > 1)
@@ -161,16 +206,16 @@ def _cells(nodes: DataFrame, model: Quantiser, scratch: Scratch) -> DataFrame:
             .withColumn("i", F.when(F.col("home"), F.col("mine")).otherwise(F.col("other")))
             .withColumn("j", F.when(F.col("home"), F.col("other")).otherwise(F.col("mine")))
             .withColumn("cell", F.when(large, F.xxhash64("tab", "chunk")).otherwise(F.pmod(F.xxhash64("tab", "chunk"), F.lit(tasks))))
-            .select("tab", "chunk", "home", "uid", "code", "cell", "i", "j"))
+            .select("tab", "chunk", "home", "uid", "cell", "i", "j").join(nodes.select("uid", "codes"), "uid"))
 
 
-def _meetings(g: pd.DataFrame, chunks: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _meetings(g: pd.DataFrame, chunks: list[tuple[int, int, int]], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (home, probe) of the candidate pairs in a block, some at a time: the home has the smaller uid, the
-    table is the first where the two chunks differ in a bit at most, and the codes differ in ``MAX_BITS`` at most."""
+    table is the first where the two chunks differ in a bit at most, and the first codes differ in ``most`` at most."""
     tab, chunk = g["tab"].to_numpy(), g["chunk"].to_numpy()
-    uid, code = g["uid"].to_numpy(), g["code"].to_numpy().view(np.uint64)
+    uid, codes = g["uid"].to_numpy(), np.stack(g["codes"].to_list()).view(np.uint64)
     home, probe = np.flatnonzero(g["home"].to_numpy()), np.flatnonzero(~g["home"].to_numpy())
-    bucket = chunk * TABLES + tab
+    bucket = chunk * len(chunks) + tab
     home = home[np.argsort(bucket[home], kind="stable")]
     at = bucket[home]
     low, high = np.searchsorted(at, bucket[probe], "left"), np.searchsorted(at, bucket[probe], "right")
@@ -184,10 +229,11 @@ def _meetings(g: pd.DataFrame, chunks: list[tuple[int, int]]) -> Iterator[tuple[
         h = home[np.repeat(low[done:stop], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
         ok = uid[h] < uid[p]
         h, p = h[ok], p[ok]
-        x = code[h] ^ code[p]
-        ok = np.bitwise_count(x) <= MAX_BITS
-        for t, (first, size) in enumerate(chunks):
-            part = np.bitwise_count((x >> np.uint64(first)) & np.uint64((1 << size) - 1))
+        ok = np.bitwise_count(codes[h, 0] ^ codes[p, 0]) <= most
+        h, p = h[ok], p[ok]
+        ok = np.ones(len(h), dtype=bool)
+        for t, (c, first, size) in enumerate(chunks):
+            part = np.bitwise_count(((codes[h, c] ^ codes[p, c]) >> np.uint64(first)) & np.uint64((1 << size) - 1))
             ok &= (part > 1) | (t >= tab[h])
         yield h[ok], p[ok]
         done = stop
@@ -211,20 +257,21 @@ def near_vectors(vectors: DataFrame, column: str = "embedding", key: str = "vec_
                  model: Quantiser | None = None) -> DataFrame:
     """One row per vector: the key, n_links, component_id and kept."""
     scratch = Scratch(vectors.sparkSession, "itq")
-    model = model or fit(vectors, column, key)
+    model = model or fit(vectors, column, key, cosine)
     base = vectors.select(F.col(key).alias("key_"), F.col(column).alias("v_"))
     if model is None:
         return base.select(F.col("key_").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key_").alias("component_id"), F.lit(True).alias("kept"))
     chunks = model.chunks()
     coded = scratch.write(_coded(base, model, "v_"), "coded")
     nodes = (coded.filter(F.col("unit").isNotNull()).groupBy("k1", "k2")
-             .agg(F.min("key_").alias("rep"), F.count("*").alias("copies"), F.first("code").alias("code"), F.first("unit").alias("unit")))
+             .agg(F.min("key_").alias("rep"), F.count("*").alias("copies"), F.first("codes").alias("codes"), F.first("unit").alias("unit")))
     nodes = scratch.write(nodes.withColumn("uid", F.monotonically_increasing_id()), "nodes")
-    cells = _cells(nodes.select("uid", "code"), model, scratch)
+    cells = _cells(nodes.select("uid", "codes"), model, scratch)
+    most = model.most
 
     def with_candidates(g: pd.DataFrame) -> pd.DataFrame:
         on = np.zeros(len(g), dtype=bool)
-        for h, p in _meetings(g, chunks):
+        for h, p in _meetings(g, chunks, most):
             on[h] = on[p] = True
         return g[on]
 
@@ -237,7 +284,7 @@ def near_vectors(vectors: DataFrame, column: str = "embedding", key: str = "vec_
         uid, copies = g["uid"].to_numpy(), g["copies"].to_numpy()
         who, first = np.unique(uid, return_inverse=True)
         add, pairs = np.zeros(len(who), dtype=np.int64), []
-        for h, p in _meetings(g, chunks):
+        for h, p in _meetings(g, chunks, most):
             for k in range(0, len(h), 50_000):
                 a, b = h[k: k + 50_000], p[k: k + 50_000]
                 ok = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine

@@ -52,14 +52,34 @@ def test_recall_at_the_threshold():
     noise /= np.linalg.norm(noise, axis=1, keepdims=True)
     b = 0.951 * a + np.sqrt(1 - 0.951**2) * noise
     model = itq.Quantiser.fit(np.concatenate([a, b])[::2])
-    x = model.codes(a) ^ model.codes(b)
-    near = np.zeros(len(a), bool)
-    for low, n in model.chunks():
-        near |= np.bitwise_count((x >> np.uint64(low)) & np.uint64((1 << n) - 1)) <= 1
-    assert (near & (np.bitwise_count(x) <= itq.MAX_BITS)).mean() >= 0.9
+    assert model.meet(model.codes(a), model.codes(b)).mean() >= 0.9 and len(model.axes) <= 2
 
 
-def test_empty_table(spark):
-    assert itq.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
-    got = itq.near_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()
-    assert tuple(got[0]) == (1, 0, 1, True)
+def _spread(n, shared, rng):
+    """Unit vectors whose mean has about the norm ``shared``."""
+    v = rng.standard_normal((n, 64)) / 8
+    v[:, 0] += shared / np.sqrt(1 - shared**2)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_recall_with_a_shared_direction():
+    """All vectors share a component, or 70 % of them one cone: more codes are fitted until pairs at the threshold meet."""
+    rng = np.random.default_rng(7)
+    for shared, cone in ((0.0, 1), (0.5, 1), (0.8, 1), (0.9, 1), (0.9, 0.7)):
+        a = _spread(2500, shared, rng)
+        if cone < 1:
+            some = rng.random(len(a)) > cone
+            a[some] = _spread(int(some.sum()), 0.0, rng)
+        b = itq.threshold_partners(a, 0.951, rng)
+        model = itq.Quantiser.fit(a)
+        assert model.meet(model.codes(a), model.codes(b)).mean() >= 0.9, (shared, cone, len(model.axes))
+
+
+def test_links_with_a_shared_direction(spark):
+    rng = np.random.default_rng(8)
+    a = _spread(220, 0.85, rng)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, itq.threshold_partners(a[:150], 0.953, rng)]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(2)
+    got = {r.vec_id: r.n_links for r in itq.near_vectors(df).collect()}
+    want = {k: n for k, n, _ in brute(rows)}
+    assert all(got[k] <= want[k] for k in want) and 0.9 * sum(want.values()) <= sum(got.values()) and sum(want.values()) > 250
