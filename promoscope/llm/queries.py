@@ -42,8 +42,11 @@ lab AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN qualit
     FROM labels GROUP BY doc_id),
 parts AS (SELECT hp.*, lab.bad, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare
     FROM hp LEFT JOIN lab ON lab.doc_id = TRY_CAST(nullif(regexp_extract(path, '/([0-9]{1,18})', 1), '') AS BIGINT)),
-named AS (SELECT *, array_to_string(list_slice(string_split(bare, '.'), -2, -1), '.') AS domain,
-    list_extract(string_split(bare, '.'), -1) AS suffix FROM parts),
+two AS (SELECT *, array_to_string(list_slice(string_split(bare, '.'), -2, -1), '.') AS last2, regexp_matches(bare, '^\d+([.]\d+){3}$|^\[') AS address FROM parts),
+long AS (SELECT *, regexp_matches(last2, '^(ac|co|com|edu|go|gob|gov|gouv|mil|ne|net|nom|or|org)[.][a-z][a-z]$') OR last2 IN ('blogspot.com', 'github.io',
+    'gitlab.io', 'netlify.app', 'pages.dev', 'vercel.app', 'wordpress.com') AS long FROM two),
+named AS (SELECT *, CASE WHEN address THEN bare WHEN long THEN array_to_string(list_slice(string_split(bare, '.'), -3, -1), '.') ELSE last2 END AS domain,
+    CASE WHEN address THEN '(address)' WHEN long THEN last2 ELSE list_extract(string_split(bare, '.'), -1) END AS suffix FROM long),
 hosts AS (SELECT host, domain, suffix, count(bad) AS n, coalesce(sum(bad), 0) AS k FROM named GROUP BY ALL),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),

@@ -29,8 +29,12 @@ from pyspark.sql import functions as F
 from promoscope.llm.common import Scratch
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Suffixes of two labels under which names are registered (a parameter of ``with_domains``; fixed values).
-SECOND_LEVEL = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz")
+#: Second-level labels under which countries register names, as in ``com.cn`` or ``gov.uk`` (fixed values).
+COUNTRY_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "mil", "ne", "net", "nom", "or", "org")
+#: Further suffixes of two labels whose names belong to different people (fixed values).
+SHARED_SUFFIXES = ("blogspot.com", "github.io", "gitlab.io", "netlify.app", "pages.dev", "vercel.app", "wordpress.com")
+#: The suffix that addresses in numbers are counted under; each is a domain of its own.
+ADDRESS = "(address)"
 #: (rule, verdict); the rule's host reaches up to its first slash.
 Rule = tuple[str, str]
 
@@ -43,13 +47,17 @@ def with_host_path(df: DataFrame, url: str = "url") -> DataFrame:
             .withColumn("path", F.regexp_extract("_rest", r"(?s)^[^/?#]*([^?#]*)", 1)).drop("_rest"))
 
 
-def with_domains(df: DataFrame, second_level: tuple[str, ...] = SECOND_LEVEL) -> DataFrame:
-    """Adds ``domain`` (registered name) and ``suffix`` for the column ``host``; user and port are left out."""
+def with_domains(df: DataFrame, shared: tuple[str, ...] = SHARED_SUFFIXES, labels: tuple[str, ...] = COUNTRY_LABELS) -> DataFrame:
+    """Adds ``domain`` (registered name) and ``suffix`` for the column ``host``; user and port are left out.
+
+    A suffix has two labels if it is one of ``shared`` (say, the two-label part of a public-suffix list) or one of
+    ``labels`` under a two-letter country; else one. An address in numbers is a domain of its own."""
     bare = F.regexp_replace(F.regexp_replace("host", r"(?s)^.*@", ""), r":\d*$", "")
     two = F.substring_index(bare, ".", -2)
-    long = two.isin(*second_level) if second_level else F.lit(False)
-    return (df.withColumn("suffix", F.when(long, two).otherwise(F.substring_index(bare, ".", -1)))
-            .withColumn("domain", F.when(long, F.substring_index(bare, ".", -3)).otherwise(two)))
+    long = two.rlike(rf"^({'|'.join(labels)})\.[a-z][a-z]$") | two.isin(*shared)
+    address = bare.rlike(r"^\d+(\.\d+){3}$|^\[")
+    return (df.withColumn("suffix", F.when(address, F.lit(ADDRESS)).when(long, two).otherwise(F.substring_index(bare, ".", -1)))
+            .withColumn("domain", F.when(address, bare).when(long, F.substring_index(bare, ".", -3)).otherwise(two)))
 
 
 def rule_columns(rules: list[Rule], host: str = "host", path: str = "path") -> tuple[Column, Column]:

@@ -48,3 +48,27 @@ def test_query_equals_sql(spark, sf_small):
     cols = ["page_id", "host", "path", "rule", "verdict"]
     want = sorted(map(str, con.execute(f"SELECT {','.join(cols)} FROM ({queries.OP1_SQL})").fetchall()))
     assert sorted(str(tuple(r)) for r in queries.op1_url_filters(spark, sf_small).select(cols).collect()) == want
+
+
+def test_domains_and_suffixes(spark):
+    want = {"a.b.com.cn": ("b.com.cn", "com.cn"), "x.gov.uk": ("x.gov.uk", "gov.uk"), "www.site.co.kr:80": ("site.co.kr", "co.kr"),
+            "me.github.io": ("me.github.io", "github.io"), "u@10.0.0.7:8080": ("10.0.0.7", "(address)"), "[::1]": ("[::1]", "(address)"),
+            "deep.one.example.org": ("example.org", "org"), "com.cn": ("com.cn", "com.cn"), "plain": ("plain", "plain"), "": ("", "")}
+    got = U.with_domains(spark.createDataFrame([(h,) for h in want], "host string"))
+    assert {r.host: (r.domain, r.suffix) for r in got.collect()} == want
+
+
+def test_query_equals_sql_on_other_suffixes(spark, tmp_path):
+    hosts = ["a.com.cn", "b.com.cn", "c.github.io", "d.github.io", "10.1.2.3", "10.1.9.3", "x.co.uk", "y.co.uk", "z.org", "[::1]", "u:p@q.net:8080"]
+    rows = [(i, f"http://{hosts[i % len(hosts)]}/en/{i}", "") for i in range(300)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, int(i % len(hosts) in (0, 2, 4) and i % 7 > 0) ^ 1, 0) for i in range(0, 300, 2)],
+                          "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        name = next(p for p in (tmp_path / f"{t}.parquet").iterdir() if p.name.startswith("part"))
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{name}'")
+    cols = ["page_id", "host", "path", "rule", "verdict"]
+    want = sorted(map(str, con.execute(f"SELECT {','.join(cols)} FROM ({queries.OP1_SQL})").fetchall()))
+    assert sorted(str(tuple(r)) for r in queries.op1_url_filters(spark, str(tmp_path)).select(cols).collect()) == want
+    assert any("'block'" in w for w in want)
