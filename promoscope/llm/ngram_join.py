@@ -53,6 +53,7 @@ from pyspark.sql import types as T
 
 from promoscope.llm.common import Scratch, row_pieces
 from promoscope.llm.components import connected_components
+from promoscope.operators.star import sized_broadcast
 
 WORDS, SIMILARITY = 5, 80         # words in a shingle; per cent
 HOT = 64                          # texts in a region from which it counts as hot
@@ -133,7 +134,8 @@ def _regions(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
                                    F.bit_xor(F.xxhash64(F.lit(2), "cid")).alias("x2")).filter("members >= 2")
     one = keys.groupBy("members", "x1", "x2").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
     one = scratch.write(one.select("key", "members", "weight"), f"{name}-keys")
-    return scratch.write(rows.join(one, "key"), f"{name}-rows")
+    # few keys are in two texts or more: as long as they measure small, the others' rows never leave their task
+    return scratch.write(rows.join(sized_broadcast(one), "key"), f"{name}-rows")
 
 
 def _pairs(rows: DataFrame, spec: Spec) -> DataFrame:
@@ -359,7 +361,7 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", words
     asked = (pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).union(heavy).distinct()
              .join(classes.select("cid", "rep", "rep_hash", "k1", "k2"), "cid"))
     asked = scratch.write(asked, "asked")
-    texts = (base.join(asked.select("rep", "rep_hash").distinct(),
+    texts = (base.join(sized_broadcast(asked.select("rep", "rep_hash").distinct()),
                        F.col("key_").eqNullSafe(F.col("rep")) & F.col("text_hash").eqNullSafe(F.col("rep_hash")), "left_semi")
              .select("text_"))
     sets = (_sets(texts, "text_", spec, whole=True).join(asked.select("cid", "k1", "k2"), ["k1", "k2"])
@@ -369,7 +371,7 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", words
     links = [scratch.write(_forest(pairs, sets, spec, scratch, "outer"), "outer-links")]
     if not heavy.isEmpty():
         # recursion: among the heavy texts, regions by their rarest shingles
-        full = sets.join(heavy, "cid", "left_semi")
+        full = scratch.write(sets.join(heavy, "cid", "left_semi"), "heavy-sets")
         items = full.select("cid", "n", F.explode("keys").alias("key"))
         often = items.groupBy("key").agg(F.count("*").alias("df"))
         ranked = (items.join(often, "key").groupBy("cid", "n")
@@ -377,12 +379,12 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", words
                   .select("cid", "n", F.explode(F.slice("order", F.lit(1), F.col("n") - spec.need(F.col("n")) + 1)).alias("o"))
                   .filter("o.df >= 2").select(F.col("o.key").alias("key"), "cid", "n"))
         ranked = scratch.write(ranked, "heavy")
-        links += _inner_regions(_regions(ranked, scratch, "inner"), sets, spec, scratch)
+        links += _inner_regions(_regions(ranked, scratch, "inner"), full, spec, scratch)
     all_links = links[0]
     for more in links[1:]:
         all_links = all_links.union(more)
     parts = connected_components(all_links, scratch)
-    scratch.drop("sets", "asked", "pairs", "outer-pairs", "outer-links")
+    scratch.drop("sets", "heavy-sets", "asked", "pairs", "outer-pairs", "outer-links")
 
     known = (classes.select("cid", "k1", "k2", "rep", "copies").join(parts.withColumnRenamed("id", "cid"), "cid", "left")
              .withColumn("component", F.coalesce("component", "cid")))
