@@ -12,7 +12,7 @@ two came first. Blank lines always stay.
    of them untouched, so a similar line holds it. Each line looks up, for every length
    from its own down to k less, the substrings that can be a segment there: with s
    edits to the left of a segment it is shifted by s at most, and the length difference
-   bounds the shift from the right (12 look-ups for two edits, 5 for one). A line a
+   bounds the shift from the right (12 look-ups for two edits, 4 for one). A line a
    little too short for a budget is also found by the segments of that budget. A key is
    the hash of budget, segment number, length and substring.
 3. Only keys met by two different lines go on; their lines' texts are fetched, and
@@ -55,30 +55,36 @@ def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
             .withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line")))
 
 
-def _segment(line: Column, n: Column, k: int, i: int, shift: int, own: bool) -> Column:
-    """Look-up of segment ``i`` of a line of length ``n`` cut into ``k + 1`` segments, ``shift`` places to the right."""
-    part = F.floor(n / (k + 1)).cast("int")
-    # the odd characters go to the middle one of three segments, or to the last of two
-    start, length = {2: [(F.lit(0), part), (part, n - 2 * part), (n - part, part)], 1: [(F.lit(0), part), (part, n - part)]}[k][i]
-    return F.struct(F.xxhash64(F.lit(k), F.lit(i), n, F.substring(line, start + (1 + shift), length)).alias("segment"), F.lit(own).alias("own"))
+def _ask(k: int, less: int, i: int, shift: int) -> Column:
+    """Look-up of segment ``i`` of a line of ``less`` characters fewer cut into ``k + 1`` segments, ``shift`` places to the right."""
+    return F.struct(F.lit(k).alias("k"), F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift"))
 
 
-def _asks(line: Column, size: Column, k: int) -> list[Column]:
+def _asks(k: int) -> list[Column]:
     """A line's look-ups with a budget of ``k``, its own segments among them."""
-    return [_segment(line, size - less, k, i, shift, less == 0 and shift == 0)
-            for less in range(k + 1) for i in range(k + 1)
+    return [_ask(k, less, i, shift) for less in range(k + 1) for i in range(k + 1)
             for shift in range(max(-i, less - (k - i)), min(i, less + (k - i)) + 1)]
 
 
-def _lookups(line: Column, size: Column) -> Column:
-    """Array of (segment key, is it one of the line's own segments)."""
-    own = lambda k: [_segment(line, size, k, i, 0, True) for i in range(k + 1)]
-    two, one = BUDGETS[2], BUDGETS[1]
-    return (F.when(size >= two, F.array(*_asks(line, size, 2)))
-            .when(size >= two - 2, F.array(*_asks(line, size, 1), *own(2)))       # found by lines of two edits
-            .when(size >= one, F.array(*_asks(line, size, 1)))
-            .when(size >= one - 1, F.array(*own(1)))
-            .otherwise(F.array(*own(1)[:0]).cast("array<struct<segment:bigint,own:boolean>>")))
+def _lookups(lines: DataFrame) -> DataFrame:
+    """(segment, own, h1): the segment keys that the lines (h1, line, size) look up; are they of the line's own segments?
+
+    A line's look-ups are rows before they are computed: written out side by side, their code is too long a method
+    for the JVM to compile."""
+    own = lambda k: [_ask(k, 0, i, 0) for i in range(k + 1)]
+    two, one, size = BUDGETS[2], BUDGETS[1], F.col("size")
+    asks = (F.when(size >= two, F.array(*_asks(2)))
+            .when(size >= two - 2, F.array(*_asks(1), *own(2)))       # found by lines of two edits
+            .when(size >= one, F.array(*_asks(1)))
+            .when(size >= one - 1, F.array(*own(1))))
+    rows = lines.select("h1", "line", "size", F.explode(asks).alias("ask")).select("h1", "line", "size", "ask.*")
+    k, i, n = F.col("k"), F.col("i"), F.col("size") - F.col("less")
+    part = F.floor(n / (k + 1)).cast("int")
+    # the odd characters go to the middle one of three segments, or to the last of two
+    start = F.when(i == 0, F.lit(0)).when(i == 1, part).otherwise(n - part)
+    length = F.when(i == 1, n - k * part).otherwise(part)
+    return rows.select(F.xxhash64(k, i, n, F.substring("line", start + 1 + F.col("shift"), length)).alias("segment"),
+                       ((F.col("less") == 0) & (F.col("shift") == 0)).alias("own"), "h1")
 
 
 def _common(a: Column, b: Column, side) -> Column:
@@ -132,15 +138,22 @@ def banded_distance(a: Column, b: Column, k: int = TAU) -> Column:
 
 
 def within_edits(a: Column, b: Column, k: int = TAU) -> Column:
-    """Are two lines within ``k`` edits? Trims what they share at both ends, then runs the band."""
+    """Are two lines within ``k`` edits? Trims what they share at both ends, then runs the band.
+
+    What is left differs in its first and its last character, so an edit is at either end; up to two edits leave all
+    between them as it is. Lines without that are more than two edits apart and need no band."""
     la, lb = F.char_length(a), F.char_length(b)
-    pre = _common(a, b, F.left)
-    one = F.array(F.struct(F.substring(a, pre + 1, la).alias("a"), F.substring(b, pre + 1, lb).alias("b")))
-    rest = F.transform(one, lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), _common(t["a"], t["b"], F.right).alias("s")))
-    cut = F.transform(rest, lambda t: F.struct(
-        F.filter(F.split(F.left(t["a"], F.char_length(t["a"]) - t["s"]), ""), lambda c: c != "").alias("a"),
-        F.filter(F.split(F.left(t["b"], F.char_length(t["b"]) - t["s"]), ""), lambda c: c != "").alias("b")))
-    far = F.transform(cut, lambda t: banded_distance(t["a"], t["b"], k))
+    one = F.array(F.struct(a.alias("a"), b.alias("b"), _common(a, b, F.left).alias("p")))
+    rest = F.transform(one, lambda t: F.struct(F.substring(t["a"], t["p"] + 1, F.char_length(t["a"])).alias("a"),
+                                               F.substring(t["b"], t["p"] + 1, F.char_length(t["b"])).alias("b")))
+    rest = F.transform(rest, lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), _common(t["a"], t["b"], F.right).alias("s")))
+    cut = F.transform(rest, lambda t: F.struct(F.left(t["a"], F.char_length(t["a"]) - t["s"]).alias("a"),
+                                               F.left(t["b"], F.char_length(t["b"]) - t["s"]).alias("b")))
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    band = lambda t: F.get(F.transform(F.array(F.struct(chars(t["a"]).alias("a"), chars(t["b"]).alias("b"))),
+                                       lambda u: banded_distance(u["a"], u["b"], k)), F.lit(0))
+    between = lambda t: F.contains(t["b"], F.substring(t["a"], F.lit(2), F.greatest(F.char_length(t["a"]) - 2, F.lit(0))))
+    far = F.transform(cut, lambda t: F.when(between(t), band(t)).otherwise(F.lit(k + 1).cast("long")) if k <= 2 else band(t))
     return (F.abs(la - lb) <= k) & (F.get(far, F.lit(0)) <= k)
 
 
@@ -159,8 +172,7 @@ def near_repeats(docs: DataFrame, firsts: DataFrame, scratch: Scratch, text: str
               .select("h1", "h2", F.col("first.doc").alias("at_doc"), F.col("first.pos").alias("at_pos")))
     once = (lines.join(F.broadcast(common), ["h1", "h2"], "left")           # at most 2^16 rows by its filter
             .filter(F.col("at_doc").isNull() | ((F.col("doc") == F.col("at_doc")) & (F.col("pos") == F.col("at_pos")))))
-    looked = (once.select("h1", F.explode(_lookups(F.col("line"), F.col("size"))).alias("k"))
-              .select(F.col("k.segment").alias("segment"), F.col("k.own").alias("own"), "h1"))
+    looked = _lookups(once)
     group = W.partitionBy("segment")
     met = (looked.withColumn("least", F.min("h1").over(group)).withColumn("most", F.max("h1").over(group))
            .withColumn("any_own", F.max("own").over(group))

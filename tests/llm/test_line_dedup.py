@@ -1,4 +1,5 @@
 import random
+import re
 
 from promoscope.llm import line_dedup as L
 from pyspark.sql import functions as F
@@ -95,3 +96,26 @@ def test_empty_table_and_null_key(spark):
     assert L.dedup_lines(df).collect() == []
     got = L.dedup_lines(spark.createDataFrame([(1, "one line here"), (None, "one line here")], "doc_id long, text string")).collect()
     assert {r.doc_id: r.text for r in got} == {None: "one line here", 1: ""}
+
+
+def test_lookups_compile(spark, capsys):
+    """The JVM leaves methods of more than 8000 bytes uncompiled."""
+    lines = spark.range(5).selectExpr("id AS h1", "repeat('é', 8 + int(id) * 3) AS line").withColumn("size", F.char_length("line"))
+    looked = L._lookups(lines)
+    assert looked.count() == 0 + 4 + 4 + 4 + 12
+    looked.explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_edits_at_both_ends(spark):
+    """Pairs that differ at their ends, with what is between the same, shifted, or not quite the same."""
+    rnd, pairs = random.Random(9), []
+    for _ in range(300):
+        mid = "".join(rnd.choice("aab") for _ in range(rnd.randrange(0, 40)))
+        end = lambda: rnd.choice(["", "x", "é", "a", "ab", "xy"])
+        other = mid if rnd.random() < 0.8 else mid[:len(mid) // 2] + rnd.choice("ab") + mid[len(mid) // 2:]
+        pairs.append((end() + mid + end(), end() + other + end()))
+    got = spark.createDataFrame(pairs, "a string, b string").coalesce(4).withColumns(
+        {f"w{k}": L.within_edits(F.col("a"), F.col("b"), k) for k in (1, 2)}).collect()
+    assert [(r.w1, r.w2) for r in got] == [(edits(r.a, r.b) <= 1, edits(r.a, r.b) <= 2) for r in got]
