@@ -163,7 +163,8 @@ def _inner_regions(rows: DataFrame, sets: DataFrame, spec: Spec, scratch: Scratc
     linked to it and so to each other. Of the others, each needs one partner among them, found by a semi-join in
     which only members within a radius of the nearest outsider take part; what then has no partner is compared
     with the outsiders that have one, and with itself in the next round, or in rings after the last one."""
-    links = [_forest(_pairs(rows.filter(F.col("members") <= LEAF), spec).select("a", "b"), sets, spec, scratch, "leaf")]
+    pairs = scratch.write(_pairs(rows.filter(F.col("members") <= LEAF), spec).select("a", "b"), "leaf-pairs")
+    links = [_forest(pairs, sets, spec, scratch, "leaf")]
     radius = 1 - spec.percent / 100 + 1e-9
     large = rows.filter(F.col("members") > LEAF).select("key", "cid")
     for k in range(ROUNDS):
@@ -175,39 +176,46 @@ def _inner_regions(rows: DataFrame, sets: DataFrame, spec: Spec, scratch: Scratc
         degree = large.groupBy("cid").agg(F.count("*").alias("deg"))
         pivot = large.join(degree, "cid").groupBy("key").agg(F.max_by("cid", F.struct("deg", -F.col("cid"))).alias("b"))
         cells = large.join(pivot, "key").filter("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
-        told = _measure(cells, sets)
+        told = _measure(scratch.write(cells, f"cells-{k}", rows_now), sets)
         told = scratch.write(told.select("a", "b", spec.similar(F.col("na"), F.col("nb"), F.col("common")).alias("near"),
                                          (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far")), f"told-{k}", rows_now, 500)
         links.append(told.filter("near").select("a", "b"))
         outside = told.filter("NOT near")
         edge = outside.groupBy("b").agg(F.min("far").alias("edge"))
         border = told.filter("near").join(edge, "b").filter(F.col("far") >= F.col("edge") - radius)
-        tied = scratch.write(_partnered(outside, border, sets, spec, radius), f"tied-{k}", rows_now, 500)
+        tied = _partnered(outside, border, sets, spec, radius, scratch, f"tied-{k}", rows_now)
         alone = scratch.write(outside.join(tied.select("a", "b"), ["a", "b"], "left_anti"), f"alone-{k}", rows_now)
-        links += [tied.select("a", "b"), _partnered(alone, tied, sets, spec, radius).select("a", "b")]
+        late = _partnered(alone, tied, sets, spec, radius, scratch, f"late-{k}", rows_now)
+        links += [tied.select("a", "b"), late.select("a", "b")]
         size = alone.groupBy("b").agg(F.count("*").alias("members"))
         rest = alone.join(size, "b").select(F.col("b").alias("key"), F.col("a").alias("cid"), "far", "members")
         last = k == ROUNDS - 1
+        rest = scratch.write(rest, f"rest-{k}", rows_now)
         links.append(_rings(rest if last else rest.filter(F.col("members") <= BLOCK), sets, spec, scratch, radius, f"rings-{k}"))
         large = rest.filter(F.col("members") > BLOCK).select("key", "cid")
     return links
 
 
-def _partnered(some: DataFrame, others: DataFrame, sets: DataFrame, spec: Spec, radius: float) -> DataFrame:
+def _partnered(some: DataFrame, others: DataFrame, sets: DataFrame, spec: Spec, radius: float, scratch: Scratch, name: str, rows: int) -> DataFrame:
     """The rows (a, b, far) of ``some`` with a similar text among ``others`` of the same cell b. A row stops at its
     first partner; by the triangle inequality partners' distances to the pivot differ by the radius at most."""
     parts = int(some.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a large cell is cut along ``some``; a slice holds about SLICE rows and meets a copy of the others
     slices = some.groupBy("b").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
-    mine = (some.select("a", "b", "far").join(slices, "b").withColumn("slice", F.pmod(F.xxhash64("a"), "slices").cast("int"))
-            .join(sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("keys").alias("sa")), "a").repartition(parts, "b", "slice"))
+    mine = some.select("a", "b", "far").join(slices, "b").withColumn("slice", F.pmod(F.xxhash64("a"), "slices").cast("int"))
+    mine = scratch.write(mine.drop("slices"), f"{name}-mine", rows)
     theirs = (others.select(F.col("a").alias("o"), "b", F.col("far").alias("ofar")).join(slices, "b")
-              .join(sets.select(F.col("cid").alias("o"), F.col("n").alias("no"), F.col("keys").alias("so")), "o")
-              .select(F.col("b").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("part"), "ofar", "no", "so")
+              .select(F.col("b").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("part"), "o", "ofar"))
+    theirs = scratch.write(theirs, f"{name}-theirs")
+    mine = (mine.join(sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("keys").alias("sa")), "a")
+            .repartition(parts, "b", "slice"))
+    theirs = (theirs.join(sets.select(F.col("cid").alias("o"), F.col("n").alias("no"), F.col("keys").alias("so")), "o").drop("o")
               .repartition(parts, "cell", "part"))
     fits = ((F.col("b") == F.col("cell")) & (F.col("slice") == F.col("part")) & (F.abs(F.col("far") - F.col("ofar")) <= radius)
             & spec.similar(F.col("na"), F.col("no"), F.size(F.array_intersect("sa", "so"))))
-    return mine.join(theirs, fits, "left_semi").select("a", "b", "far")
+    found = scratch.write(mine.join(theirs, fits, "left_semi").select("a", "b", "far"), name, rows, 500)
+    scratch.drop(f"{name}-mine", f"{name}-theirs")
+    return found
 
 
 class _Union:
@@ -243,12 +251,14 @@ def _compare_listed(g: pd.DataFrame, percent: int) -> pd.DataFrame:
 def _forest(pairs: DataFrame, sets: DataFrame, spec: Spec, scratch: Scratch, name: str) -> DataFrame:
     """Links that connect the similar ones of the pairs (a, b). A pair goes to the cell of its texts' least candidates:
     the pairs of a group of alike texts so fall into one cell, which is a grid of blocks if it is large, and a set is
-    sent to a block once for all its pairs there."""
-    pairs = scratch.write(pairs, f"{name}-pairs")
+    sent to a block once for all its pairs there. ``pairs`` is a written table, and so is what is returned; steps are
+    written one by one, as the driver holds the plan and the tasks of a whole step."""
     both = pairs.union(pairs.select("b", "a"))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
+    least = scratch.write(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least")), f"{name}-least")
     placed = (pairs.join(least.withColumnRenamed("least", "x"), "a")
               .join(least.select(F.col("a").alias("b"), F.col("least").alias("y")), "b"))
+    placed = scratch.write(placed, f"{name}-placed")
+    scratch.drop(f"{name}-least")
     # how many blocks a cell needs may be estimated: it decides where pairs meet, not which
     size = placed.groupBy("x", "y").agg(F.ceil(F.approx_count_distinct("a") / BLOCK).cast("int").alias("rows"),
                                         F.ceil(F.approx_count_distinct("b") / BLOCK).cast("int").alias("cols"))
@@ -258,12 +268,17 @@ def _forest(pairs: DataFrame, sets: DataFrame, spec: Spec, scratch: Scratch, nam
     placed = placed.join(size, ["x", "y"]).select(
         "a", "b", spread("a", "rows").alias("i"), spread("b", "cols").alias("j"),
         F.when((F.col("rows") > 1) | (F.col("cols") > 1), cell).otherwise(F.pmod(cell, F.lit(tasks))).alias("cell"))
+    placed = scratch.write(placed, f"{name}-cells")
+    scratch.drop(f"{name}-placed")
     members = (placed.select("cell", "i", "j", F.col("a").alias("cid"), F.col("b").alias("partner"))
                .union(placed.select("cell", "i", "j", "b", F.lit(None).cast("long")))
                .groupBy("cell", "i", "j", "cid").agg(F.collect_list("partner").alias("partners")))
     percent = spec.percent
-    return (members.join(sets, "cid").groupBy("cell", "i", "j")
-            .applyInPandas(lambda g: _compare_listed(g, percent), "a long, b long"))
+    links = (members.join(sets, "cid").groupBy("cell", "i", "j")
+             .applyInPandas(lambda g: _compare_listed(g, percent), "a long, b long"))
+    links = scratch.write(links, f"{name}-links")
+    scratch.drop(f"{name}-cells")
+    return links
 
 
 def _common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -311,7 +326,7 @@ def _rings(rows: DataFrame, sets: DataFrame, spec: Spec, scratch: Scratch, radiu
     own = scratch.write(rows.select("key", "cid", ring.alias("ring")), f"{name}-texts")
     guests = own.union(own.select("key", "cid", F.col("ring") - 1))        # whom a ring's texts are compared with
     number = lambda df, c: df.groupBy("key", "ring").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(c))
-    size = number(own, "rows").join(number(guests, "cols"), ["key", "ring"])
+    size = scratch.write(number(own, "rows").join(number(guests, "cols"), ["key", "ring"]), f"{name}-size")
     tasks = max(1, own.count() // _SETS_A_TASK)
     spread = lambda n: F.pmod(F.xxhash64(F.lit(6), "cid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -320,8 +335,12 @@ def _rings(rows: DataFrame, sets: DataFrame, spec: Spec, scratch: Scratch, radiu
     cell = F.xxhash64("key", "ring")
     both = left.unionByName(right).withColumn("cell", F.when((F.col("rows") > 1) | (F.col("cols") > 1), cell).otherwise(F.pmod(cell, F.lit(tasks))))
     percent = spec.percent
-    return (both.select("cell", "i", "j", "key", "ring", "own", "cid").join(sets, "cid").groupBy("cell", "i", "j")
-            .applyInPandas(lambda g: _compare_rings(g, percent), "a long, b long"))
+    both = scratch.write(both.select("cell", "i", "j", "key", "ring", "own", "cid"), f"{name}-blocks")
+    links = (both.join(sets, "cid").groupBy("cell", "i", "j")
+             .applyInPandas(lambda g: _compare_rings(g, percent), "a long, b long"))
+    links = scratch.write(links, f"{name}-links")
+    scratch.drop(f"{name}-texts", f"{name}-size", f"{name}-blocks")
+    return links
 
 
 def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
@@ -343,15 +362,14 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", words
 
     # what a text's slack covers, against the hot regions it is in; the smallest similar text has the least slack
     hot = (rows.groupBy("cid", "n").agg(F.sum(F.when(F.col("members") > HOT, F.col("weight")).otherwise(0)).alias("hot")))
-    state = hot.select("cid", "hot", (F.col("hot") > spec.slack(spec.need(F.col("n")))).alias("heavy"))
+    state = hot.select("cid", "n", "hot", (F.col("hot") > spec.slack(spec.need(F.col("n")))).alias("heavy"))
     state = scratch.write(state, "state")
     cold = rows.filter(F.col("members") <= HOT)
     pairs = _pairs(cold, spec)
-    of = lambda c: state.select(F.col("cid").alias(c), F.col("hot").alias(f"hot_{c}"))
-    size = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"))
+    of = lambda c: state.select(*(F.col(x).alias(y) for x, y in (("cid", c), ("n", f"n_{c}"), ("hot", f"hot_{c}"))))
     # similar texts share 1 + slack regions, of which at most the smaller hot count is missing here
     enough = (F.least(spec.slack(F.col("n_a")), spec.slack(F.col("n_b"))) + 1 - F.least("hot_a", "hot_b"))
-    pairs = (pairs.join(size("a"), "a").join(size("b"), "b").join(of("a"), "a").join(of("b"), "b")
+    pairs = (pairs.join(of("a"), "a").join(of("b"), "b")
              .filter(F.col("shared") >= enough).select("a", "b"))
     pairs = scratch.write(pairs, "pairs")
     scratch.drop("outer-rows")
@@ -368,7 +386,7 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", words
             .dropDuplicates(["cid"]).select("cid", "n", "keys"))
     sets = scratch.write(sets, "sets")
 
-    links = [scratch.write(_forest(pairs, sets, spec, scratch, "outer"), "outer-links")]
+    links = [_forest(pairs, sets, spec, scratch, "outer")]
     if not heavy.isEmpty():
         # recursion: among the heavy texts, regions by their rarest shingles
         full = scratch.write(sets.join(heavy, "cid", "left_semi"), "heavy-sets")
@@ -384,7 +402,7 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", words
     for more in links[1:]:
         all_links = all_links.union(more)
     parts = connected_components(all_links, scratch)
-    scratch.drop("sets", "heavy-sets", "asked", "pairs", "outer-pairs", "outer-links")
+    scratch.drop("sets", "heavy-sets", "asked", "pairs", "outer-links")
 
     known = (classes.select("cid", "k1", "k2", "rep", "copies").join(parts.withColumnRenamed("id", "cid"), "cid", "left")
              .withColumn("component", F.coalesce("component", "cid")))

@@ -120,3 +120,20 @@ def test_one_of_each(spark):
 
 def test_empty_table(spark):
     assert J.near_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_steps_are_small(spark, monkeypatch):
+    """The driver holds the plan and the tasks of a whole step: no step of the recursion shuffles many tables at once."""
+    monkeypatch.setattr(J, "HOT", 3)
+    monkeypatch.setattr(J, "LEAF", 2)
+    write, seen = J.Scratch.write, {}
+
+    def spy(self, df, name, *more):
+        seen[name] = df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+        return write(self, df, name, *more)
+
+    monkeypatch.setattr(J.Scratch, "write", spy)
+    rows = corpus(2)
+    got = J.near_classes(spark.createDataFrame(rows, "doc_id long, text string").coalesce(3), words=2, percent=60)
+    assert got.count() == len(rows)
+    assert "inner-0" in seen and max(seen.values()) <= 6, seen
