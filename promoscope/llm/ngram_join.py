@@ -127,11 +127,24 @@ def _sets(docs: DataFrame, text: str, spec: Spec, whole: bool) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _whole_sets(base: DataFrame, every: DataFrame, asked: DataFrame, spec: Spec) -> DataFrame:
+    """(cid, n, keys) of the texts that ``asked`` names by key and hash; the set's name is compared too, since texts of one
+    hash may differ. Rows only leave their task where ``asked`` is large or where ``every`` has such a row repeatedly."""
+    named = asked.select("cid", "rep", "rep_hash", F.col("k1").alias("w1"), F.col("k2").alias("w2"))
+    named = sized_broadcast(named)
+    same = F.col("key_").eqNullSafe(F.col("rep")) & F.col("text_hash").eqNullSafe(F.col("rep_hash"))
+    sets = _sets(base.join(named, same).select("cid", "w1", "w2", "text_"), "text_", spec, whole=True)
+    sets = sets.filter("k1 = w1 AND k2 = w2").select("cid", "n", "keys")
+    repeated = every.join(named, same).count() > asked.count()
+    return sets.dropDuplicates(["cid"]) if repeated else sets
+
+
 def _regions(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(key, cid, n) -> the same with ``members`` and ``weight``, only for regions of two texts or more; of
-    regions with equal members one stays, weighing as many as there were."""
+    regions with equal members one stays, weighing as many as there were. Members are told by their number, a 64-bit
+    hash and their numbers' own sum without carry, which compresses: nearly all rows shuffled here are of one text."""
     keys = rows.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("x1"),
-                                   F.bit_xor(F.xxhash64(F.lit(2), "cid")).alias("x2")).filter("members >= 2")
+                                   F.bit_xor("cid").alias("x2")).filter("members >= 2")
     one = keys.groupBy("members", "x1", "x2").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
     one = scratch.write(one.select("key", "members", "weight"), f"{name}-keys")
     # few keys are in two texts or more: as long as they measure small, the others' rows never leave their task
@@ -273,11 +286,13 @@ def _forest(pairs: DataFrame, sets: DataFrame, spec: Spec, scratch: Scratch, nam
     members = (placed.select("cell", "i", "j", F.col("a").alias("cid"), F.col("b").alias("partner"))
                .union(placed.select("cell", "i", "j", "b", F.lit(None).cast("long")))
                .groupBy("cell", "i", "j", "cid").agg(F.collect_list("partner").alias("partners")))
+    members = scratch.write(members, f"{name}-members")
     percent = spec.percent
-    links = (members.join(sets, "cid").groupBy("cell", "i", "j")
+    # the sets are far wider than who meets where: as long as that measures small, a set is only sent to its blocks
+    links = (sets.join(sized_broadcast(members), "cid").select("cell", "i", "j", "cid", "partners", "n", "keys").groupBy("cell", "i", "j")
              .applyInPandas(lambda g: _compare_listed(g, percent), "a long, b long"))
     links = scratch.write(links, f"{name}-links")
-    scratch.drop(f"{name}-cells")
+    scratch.drop(f"{name}-cells", f"{name}-members")
     return links
 
 
@@ -379,17 +394,12 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", words
     asked = (pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).union(heavy).distinct()
              .join(classes.select("cid", "rep", "rep_hash", "k1", "k2"), "cid"))
     asked = scratch.write(asked, "asked")
-    texts = (base.join(sized_broadcast(asked.select("rep", "rep_hash").distinct()),
-                       F.col("key_").eqNullSafe(F.col("rep")) & F.col("text_hash").eqNullSafe(F.col("rep_hash")), "left_semi")
-             .select("text_"))
-    sets = (_sets(texts, "text_", spec, whole=True).join(asked.select("cid", "k1", "k2"), ["k1", "k2"])
-            .dropDuplicates(["cid"]).select("cid", "n", "keys"))
-    sets = scratch.write(sets, "sets")
+    sets = scratch.write(_whole_sets(base, every, asked, spec), "sets")
 
     links = [_forest(pairs, sets, spec, scratch, "outer")]
     if not heavy.isEmpty():
         # recursion: among the heavy texts, regions by their rarest shingles
-        full = scratch.write(sets.join(heavy, "cid", "left_semi"), "heavy-sets")
+        full = scratch.write(sets.join(sized_broadcast(heavy), "cid", "left_semi"), "heavy-sets")
         items = full.select("cid", "n", F.explode("keys").alias("key"))
         often = items.groupBy("key").agg(F.count("*").alias("df"))
         ranked = (items.join(often, "key").groupBy("cid", "n")

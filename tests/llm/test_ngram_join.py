@@ -137,3 +137,33 @@ def test_steps_are_small(spark, monkeypatch):
     got = J.near_classes(spark.createDataFrame(rows, "doc_id long, text string").coalesce(3), words=2, percent=60)
     assert got.count() == len(rows)
     assert "inner-0" in seen and max(seen.values()) <= 6, seen
+
+
+@pytest.mark.parametrize("small,repeated", [(True, False), (False, True)])
+def test_sets_are_sent_once(spark, monkeypatch, small, repeated):
+    """The sets are the widest rows: where ids measure small, the sets stay in their task but for one way to their blocks,
+    also where Spark's own bound for broadcasts is passed. Without broadcasts, and with a repeated row, the classes are right."""
+    monkeypatch.setattr(J, "HOT", 3)
+    monkeypatch.setattr(J, "LEAF", 2)
+    if not small:
+        monkeypatch.setattr(J, "sized_broadcast", lambda df: df)
+    write, seen = J.Scratch.write, {}
+
+    def spy(self, df, name, *more):
+        seen[name] = df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        return write(self, df, name, *more)
+
+    monkeypatch.setattr(J.Scratch, "write", spy)
+    rows = corpus(2)
+    rows = rows if repeated else sorted(set(rows), key=lambda r: (r[0] is None, r[0]))
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = J.near_classes(spark.createDataFrame(rows, "doc_id long, text string").coalesce(3), words=2, percent=60)
+        got = got.select("doc_id", "n_shingles", "component_id").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(brute_rows(rows, 2, 60), key=key)
+    if small:
+        assert (seen["sets"], seen["heavy-sets"], seen["outer-links"]) == (0, 0, 1), seen
